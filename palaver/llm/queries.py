@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exactdedup, langid, mixing, repeats, sharding, toxicity
+from . import decontamination, exactdedup, langid, licenses, mixing, neardup, repeats, secretscan, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("first_shard")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +49,40 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op4_language, op5_sharding, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_repeats)
+    f.__name__: f for f in (op1_license, op2_secrets, op3_mixing, op4_language, op5_sharding, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_repeats, op10_near_dedup, pipeline)
 }
 
 ORACLES: dict[str, str] = {
+    "op3_mixing": """
+        WITH d AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+        f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                     sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wrest FROM w),
+        l AS (SELECT *, cap <= rest / wrest * w AS is_full, rest / wrest AS level FROM f),
+        t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, max(CASE WHEN NOT is_full THEN level END) OVER () * w) END AS target FROM l),
+        b AS (SELECT *, greatest(1, ceil(sum(target) OVER () / 16000))::BIGINT AS block, sum(target) OVER () AS total, count(*) OVER () AS n FROM t),
+        c AS (SELECT *, round(total / block)::BIGINT AS seats FROM b),
+        q AS (SELECT source, target, seats, unnest(range(1, 2 + least(ceil(target / block * (1 + n / (2.0 * greatest(seats, 1)))) + 1, 2 * ceil(source_size / block::DOUBLE))::BIGINT - 1)) AS i FROM c WHERE target > 0),
+        r AS (SELECT *, row_number() OVER (ORDER BY target / (2 * i - 1) DESC, source NULLS LAST, i) AS rnk FROM q),
+        p AS (SELECT source, count(*) AS won FROM r WHERE rnk <= seats GROUP BY 1),
+        a AS (SELECT c.*, coalesce(p.won, 0) AS won, (c.source_size + c.block - 1) // c.block AS nb FROM c LEFT JOIN p ON c.source IS NOT DISTINCT FROM p.source),
+        e AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
+        SELECT e.doc_id, e.size, a.source_size, a.target,
+               (CASE WHEN nb = 0 THEN 0 ELSE (least(won, 2 * nb) // nb) * e.size + greatest(0, least(e.start + e.size, (least(won, 2 * nb) % nb) * block) - e.start) END)::BIGINT AS taken
+        FROM e JOIN a ON e.source IS NOT DISTINCT FROM a.source""",
     "op7_exact_dedup": """
         WITH d AS (
           SELECT doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS h FROM documents)
