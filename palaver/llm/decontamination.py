@@ -78,6 +78,12 @@ class Items:
     piece_at: np.ndarray
     piece_last: np.ndarray
     piece_tail: np.ndarray
+    fine: KeyProbe
+    fine_first: np.ndarray
+    fine_item: np.ndarray
+    fine_at: np.ndarray
+    errors: np.ndarray
+    least: np.ndarray
     short: list[int]
 
     def hits(self, c: np.ndarray):
@@ -87,14 +93,22 @@ class Items:
         if not at.size:
             return at, at, at
         # every piece that begins with these 8 codes
-        n = self.first[k + 1] - self.first[k]
-        at, p = np.repeat(at, n), np.repeat(self.first[k], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        at, p = _spread(at, k, self.first)
         # the last 8 codes of the piece must be there too
         tail = at + self.piece_last[p]
         ok = tail < g.size
         at, p, tail = at[ok], p[ok], tail[ok]
         ok = g[tail] == self.piece_tail[p]
-        return self.piece_item[p[ok]], at[ok] - self.piece_at[p[ok]], at[ok]
+        item, begin, at = self.piece_item[p[ok]], at[ok] - self.piece_at[p[ok]], at[ok]
+        # an edit spoils at most one of an item's 8-code pieces and moves the others by one place: where the item is,
+        # all but `errors` of them begin within `errors` places of each other
+        f, k = self.fine.find(g)
+        f, p = _spread(f, k, self.fine_first)
+        width = np.int64(4 * (c.size + max((t.size for t in self.text), default=0)))
+        there = np.sort(self.fine_item[p] * width + f - self.fine_at[p])
+        mine, e = item * width + begin, self.errors[item]
+        enough = np.searchsorted(there, mine + e, "right") - np.searchsorted(there, mine - e, "left") >= self.least[item]
+        return item[enough], begin[enough], at[enough]
 
     def verify(self, c: np.ndarray, item: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, distance, begin, end) of each item that is in the codes of one document, its best place."""
@@ -111,7 +125,7 @@ class Items:
             i = int(item[a])
             q, kk = self.text[i], int(k[a])
             lo, hi = max(0, int(begin[a]) - kk), min(c.size, int(begin[b - 1]) + q.size + kk)
-            if i in out and out[i][1] == 0 or not _may_hold(q, c[lo:hi], kk):
+            if i in out and out[i][1] == 0:
                 continue
             d, end = myers(q, c[lo:hi], kk)
             if d <= kk and (i not in out or d < out[i][1]):
@@ -132,18 +146,24 @@ class Items:
         return out
 
 
-def _may_hold(q: np.ndarray, t: np.ndarray, k: int) -> bool:
-    """Whether the window has enough of the item's 8-code pieces to be within k edits: an edit spoils at most one."""
-    if t.size < q.size - k:
-        return False
-    g = _packed8(q)[::PIECE]
-    return int(np.isin(g, _packed8(t)).sum()) >= g.size - k
+def _spread(at: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place once for every entry of its key; entries of key k are first[k] up to first[k + 1]."""
+    n = first[key + 1] - first[key]
+    return np.repeat(at, n), np.repeat(first[key], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+
+
+def _by_key(keys: list, *columns: list) -> tuple[KeyProbe, np.ndarray, list[np.ndarray]]:
+    keys = np.array(keys, np.uint64)
+    order = np.argsort(keys, kind="stable")
+    u, first = np.unique(keys[order], return_index=True)
+    return KeyProbe(u), np.r_[first, keys.size].astype(np.int64), [np.array(c, np.uint64 if k == 3 else np.int64)[order] for k, c in enumerate(columns)]
 
 
 def prepare(rows: list[tuple[int, str | None]]) -> Items:
     """Split every item into one piece more than its errors. Items without a letter or digit are left out."""
     ids, text, short = [], [], []
     keys, item, at, last, tail = [], [], [], [], []
+    fine, fine_item, fine_at = [], [], []
     for i, t in rows:
         q, _ = codes(t or "", alnum_table())
         if not q.size:
@@ -154,6 +174,10 @@ def prepare(rows: list[tuple[int, str | None]]) -> Items:
             short.append(len(ids) - 1)
             continue
         g, n = _packed8(q), budget(q.size) + 1
+        places = range(0, q.size - PIECE + 1, PIECE)
+        fine += g[:: PIECE].tolist()
+        fine_item += [len(ids) - 1] * len(places)
+        fine_at += places
         for p in range(n):
             a, b = q.size * p // n, q.size * (p + 1) // n
             keys.append(g[a])
@@ -161,11 +185,11 @@ def prepare(rows: list[tuple[int, str | None]]) -> Items:
             at.append(a)
             last.append(b - a - PIECE)
             tail.append(g[b - PIECE])
-    keys = np.array(keys, np.uint64)
-    order = np.argsort(keys, kind="stable")
-    u, first = np.unique(keys[order], return_index=True)
-    arr = lambda x, kind=np.int64: np.array(x, kind)[order]
-    return Items(ids, text, KeyProbe(u), np.r_[first, keys.size].astype(np.int64), arr(item), arr(at), arr(last), arr(tail, np.uint64), short)
+    probe, first, pieces = _by_key(keys, item, at, last, tail)
+    probe2, first2, pieces2 = _by_key(fine, fine_item, fine_at)
+    errors = np.array([budget(t.size) for t in text], np.int64)
+    least = np.array([t.size // PIECE for t in text], np.int64) - errors
+    return Items(ids, text, probe, first, *pieces, probe2, first2, *pieces2, errors, least, short)
 
 
 def _documents(items: Items, made, starts, item, begin, at, ids) -> list[tuple]:
