@@ -98,11 +98,40 @@ def _first(rows: np.ndarray, fields) -> tuple[np.ndarray, np.ndarray]:
     return rows, head
 
 
+def _pack(rows: np.ndarray) -> bytes:
+    """Columns apart, bytes of equal weight together, ids as a table and indexes: sorted hashes and places then
+    compress to about half."""
+    ids, index = np.unique(rows["doc"], return_inverse=True)
+    columns = [ids, index.astype("<u4"), *(rows[f] for f in rows.dtype.names if f != "doc")]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(c.size, -1).T).tobytes() for c in columns]
+    return np.array([rows.size, ids.size], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
+    n, k = np.frombuffer(blob, "<i8", 2).tolist()
+    raw, at = zstandard.ZstdDecompressor().decompress(blob[16:]), 0
+
+    def column(size: int, dtype) -> np.ndarray:
+        nonlocal at
+        dtype = np.dtype(dtype)
+        planes = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, size)
+        at += planes.size
+        return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+    ids, index = column(k, "<i8"), column(n, "<u4")
+    out = np.empty(n, kind)
+    out["doc"] = ids[index]
+    for f in kind.names:
+        if f != "doc":
+            out[f] = column(n, kind[f])
+    return out
+
+
 def _blobs(kind: int, rows: np.ndarray, bucket: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(n + 1))
-    return [(kind, k, rows[cuts[k] : cuts[k + 1]].tobytes()) for k in range(n) if cuts[k + 1] > cuts[k]]
+    return [(kind, k, _pack(rows[cuts[k] : cuts[k + 1]])) for k in range(n) if cuts[k + 1] > cuts[k]]
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +237,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.n
                 yield np.concatenate(parts)
                 parts = []
             now = k
-            parts.append(np.frombuffer(blob, kind))
+            parts.append(_unpack(blob, kind))
     if parts:
         yield np.concatenate(parts)
 
@@ -267,7 +296,7 @@ def _shipped(blob: bytes) -> Iterator[tuple[int, bytes]]:
 def _marks_by_doc(blobs: list[bytes]) -> dict[int, np.ndarray]:
     if not blobs:
         return {}
-    rows = np.concatenate([np.frombuffer(x, MARK) for x in blobs])
+    rows = np.concatenate([_unpack(x, MARK) for x in blobs])
     rows = rows[np.argsort(rows["doc"], kind="stable")]
     ids, at = np.unique(rows["doc"], return_index=True)
     return dict(zip(ids.tolist(), np.split(rows, at[1:]), strict=True))
@@ -385,7 +414,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept and the spans removed (byte offsets, end exclusive).
     """
     spark = docs.sparkSession
-    n = 4 * partitions(spark)
+    n = 2 * partitions(spark)
     low = -(1 << 63)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     dealt = lambda d: d.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
