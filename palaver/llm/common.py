@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import unicodedata
 import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _STAGED: list[tuple[SparkSession, str]] = []
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a folder of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="palaver-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -33,6 +36,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_rows(df: DataFrame, tag: str, count: str = "true") -> tuple[DataFrame, int]:
+    """`staged`, and how many of the rows fulfil a condition, counted while they are written."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count(F.when(F.expr(count), 1)).alias("n")), tag)
+    return out, seen.get["n"]
+
+
 def release(spark: SparkSession) -> None:
     """Delete every staged table of this process; results that still read one of them end here."""
     while _STAGED:
@@ -57,6 +67,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """At most `n` rows, those with the least hash of the key; the same ones on every run.
+
+    Of a large table a hash first lets about 4 n rows pass, so the ordering sees few rows whatever the table's size.
+    """
+    every = df.count() // (4 * n)
+    some = df.where(F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(every)) == 0) if every > 1 else df
+    return some.orderBy(F.xxhash64(*key), *key).limit(n)
+
+
 def id_crc(column) -> F.Column:
     """crc32 of the id as text, unsigned."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -66,6 +86,19 @@ def crc_of_id(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, size: str, share: float = 0.001) -> DataFrame:
+    """`rows` with the one row of `totals` that each key has; `size` is the key's number of rows.
+
+    Keys with more than `share` of all rows, at most 1 / share of them, are looked up by a broadcast, so a key with a
+    third of all rows is never gathered; the others are joined by a shuffle. Both tables should be staged.
+    """
+    least = totals.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] * share
+    large, small = totals.where(F.col(size) > least), totals.where(F.col(size) <= least)
+    marked = rows.join(F.broadcast(large.withColumn("__large", F.lit(True))), key, "left")
+    rest = marked.where(F.col("__large").isNull()).select(*rows.columns).join(small, key)
+    return marked.where("__large").drop("__large").unionByName(rest)
+
+
 # ---- characters -------------------------------------------------------------------------------------------
 
 _LETTERS = _ALNUM = None
@@ -169,15 +202,12 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     label = staged(e.selectExpr("explode(array(a, b)) node").distinct().withColumn("root", F.col("node")), f"{tag}-label")
     while True:
         la, lb = label.select(F.col("node").alias("a"), F.col("root").alias("ra")), label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        cross = staged(e.join(la, "a").join(lb, "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("hi"), F.least("ra", "rb").alias("lo")).distinct(), f"{tag}-cross")
-        if cross.isEmpty():
+        hooks = e.join(la, "a").join(lb, "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("hi"), F.least("ra", "rb").alias("lo"))
+        parent, left = staged_rows(hooks.groupBy("hi").agg(F.min("lo").alias("up")), f"{tag}-parent")
+        if not left:
             return label
-        parent = cross.groupBy("hi").agg(F.min("lo").alias("up"))
-        parent = staged(parent, f"{tag}-parent")
-        while True:  # pointer jumping among the roots that moved: up < hi always, so there are no cycles
+        while left:  # pointer jumping among the roots that moved: up < hi always, so there are no cycles
             p2 = parent.select(F.col("hi").alias("up"), F.col("up").alias("up2"))
-            jumped = staged(parent.join(p2, "up", "left").select("hi", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")), f"{tag}-jump")
-            parent = jumped.select("hi", "up")
-            if jumped.where("moved").isEmpty():
-                break
+            parent, left = staged_rows(parent.join(p2, "up", "left").select("hi", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")), f"{tag}-jump", "moved")
+            parent = parent.select("hi", "up")
         label = staged(label.join(parent.withColumnRenamed("hi", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{tag}-label")

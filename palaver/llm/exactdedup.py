@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import join_totals, partitions, staged
 
 #: Live digests that one task keeps; older ones are deleted from its index and passed on.
 MAX_LIVE = 200_000
@@ -172,7 +172,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     base = staged(digests(docs, id_col, text_col), "exact-base")
     groups = staged(exact_groups(base).withColumnRenamed("id", "keep_id").withColumnRenamed("chars", "keep_chars"), "exact-groups")
-    joined = base.join(groups, "digest")
+    joined = join_totals(base, groups, "digest", "n")
     return joined.select(
         F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

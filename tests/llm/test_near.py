@@ -31,8 +31,12 @@ def lcs(a, b):
 
 
 def similar(a, b):
-    n = lcs(a, b)
-    return bool(a and b) and n / (len(a) + len(b) - n) >= 0.8
+    """Order-aware similarity; what the shingles alone rule out is not aligned."""
+    most = sum((Counter(a) & Counter(b)).values()) if a and b and 0.8 * len(a) <= len(b) <= len(a) / 0.8 else 0
+    if not most or most / (len(a) + len(b) - most) < 0.8:
+        return False
+    n = len(a) if a == b else lcs(a, b)
+    return n / (len(a) + len(b) - n) >= 0.8
 
 
 def brute_classes(rows):
