@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, sampled
 
 # fixed values: the base patterns and their least lengths
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -268,7 +268,7 @@ def train(docs: DataFrame) -> Field:
     At most SAMPLE_TEXTS texts that hold a digit, of at most SAMPLE_CHARS characters, come to the driver: those with
     the least hash of the id.
     """
-    got = docs.select("doc_id", "text").where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9]")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_TEXTS)
+    got = sampled(docs.select("doc_id", "text").where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9]")), SAMPLE_TEXTS, "doc_id", "text")
     texts = [t for t in got.select("text").toArrow().column(0).to_pylist() if t]
     words = sorted({w for t in texts for w in t.split()[:200] if w.isalpha()})[:5000] or ["the", "of", "and", "some", "word"]
     chains = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyProbe, blocks, codes, id_crc, letter_table
+from .common import KeyProbe, blocks, codes, id_crc, letter_table, sampled
 
 ORDERS = (3, 4, 5)
 #: The classifier is fitted on at most so many labelled texts of each class, none longer than SAMPLE_CHARS.
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # one label a document: the larger where labels disagree
     known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
     # the sample is drawn from the narrow label table, a few ids more than needed as long texts fall out
-    ids = known.where("y = 1").orderBy("h", "id").limit(2 * SAMPLE_TOXIC).unionByName(known.where("y = 0").orderBy("h", "id").limit(2 * SAMPLE_CLEAN))
+    ids = sampled(known.where("y = 1"), 2 * SAMPLE_TOXIC, "id").unionByName(sampled(known.where("y = 0"), 2 * SAMPLE_CLEAN, "id"))
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id").where(F.length("text") <= SAMPLE_CHARS)
     texts = {}
     for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
