@@ -14,6 +14,7 @@ from ..operators import context as ctx
 from ..operators import entities as ent
 from ..operators import graph, memory, search, state, vectors
 from ..sources import recorder, vault
+from . import dossier
 from .index import Index, ScanResult, utc_now
 
 V1, V2 = "core.v1", "core.v2"
@@ -287,6 +288,17 @@ class Memory:
         hits = _rows(evidence.select(*search.EVIDENCE, "rank").orderBy("position"))
         return Response("topic", {"topic": topic, "language": lang["language"] if lang else None, "query_terms": terms, "meetings": hits, "evidence": hits, "structured_signals": _rows(signals.orderBy("position")), "related_people": _rows(graph.topic_people(linked, graph.people(self.chunks()), limit))})
 
+    def dossier(self, title: str, limit: int = 10, language: str | None = None) -> str:
+        """A topic as text, in the language set, else that of its evidence."""
+        data = self.topic(title, limit).data
+        return dossier.dossier(data, language or data["language"] or "en")
+
+    def ask_prompt(self, question: str, limit: int = ctx.DEFAULT_LIMIT, meeting: str | None = None, topic: str | None = None) -> str:
+        """The prompt that asks a language model a question with its context; a topic's title joins the search."""
+        memory_ = self.topic(topic, limit).data if topic else None
+        found = self.build_context(f"{topic} {question}" if topic else question, limit, meeting=meeting)
+        return dossier.prompt(question, found.data["markdown"], meeting, memory_)
+
     def graph(self, title: str, limit: int = 50) -> Response:
         topic = self._topic(title)
         chunks, found = self.chunks(), self.index.table("entities")

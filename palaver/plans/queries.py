@@ -13,6 +13,7 @@ from ..operators import entities as ent
 from ..operators import evaluation as ev
 from ..operators import graph, memory, search, state, vectors
 from ..sources import corpora
+from .dossier import KEYWORDS, classified
 from .index import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -441,6 +442,16 @@ def meeting_transcripts(spark, sf_dir):
     return c.groupBy("meeting_external_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
+_CLASSES = ", ".join(f"list_has_any([TRUE], [{' OR '.join(f'contains(lower(text), {chr(39)}{w.replace(chr(39), chr(39) * 2)}{chr(39)})' for w in words)}]) AS is_{kind}" for kind, words in KEYWORDS.items())
+
+
+@query(_with(_EVENTS, f"SELECT event_id AS chunk_id, {_CLASSES} FROM ev"))
+def evidence_classes(spark, sf_dir):
+    """Which kinds of signal an excerpt's words suggest."""
+    rows = classified(corpora.events(spark, sf_dir))
+    return rows.select("chunk_id", *[F.array_contains("classes", k).alias(f"is_{k}") for k in KEYWORDS])
+
+
 @query()
 def context_markdown(spark, sf_dir):
     """The context document of one question, rendered from its grouped hits."""

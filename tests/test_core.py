@@ -225,6 +225,11 @@ def test_topics_tasks_and_vault(memory, tmp_path):
     topic = memory.topic("move").data
     assert topic["topic"]["title"] == "Migration" and topic["related_people"][0]["display_name"] == "Dobrynya"
     assert {r["chunk_external_id"] for r in topic["evidence"]} >= {"transcript-2", "transcript-4"} and topic["structured_signals"]
+    text = memory.dossier("move")
+    assert text.startswith("What we know: Migration\nalias: move\nalias: миграция\n\nSummary\nFound ") and "Possible risks\n- Dobrynya" in text and text.endswith("Related people\n- Dobrynya")
+    assert memory.dossier("nothing here").split("\n")[3] == "No source-backed evidence found for this topic." and memory.dossier("move", language="ru").startswith("Что известно")
+    asked = memory.ask_prompt("Who owns it?", topic="move")
+    assert "Topic: Migration" in asked and "## Structured Signals" in asked and "# Relevant meetings" in asked
     graph_ = memory.graph("Migration").data
     assert {n["type"] for n in graph_["nodes"]} >= {"Topic", "Task", "Risk"} and any(e["relation"] == "belongs_to" for e in graph_["edges"])
     task = memory.structured_entities("action_items").data["entities"][0]
