@@ -77,6 +77,13 @@ def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
     return some.orderBy(F.xxhash64(*key), *key).limit(n)
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """One integer for each of `n` partitions that repartition(n, column) deals to it, so buckets fall one by one."""
+    some = spark.range(40 * n).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+    found = {r["p"]: r["k"] for r in some.groupBy("p").agg(F.min("k").alias("k")).collect()}  # n rows
+    return [found.get(p, p) for p in range(n)]
+
+
 def id_crc(column) -> F.Column:
     """crc32 of the id as text, unsigned."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, partitions, staged
+from .common import blocks, even_keys, partitions, staged
 
 #: Strings of LENGTH bytes count; a trigger is a rolling hash of GRAM bytes.
 LENGTH, GRAM = 100, 32
@@ -127,11 +127,12 @@ def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _blobs(kind: int, rows: np.ndarray, bucket: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+def _blobs(kind: int, rows: np.ndarray, bucket: np.ndarray, keys: list[int]) -> list[tuple[int, int, bytes]]:
+    n = len(keys)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(n + 1))
-    return [(kind, k, _pack(rows[cuts[k] : cuts[k + 1]])) for k in range(n) if cuts[k + 1] > cuts[k]]
+    return [(kind, keys[k], _pack(rows[cuts[k] : cuts[k + 1]])) for k in range(n) if cuts[k + 1] > cuts[k]]
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def _pieces(texts: list[bytes]):
                 yield texts[i][at : at + PARSE + LENGTH - 1], [(i, 0, at)]
 
 
-def _parse_task(n: int):
+def _parse_task(keys: list[int]):
     """Rows (id, text) to blobs: the first phrase of each content in this task, and marks for the others.
 
     What a task merges itself never travels: of a passage that a third of all documents share, each task sends one
@@ -202,7 +203,7 @@ def _parse_task(n: int):
             rest = rows[~head]
             marks = _joined(rest["doc"], rest["a"], rest["a"] + rest["n"])
             first = rows[head]
-            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["key"], n), n) + _blobs(MARKS, marks, _doc_bucket(marks["doc"], n), n))
+            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["key"], len(keys)), keys) + _blobs(MARKS, marks, _doc_bucket(marks["doc"], len(keys)), keys))
 
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), _bytes(b.column(1))
@@ -242,7 +243,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.n
         yield np.concatenate(parts)
 
 
-def _order_task(n: int):
+def _order_task(keys: list[int]):
     """Dictionary and parse of a bucket in order: marks for every phrase whose content came before in the corpus; and
     the first phrases of keys with more than one content, whose strings must be looked at one by one."""
 
@@ -257,12 +258,12 @@ def _order_task(n: int):
             same = first["key"][1:] == first["key"][:-1]
             more = np.r_[same, False] | np.r_[False, same] if first.size else np.empty(0, bool)
             ask = _joined(first["doc"][more], first["a"][more], first["a"][more] + first["n"][more])
-            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks["doc"], n), n) + _blobs(ASKED, ask, _doc_bucket(ask["doc"], n), n))
+            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks["doc"], len(keys)), keys) + _blobs(ASKED, ask, _doc_bucket(ask["doc"], len(keys)), keys))
 
     return run
 
 
-def _ship_task(n: int):
+def _ship_task(keys: list[int]):
     """Rows (id, text) to blobs: the texts of a batch that fall into one bucket, compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,14 +271,14 @@ def _ship_task(n: int):
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), _bytes(b.column(1))
             for i, j in blocks([len(t) for t in texts], HOLD):
-                bucket = _doc_bucket(ids[i:j], n)
+                bucket = _doc_bucket(ids[i:j], len(keys))
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+                cuts = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
                 out = []
                 for k in np.nonzero(cuts[1:] > cuts[:-1])[0].tolist():
                     own = [i + r for r in order[cuts[k] : cuts[k + 1]].tolist()]
                     head = np.array([len(own), *ids[own].tolist(), *(len(texts[r]) for r in own)], np.int64).tobytes()
-                    out.append((DOCS, k, pack.compress(head + b"".join(texts[r] for r in own))))
+                    out.append((DOCS, keys[k], pack.compress(head + b"".join(texts[r] for r in own))))
                 yield from _batch(out)
 
     return run
@@ -323,7 +324,7 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(d == 1)[0], np.nonzero(d == -1)[0]
 
 
-def _open_task(n: int):
+def _open_task(keys: list[int]):
     """The strings that were asked for, by 128-bit hash: the first of each content in this task, marks for the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +334,7 @@ def _open_task(n: int):
             rows, head = _first(np.concatenate(held), ("h1", "h2"))
             rest, first = rows[~head], rows[head]
             marks = _joined(rest["doc"], rest["a"], rest["a"])
-            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["h1"], n), n) + _blobs(MARKS, marks, _doc_bucket(marks["doc"], n), n))
+            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["h1"], len(keys)), keys) + _blobs(MARKS, marks, _doc_bucket(marks["doc"], len(keys)), keys))
 
         for docs, wanted in _docs_with_marks(batches):
             for i, text in docs:
@@ -361,7 +362,7 @@ def _merged(marks: np.ndarray | None) -> list[tuple[int, int]]:
     return list(zip(out["a"].tolist(), out["b"].tolist(), strict=True))
 
 
-def _window_task(n: int):
+def _window_task(keys: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches, WINDOW):
             if isinstance(rows, tuple):
@@ -370,7 +371,7 @@ def _window_task(n: int):
             rows, head = _first(rows, ("h1", "h2"))
             rest = rows[~head]
             marks = _joined(rest["doc"], rest["a"], rest["a"])
-            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks["doc"], n), n))
+            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks["doc"], len(keys)), keys))
 
     return run
 
@@ -414,15 +415,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept and the spans removed (byte offsets, end exclusive).
     """
     spark = docs.sparkSession
-    n = 2 * partitions(spark)
+    n = partitions(spark)
+    keys = even_keys(spark, n)
     low = -(1 << 63)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     dealt = lambda d: d.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    ordered = staged(dealt(base.mapInArrow(_parse_task(n), _BLOB)).mapInArrow(_order_task(n), _BLOB), "repeats-ordered")
-    shipped = base.mapInArrow(_ship_task(n), _BLOB)
+    ordered = staged(dealt(base.mapInArrow(_parse_task(keys), _BLOB)).mapInArrow(_order_task(keys), _BLOB), "repeats-ordered")
+    shipped = base.mapInArrow(_ship_task(keys), _BLOB)
     asked = ordered.where(F.col("kind") == ASKED)
-    opened = dealt(shipped.unionByName(asked)).mapInArrow(_open_task(n), _BLOB)
-    marks = staged(dealt(opened).mapInArrow(_window_task(n), _BLOB), "repeats-opened")
+    opened = dealt(shipped.unionByName(asked)).mapInArrow(_open_task(keys), _BLOB)
+    marks = staged(dealt(opened).mapInArrow(_window_task(keys), _BLOB), "repeats-opened")
     marks = marks.unionByName(ordered.where(F.col("kind") == MARKS))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, span_from array<long>, span_to array<long>"
     out = dealt(shipped.unionByName(marks)).mapInArrow(_cut_task(8 if texts else 5), schema if texts else schema.split(", kept binary")[0])
