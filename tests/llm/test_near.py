@@ -241,3 +241,25 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_totals_reach_every_row_of_large_and_small_keys(spark):
+    rows = spark.createDataFrame([(k if i % 2 else 0, i) for i in range(4000) for k in [i % 1500]], "k long, i long")
+    totals = rows.groupBy("k").count()
+    got = common.join_totals(rows, totals, "k", "count").collect()
+    want = Counter(r.k for r in rows.collect())
+    assert len(got) == 4000 and all(r["count"] == want[r.k] for r in got)
+    assert common.join_totals(rows.limit(0), totals.limit(0), "k", "count").count() == 0
+
+
+def test_samples_are_bounded_and_stable(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id")
+    a = [r.doc_id for r in common.sampled(df, 50, "doc_id").collect()]
+    assert len(a) == 50 and sorted(a) == sorted(r.doc_id for r in common.sampled(df.repartition(7), 50, "doc_id").collect())
+    assert common.sampled(df.limit(0), 50, "doc_id").count() == 0 and common.sampled(df.limit(30), 50, "doc_id").count() == 30
+
+
+def test_even_keys_deal_one_bucket_a_partition(spark):
+    keys = common.even_keys(spark, 13)
+    dealt = spark.createDataFrame([(k,) for k in keys], "k int").repartition(13, "k").selectExpr("k", "spark_partition_id() p").collect()
+    assert sorted(r.p for r in dealt) == list(range(13)) and {r.k: r.p for r in dealt} == {k: p for p, k in enumerate(keys)}
