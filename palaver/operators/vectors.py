@@ -156,3 +156,20 @@ class HttpProvider:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.float32()))], ["chunk_id", "vector"])
 
         return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").mapInArrow(run, "chunk_id long, vector array<float>")
+
+
+HASH_NAMES = ("hash", "local", "local-hash", "local_hash")
+
+
+def resolve_provider(name: str | None = None, env: dict | None = None, config: dict | None = None, default: str = "ollama", **http):
+    """The embedding provider: the argument, then PALAVER_EMBEDDINGS of the environment, then the settings, then the default."""
+    import os
+
+    env, config = os.environ if env is None else env, config or {}
+    chosen = (name or env.get("PALAVER_EMBEDDINGS") or config.get("provider") or default).casefold()
+    if chosen in HASH_NAMES:
+        return HashProvider()
+    if chosen != "ollama":
+        raise ValueError(f"unknown embedding provider: {chosen}")
+    url = http.get("url") or env.get("PALAVER_EMBEDDINGS_URL") or config.get("url") or "http://127.0.0.1:11434/api/embed"
+    return HttpProvider(url, http.get("model") or config.get("model") or "nomic-embed-text", int(http.get("dims") or config.get("dims") or 768))

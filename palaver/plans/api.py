@@ -200,6 +200,13 @@ class Memory:
             raise LookupError(f"evidence not found: {evidence_id}")
         return hit
 
+    def evidence_at(self, source_path: str, meeting_external_id: str, chunk_external_id: str | None = None, kind: str | None = None, ordinal: int | None = None) -> dict | None:
+        """One evidence row by its place: the chunk's id, or kind and ordinal where it has none."""
+        own = self.chunks().where((F.col("source_path") == source_path) & (F.col("meeting_external_id") == meeting_external_id))
+        own = own.where(F.col("chunk_external_id") == chunk_external_id) if chunk_external_id else own.where(F.col("chunk_external_id").isNull() & (F.col("kind") == kind) & (F.col("ordinal") == ordinal))
+        row = own.select(*search.EVIDENCE).first()
+        return row.asDict() if row else None
+
     def context_bundle(self, question: str, limit: int = ctx.DEFAULT_LIMIT, meeting_id: int | None = None, neighbor_count: int = 0, max_evidence: int = ctx.MAX_EVIDENCE) -> dict:
         if neighbor_count < 0 or max_evidence < 1:
             raise ValueError("neighbor_count must not be negative and max_evidence must be positive")

@@ -178,6 +178,7 @@ def test_api_versions_and_ids(memory):
     assert memory.resolve_search_hit(v2[0]["id"])["excerpt"]["text"] == v2[0]["excerpt"]["text"]
     with pytest.raises(LookupError):
         memory.resolve_search_hit("evidence:0")
+    assert memory.evidence_at(str(memory.file), "meeting-1", "transcript-1")["ordinal"] == 0 and memory.evidence_at("x", "meeting-1", kind="note", ordinal=1) is None
     with pytest.raises(ValueError):
         memory.search("x", contract_version="3")
     small = memory.compact_search_hits("launch", 1, preview_length=6)[0]
@@ -278,6 +279,40 @@ def test_vectors(spark, memory):
     assert t.RRF_K == 60
 
 
+def test_providers():
+    assert vectors.resolve_provider("Hash").provider == "hash" and vectors.resolve_provider(env={}, config={"provider": "local"}).provider == "hash"
+    assert vectors.resolve_provider(env={"PALAVER_EMBEDDINGS": "ollama"}, config={"provider": "hash"}).dims == 768
+    with pytest.raises(ValueError):
+        vectors.resolve_provider("none", {})
+
+
+def test_embedding_server(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    sizes = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            n = len(json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"])
+            sizes.append(n)
+            body = json.dumps({"embeddings": [[0.1, 0.2, 0.3]] * n}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    p = vectors.HttpProvider(f"http://127.0.0.1:{server.server_port}", "m", 3, batch=2)
+    assert p.embed_query(spark, "x") == [0.2672612419124244, 0.5345224838248488, 0.8017837257372731]
+    p.request(["a", "b"])
+    server.shutdown()
+    assert sizes == [1, 2]
+
+
 def test_fusion_ties_prefer_the_lexical_rank(spark):
     rank = lambda *ids: spark.createDataFrame([(i, n) for n, i in enumerate(ids, 1)], "evidence_id string, position int")
     got = vectors.fuse(rank("a", "b"), rank("c", "b"), None).orderBy("position").collect()
@@ -297,6 +332,8 @@ def test_evaluation(spark, memory, tmp_path):
     m = report.metrics
     assert [m[k] for k in ("hit_at_1", "hit_at_3", "hit_at_5", "mrr", "source_accuracy", "median_source_openings", "empty_result_rate")] == [1, 1, 1, 1, 1, 1, 0]
     assert m["ndcg"] == pytest.approx(0.9131173286)
+    manifest = evaluation.build_manifest(evaluation.load_dataset(spark, str(path)), memory.chunks(), 4, 5, context=0)
+    assert set(evaluation.COMPATIBILITY) <= set(manifest) and evaluation.compatible(manifest, dict(manifest, run_id="x")) == []
     report.save(tmp_path / "r.json")
     assert evaluation.Report.load(tmp_path / "r.json").metrics == m
     with pytest.raises(ValueError):
