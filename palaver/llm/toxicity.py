@@ -101,23 +101,26 @@ def fit(toxic: list[str], clean: list[str], min_z: float = MIN_Z, max_features:
     ratio = np.log(((a + 1) / (ta + 2)) / ((b + 1) / (tb + 2)))[np.sort(best)]
     texts = toxic + clean
     y = np.r_[np.ones(ta), np.zeros(tb)]
-    x = np.zeros((len(texts), keys.size + 1), np.float32)
+    x = np.zeros((len(texts), keys.size + 1), np.bool_)
     x[:, -1] = 1
     for r, t in enumerate(texts):
         c = text_codes(t)
         g = np.concatenate([grams(c, n) for n in ORDERS])
         at = np.minimum(np.searchsorted(keys, g), keys.size - 1)
         x[r, at[keys[at] == g]] = 1
-    x[:, :-1] *= ratio.astype(np.float32)
+    scale = np.r_[ratio, 1.0]
     w = np.zeros(keys.size + 1)
     w[-1] = prior
     ridge = np.full(w.size, 1.0)
     ridge[-1] = 1e-3
     for _ in range(15):
-        m = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (m - y) + ridge * w
-        hess = (x * (m * (1 - m)).astype(np.float32)[:, None]).T @ x
-        step = np.linalg.solve(hess.astype(np.float64) + np.diag(ridge), grad)
+        grad, hess = ridge * w, np.diag(ridge)
+        for r in range(0, len(texts), 1024):  # the driver never holds more than this many rows as numbers
+            part = x[r : r + 1024] * scale
+            m = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            grad = grad + part.T @ (m - y[r : r + 1024])
+            hess = hess + (part * (m * (1 - m))[:, None]).T @ part
+        step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
