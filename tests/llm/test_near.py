@@ -93,6 +93,25 @@ def test_near_classes_match_brute_force(make, prose):
     assert kept == set(want.values())
 
 
+def test_large_family_below_its_leads_is_linked_whole(make, prose):
+    """Every two texts that share a sketch are linked or aligned, although the least of their bucket links neither."""
+    r, base = random.Random(8), prose(200, 31)
+    rows = [(i, " ".join(edited(base, 3, r))) for i in range(300)]
+    s = {i: neardup.shingles(neardup.word_hashes(t)) for i, t in rows}
+    share = defaultdict(list)
+    for i, _ in rows:
+        for k in set(neardup.keys(s[i]).tolist()):
+            share[k].append(i)
+    tried = {(a, b) for ids in share.values() for a in ids for b in ids if a < b}
+    root = list(range(300))
+    for a, b in sorted(tried):
+        if root[a] != root[b] and neardup.aligned(s[a], s[b]):
+            lo, hi = sorted((root[a], root[b]))
+            root = [lo if x == hi else x for x in root]
+    got = {x.doc_id: x.class_id for x in neardup.near_classes(make(rows)).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_alignment_matches_dynamic_programming():
     r = random.Random(5)
     for _ in range(300):
