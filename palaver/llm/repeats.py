@@ -20,9 +20,11 @@ SPAN = LENGTH - GRAM + 1  # trigger places in one string
 PARSE, HOLD = 1 << 20, 48 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-PHRASE = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("n", "u1")])
-WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("a", "<i4")])
-MARK = np.dtype([("doc", "<i8"), ("a", "<i4"), ("b", "<i4")])
+#: A document is an id and the digest of its text: rows that share an id are told apart, equal rows are not.
+DOC = np.dtype([("doc", "<i8"), ("sub", "<u8")])
+PHRASE = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("sub", "<u8"), ("a", "<i4"), ("n", "u1")])
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("sub", "<u8"), ("a", "<i4")])
+MARK = np.dtype([("doc", "<i8"), ("sub", "<u8"), ("a", "<i4"), ("b", "<i4")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,8 +92,12 @@ def parse(b: np.ndarray, ends: np.ndarray):
 
 
 def _first(rows: np.ndarray, fields) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts rows by content and corpus order; (sorted rows, whether each is the first of its content)."""
-    rows = rows[np.lexsort(tuple(rows[f] for f in ("a", "doc", *reversed(fields))))]
+    """Sorts rows by content and corpus order; (sorted rows, whether each is the first of its content).
+
+    Equal rows of the table have equal places: these stay once, and `_cut_task` sees to the copies."""
+    rows = rows[np.lexsort(tuple(rows[f] for f in ("a", "sub", "doc", *reversed(fields))))]
+    if rows.size:
+        rows = rows[np.r_[True, np.any([rows[f][1:] != rows[f][:-1] for f in (*fields, "doc", "sub", "a")], axis=0)]]
     head = np.ones(rows.size, bool)
     if rows.size:
         head[1:] = np.any([rows[f][1:] != rows[f][:-1] for f in fields], axis=0)
@@ -101,8 +107,14 @@ def _first(rows: np.ndarray, fields) -> tuple[np.ndarray, np.ndarray]:
 def _pack(rows: np.ndarray) -> bytes:
     """Columns apart, bytes of equal weight together, ids as a table and indexes: sorted hashes and places then
     compress to about half."""
-    ids, index = np.unique(rows["doc"], return_inverse=True)
-    columns = [ids, index.astype("<u4"), *(rows[f] for f in rows.dtype.names if f != "doc")]
+    order = np.lexsort((rows["sub"], rows["doc"]))
+    doc, sub = rows["doc"][order], rows["sub"][order]
+    new = np.ones(rows.size, bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])
+    index = np.empty(rows.size, "<u4")
+    index[order] = np.cumsum(new) - 1
+    ids = doc[new]
+    columns = [ids, sub[new], index, *(rows[f] for f in rows.dtype.names if f not in DOC.names)]
     planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(c.size, -1).T).tobytes() for c in columns]
     return np.array([rows.size, ids.size], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
@@ -118,11 +130,11 @@ def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
         at += planes.size
         return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
-    ids, index = column(k, "<i8"), column(n, "<u4")
+    ids, subs, index = column(k, "<i8"), column(k, "<u8"), column(n, "<u4")
     out = np.empty(n, kind)
-    out["doc"] = ids[index]
+    out["doc"], out["sub"] = ids[index], subs[index]
     for f in kind.names:
-        if f != "doc":
+        if f not in DOC.names:
             out[f] = column(n, kind[f])
     return out
 
@@ -145,22 +157,30 @@ _BLOB = "kind int, bucket int, blob binary"
 PHRASES, MARKS, ASKED, DOCS = 0, 1, 2, 3
 
 
-def _doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(doc.astype(np.int64).view(np.uint64) + _M3) % np.uint64(n)).astype(np.int64)
+def _doc_bucket(rows: np.ndarray, n: int) -> np.ndarray:
+    return (_mix(_mix(rows["doc"].view(np.uint64) + _M3) + rows["sub"]) % np.uint64(n)).astype(np.int64)
+
+
+def _docs(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The documents (id, digest) of rows."""
+    out = np.empty(len(texts), DOC)
+    out["doc"] = ids
+    out["sub"] = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts]
+    return out
 
 
 def _key_bucket(key: np.ndarray, n: int) -> np.ndarray:
     return (_mix(key) % np.uint64(n)).astype(np.int64)
 
 
-def _joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _joined(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Marks of begin places a..b, sorted, neighbours in a document joined."""
-    out = np.empty(doc.size, MARK)
-    out["doc"], out["a"], out["b"] = doc, a, b
-    out = out[np.lexsort((out["a"], out["doc"]))]
+    out = np.empty(rows.size, MARK)
+    out["doc"], out["sub"], out["a"], out["b"] = rows["doc"], rows["sub"], a, b
+    out = out[np.lexsort((out["a"], out["sub"], out["doc"]))]
     if not out.size:
         return out
-    new = np.r_[True, (out["doc"][1:] != out["doc"][:-1]) | (out["a"][1:] > out["b"][:-1] + 1)]
+    new = np.r_[True, (out["doc"][1:] != out["doc"][:-1]) | (out["sub"][1:] != out["sub"][:-1]) | (out["a"][1:] > out["b"][:-1] + 1)]
     at = np.nonzero(new)[0]
     head = out[at].copy()
     head["b"] = np.maximum.reduceat(out["b"], at)
@@ -201,19 +221,21 @@ def _parse_task(keys: list[int]):
         def flush():
             rows, head = _first(np.concatenate(held), ("key", "ctx"))
             rest = rows[~head]
-            marks = _joined(rest["doc"], rest["a"], rest["a"] + rest["n"])
+            marks = _joined(rest, rest["a"], rest["a"] + rest["n"])
             first = rows[head]
-            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["key"], len(keys)), keys) + _blobs(MARKS, marks, _doc_bucket(marks["doc"], len(keys)), keys))
+            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["key"], len(keys)), keys) + _blobs(MARKS, marks, _doc_bucket(marks, len(keys)), keys))
 
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), _bytes(b.column(1))
+            docs = _docs(ids, texts)
             for whole, rows in _pieces(texts):
                 a, z, key, ctx = parse(np.frombuffer(whole, np.uint8), np.array([r[1] for r in rows[1:]] + [len(whole)]))
                 if not a.size:
                     continue
                 r = np.searchsorted([x[1] for x in rows], a, "right") - 1
                 out = np.empty(a.size, PHRASE)
-                out["key"], out["ctx"], out["doc"] = key, ctx, ids[np.array([x[0] for x in rows])[r]]
+                own = docs[np.array([x[0] for x in rows])[r]]
+                out["key"], out["ctx"], out["doc"], out["sub"] = key, ctx, own["doc"], own["sub"]
                 out["a"], out["n"] = a + np.array([x[2] - x[1] for x in rows])[r], z - a
                 held.append(out)
                 size += out.nbytes
@@ -254,11 +276,11 @@ def _order_task(keys: list[int]):
                 continue
             rows, head = _first(rows, ("key", "ctx"))
             rest, first = rows[~head], rows[head]
-            marks = _joined(rest["doc"], rest["a"], rest["a"] + rest["n"])
+            marks = _joined(rest, rest["a"], rest["a"] + rest["n"])
             same = first["key"][1:] == first["key"][:-1]
             more = np.r_[same, False] | np.r_[False, same] if first.size else np.empty(0, bool)
-            ask = _joined(first["doc"][more], first["a"][more], first["a"][more] + first["n"][more])
-            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks["doc"], len(keys)), keys) + _blobs(ASKED, ask, _doc_bucket(ask["doc"], len(keys)), keys))
+            ask = _joined(first[more], first["a"][more], first["a"][more] + first["n"][more])
+            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks, len(keys)), keys) + _blobs(ASKED, ask, _doc_bucket(ask, len(keys)), keys))
 
     return run
 
@@ -270,40 +292,41 @@ def _ship_task(keys: list[int]):
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), _bytes(b.column(1))
+            docs = _docs(ids, texts)
             for i, j in blocks([len(t) for t in texts], HOLD):
-                bucket = _doc_bucket(ids[i:j], len(keys))
+                bucket = _doc_bucket(docs[i:j], len(keys))
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
                 out = []
                 for k in np.nonzero(cuts[1:] > cuts[:-1])[0].tolist():
                     own = [i + r for r in order[cuts[k] : cuts[k + 1]].tolist()]
-                    head = np.array([len(own), *ids[own].tolist(), *(len(texts[r]) for r in own)], np.int64).tobytes()
+                    head = np.array([len(own), *ids[own].tolist(), *docs["sub"][own].view(np.int64).tolist(), *(len(texts[r]) for r in own)], np.int64).tobytes()
                     out.append((DOCS, keys[k], pack.compress(head + b"".join(texts[r] for r in own))))
                 yield from _batch(out)
 
     return run
 
 
-def _shipped(blob: bytes) -> Iterator[tuple[int, bytes]]:
+def _shipped(blob: bytes) -> Iterator[tuple[tuple[int, int], bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    ids, sizes = np.frombuffer(raw, np.int64, n, 8).tolist(), np.frombuffer(raw, np.int64, n, 8 + 8 * n).tolist()
-    at = 8 + 16 * n
-    for i, size in zip(ids, sizes, strict=True):
-        yield i, raw[at : at + size]
+    ids, subs, sizes = (np.frombuffer(raw, kind, n, 8 + 8 * n * k).tolist() for k, kind in enumerate((np.int64, np.uint64, np.int64)))
+    at = 8 + 24 * n
+    for i, sub, size in zip(ids, subs, sizes, strict=True):
+        yield (i, sub), raw[at : at + size]
         at += size
 
 
-def _marks_by_doc(blobs: list[bytes]) -> dict[int, np.ndarray]:
+def _marks_by_doc(blobs: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
     if not blobs:
         return {}
     rows = np.concatenate([_unpack(x, MARK) for x in blobs])
-    rows = rows[np.argsort(rows["doc"], kind="stable")]
-    ids, at = np.unique(rows["doc"], return_index=True)
-    return dict(zip(ids.tolist(), np.split(rows, at[1:]), strict=True))
+    rows = rows[np.lexsort((rows["sub"], rows["doc"]))]
+    at = np.nonzero(np.r_[True, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["sub"][1:] != rows["sub"][:-1])])[0] if rows.size else np.empty(0, np.int64)
+    return dict(zip(zip(rows["doc"][at].tolist(), rows["sub"][at].tolist(), strict=True), np.split(rows, at[1:]), strict=True)) if rows.size else {}
 
 
-def _docs_with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, bytes]], dict[int, np.ndarray]]]:
+def _docs_with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[tuple[int, int], bytes]], dict[tuple[int, int], np.ndarray]]]:
     """Blobs of documents, each with the marks of its bucket; the partition is sorted by bucket, then marks first."""
     now, blobs, marks = None, [], None
     for b in batches:
@@ -333,8 +356,8 @@ def _open_task(keys: list[int]):
         def flush():
             rows, head = _first(np.concatenate(held), ("h1", "h2"))
             rest, first = rows[~head], rows[head]
-            marks = _joined(rest["doc"], rest["a"], rest["a"])
-            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["h1"], len(keys)), keys) + _blobs(MARKS, marks, _doc_bucket(marks["doc"], len(keys)), keys))
+            marks = _joined(rest, rest["a"], rest["a"])
+            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["h1"], len(keys)), keys) + _blobs(MARKS, marks, _doc_bucket(marks, len(keys)), keys))
 
         for docs, wanted in _docs_with_marks(batches):
             for i, text in docs:
@@ -343,7 +366,7 @@ def _open_task(keys: list[int]):
                         b = np.frombuffer(text, np.uint8)[a1 : min(z, a1 + PARSE - 1) + LENGTH]
                         one, two = string_hashes(gram_hashes(b)), string_hashes(gram_hashes(b, _M1), _M2)
                         out = np.empty(one.size, WINDOW)
-                        out["h1"], out["h2"], out["doc"], out["a"] = one, two, i, np.arange(a1, a1 + one.size)
+                        out["h1"], out["h2"], out["doc"], out["sub"], out["a"] = one, two, *i, np.arange(a1, a1 + one.size)
                         held.append(out)
                         size += out.nbytes
                 if size > HOLD:
@@ -358,7 +381,7 @@ def _open_task(keys: list[int]):
 def _merged(marks: np.ndarray | None) -> list[tuple[int, int]]:
     if marks is None:
         return []
-    out = _joined(marks["doc"], marks["a"], marks["b"])
+    out = _joined(marks, marks["a"], marks["b"])
     return list(zip(out["a"].tolist(), out["b"].tolist(), strict=True))
 
 
@@ -370,8 +393,8 @@ def _window_task(keys: list[int]):
                 continue
             rows, head = _first(rows, ("h1", "h2"))
             rest = rows[~head]
-            marks = _joined(rest["doc"], rest["a"], rest["a"])
-            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks["doc"], len(keys)), keys))
+            marks = _joined(rest, rest["a"], rest["a"])
+            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks, len(keys)), keys))
 
     return run
 
@@ -381,16 +404,19 @@ _NAMES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "s
 
 
 def _cut_task(width: int):
-    """Remove the bytes that marked strings cover."""
+    """Remove the bytes that marked strings cover; of equal rows, which meet here, all of each after the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for docs, found in _docs_with_marks(batches):
             out = []
             for i, text in docs:
                 kept, removed, spans = text, 0, ([], [])
-                if i in found:
+                if i in seen and len(text) >= LENGTH:
+                    kept, removed, spans = b"", len(text), ([0], [len(text)])
+                elif i in found:
                     edge = np.zeros(len(text) + 1, np.int32)
-                    own = _joined(found[i]["doc"], found[i]["a"], found[i]["b"])
+                    own = _joined(found[i], found[i]["a"], found[i]["b"])
                     own = own[own["b"] + LENGTH <= len(text)]
                     np.add.at(edge, own["a"], 1)
                     np.add.at(edge, own["b"] + LENGTH, -1)
@@ -398,7 +424,8 @@ def _cut_task(width: int):
                     spans = tuple(x.tolist() for x in _runs(gone))
                     removed = int(gone.sum())
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((i, len(text), removed, len(spans[0]), hashlib.sha256(kept).hexdigest(), kept, spans[0], spans[1])[:width])
+                seen.add(i)
+                out.append((i[0], len(text), removed, len(spans[0]), hashlib.sha256(kept).hexdigest(), kept, spans[0], spans[1])[:width])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=False)], list(_NAMES[:width]))
 
     return run
@@ -410,8 +437,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removes each byte covered by a LENGTH-byte string that also begins earlier in the corpus: in a document with a
     smaller id, or earlier in the same one. Strings never cross documents and are judged on the input. Null text is
     empty. The id must be an integer; a null id comes before all others (as the smallest integer). Rows with the same
-    id are documents of their own only in n_bytes and hash: as they share an id, strings at the same place of two of
-    them are one place. Very long texts are parsed in pieces. An empty table gives no rows. `texts`: with the bytes
+    id, null ids too, are documents of their own, in the order of the 64-bit digests of their texts; of equal rows the
+    first is treated like any document, and the others lose all their bytes if they have LENGTH. Very long texts are parsed in pieces. An empty table gives no rows. `texts`: with the bytes
     kept and the spans removed (byte offsets, end exclusive).
     """
     spark = docs.sparkSession
@@ -431,10 +458,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id"))).withColumnRenamed("doc_id", id_col)
 
 
-def brute(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:
+def brute(rows: list[tuple[int | None, str | None]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:
     """The same by a dictionary of all strings, for small inputs."""
     seen, out = set(), []
-    for i, t in sorted(rows):
+    digest = lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little")
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, digest(x[1]))):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for s in range(len(b) - length + 1):

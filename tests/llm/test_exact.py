@@ -114,3 +114,13 @@ def test_kept_bytes_and_spans_agree(make):
 def test_repeats_edges(make, odd):
     assert repeats.remove_repeats(make([])).count() == 0
     assert repeats.remove_repeats(odd).count() == 9
+
+
+def test_repeats_of_rows_that_share_an_id(make, prose):
+    """Equal rows keep one copy, and what repeats in one row with a null or repeated id is not cut out of another."""
+    t, u, v, w = (" ".join(prose(60, 700 + k)) for k in range(4))
+    rows = [(6, t), (6, t), (6, t), (6, u), (None, v), (None, v), (None, w + v[:150]), (None, w[::-1]), (9, u[:120] + "end"), (7, "short"), (7, "short")]
+    got = sorted(((r.doc_id or -1, *tuple(r)[1:5]) for r in repeats.remove_repeats(make(rows).repartition(3)).collect()))
+    assert got == sorted((r[0] or -1, *r[1:]) for r in repeats.brute(rows))
+    kept = [r.kept.decode() for r in repeats.remove_repeats(make(rows)).where("doc_id = 6").collect()]
+    assert sorted(kept) == sorted([t, u, "", ""])
