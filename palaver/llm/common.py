@@ -43,13 +43,31 @@ def staged_rows(df: DataFrame, tag: str, count: str = "true") -> tuple[DataFrame
     return out, seen.get["n"]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every staged table of this process; results that still read one of them end here."""
     while _STAGED:
-        _, path = _STAGED.pop()
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, _STAGED.pop()[1])
+
+
+def last_staged() -> int:
+    """A mark for `forget`: the tables staged so far."""
+    return len(_STAGED)
+
+
+def forget(since: int, *needed: DataFrame) -> None:
+    """Delete the tables staged since a mark but those that `needed` read; for work whose last step is staged itself."""
+    read = {f for df in needed for f in df.inputFiles()}
+    for spark, path in _STAGED[since:]:
+        tag = path.rsplit("/", 1)[1]
+        if not any(f"/{tag}/" in f for f in read):
+            _STAGED.remove((spark, path))
+            _delete(spark, path)
 
 
 @atexit.register
@@ -63,6 +81,16 @@ def _at_exit() -> None:
                 _STAGED.clear()
 
 
+def numbered(df: DataFrame, tag: str, name: str = "row") -> DataFrame:
+    """`df`, staged, with a number of its own for each row: ids may be null or repeated, so they tell no rows apart."""
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), tag)
+
+
+def names(df: DataFrame) -> list[F.Column]:
+    """The columns of `df` as they are called, dots and quotes included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -111,45 +139,63 @@ def join_totals(rows: DataFrame, totals: DataFrame, key: str, size: str, share:
 _LETTERS = _ALNUM = None
 
 
-def _lut(keep) -> np.ndarray:
-    """Lower-case code of every kept code point below 0x10000, a space for the others."""
-    table = np.full(65536, 32, np.uint16)
-    for cp in range(65536):
+def _is_letter(ch: str) -> bool:
+    return ch.isalpha() or unicodedata.category(ch) in ("Mn", "Mc")
+
+
+class Alphabet:
+    """Which code points are kept, and their lower-case codes; the others are spaces.
+
+    Codes have 16 bits. A kept code point beyond 0xFFFF becomes its two UTF-16 surrogates, so no two are confused.
+    """
+
+    def __init__(self, keep):
+        self.keep = keep
+        self.table = np.full(65536, 32, np.uint16)
+        for cp in range(65536):
+            ch = chr(cp)
+            if not 0xD800 <= cp < 0xE000 and keep(ch):
+                low = ch.lower()
+                self.table[cp] = ord(low) if len(low) == 1 and ord(low) < 65536 else cp
+
+    def beyond(self, cp: int) -> int:
+        """Lower-case code point of one beyond 0xFFFF, 32 if it is not kept."""
         ch = chr(cp)
-        if 0xD800 <= cp < 0xE000 or not keep(ch):
-            continue
         low = ch.lower()
-        table[cp] = ord(low) if len(low) == 1 and ord(low) < 65536 else cp
-    return table
+        return 32 if not self.keep(ch) else ord(low) if len(low) == 1 and ord(low) > 0xFFFF else cp
 
 
-def letter_table() -> np.ndarray:
+def letter_table() -> Alphabet:
     global _LETTERS
     if _LETTERS is None:
-        _LETTERS = _lut(lambda c: c.isalpha() or unicodedata.category(c) in ("Mn", "Mc"))
+        _LETTERS = Alphabet(_is_letter)
     return _LETTERS
 
 
-def alnum_table() -> np.ndarray:
+def alnum_table() -> Alphabet:
     global _ALNUM
     if _ALNUM is None:
-        _ALNUM = _lut(str.isalnum)
+        _ALNUM = Alphabet(str.isalnum)
     return _ALNUM
 
 
-def codes(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of `text` with other characters as single spaces, none at either end; and the position of each.
-
-    Code points beyond 0xFFFF are folded into the private-use range when they are letters or digits.
-    """
+def codes(text: str, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit codes of `text` with other characters as single spaces, none at either end; and the position of each."""
     cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    place = None
     if cp.size and cp.max() > 0xFFFF:
-        cp = cp.copy()
-        for i in np.nonzero(cp > 0xFFFF)[0]:
-            cp[i] = 0xE000 + cp[i] % 4096 if chr(cp[i]).isalnum() else 32
-        low = np.where((cp >= 0xE000) & (cp < 0xF000), cp.astype(np.uint16), table[cp])
+        far, which = np.unique(cp[cp > 0xFFFF], return_inverse=True)
+        wide = np.array([alphabet.beyond(c) for c in far.tolist()], np.uint32)[which]
+        low = alphabet.table[np.where(cp > 0xFFFF, 32, cp)].astype(np.uint32)
+        low[cp > 0xFFFF] = wide
+        place = np.repeat(np.arange(cp.size), np.where(low > 0xFFFF, 2, 1))
+        units, first = low[place], np.r_[True, place[1:] != place[:-1]]
+        pair = units > 0xFFFF
+        units[pair & first] = 0xD800 + ((units[pair & first] - 0x10000) >> 10)
+        units[pair & ~first] = 0xDC00 + ((units[pair & ~first] - 0x10000) & 0x3FF)
+        low = units.astype(np.uint16)
     else:
-        low = table[cp]
+        low = alphabet.table[cp]
     blank = low == 32
     keep = ~blank
     if keep.size:
@@ -157,7 +203,7 @@ def codes(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.nonzero(keep)[0]
     if at.size and blank[at[-1]]:
         at = at[:-1]
-    return low[at], at
+    return low[at], at if place is None else place[at]
 
 
 def blocks(sizes, limit: int):

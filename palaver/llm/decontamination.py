@@ -206,18 +206,33 @@ def _documents(items: Items, made, starts, item, begin, at, ids) -> list[tuple]:
     return rows
 
 
+def _found(items: Items, ids: list, texts: list[str | None]) -> list[tuple]:
+    """The rows of `contaminated` for some texts."""
+    rows = []
+    for i, j in blocks([len(t or "") for t in texts], 1 << 20):
+        made = [codes(t or "", alnum_table()) for t in texts[i:j]]
+        # a separator that no text holds keeps pieces inside their document
+        whole = np.concatenate([np.r_[c, np.uint16(1)] for c, _ in made])
+        starts = np.cumsum([0] + [c.size + 1 for c, _ in made])
+        item, begin, at = items.hits(whole)
+        rows += _documents(items, made, starts, item, begin, at, ids[i:j])
+    return rows
+
+
+def _filter(items: Items, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[r[0] for r in _found(items, list(range(b.num_rows)), b.column(text_at).to_pylist())]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
 def _scan(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in blocks([len(t or "") for t in texts], 1 << 20):
-                made = [codes(t or "", alnum_table()) for t in texts[i:j]]
-                # a separator that no text holds keeps pieces inside their document
-                whole = np.concatenate([np.r_[c, np.uint16(1)] for c, _ in made])
-                starts = np.cumsum([0] + [c.size + 1 for c, _ in made])
-                item, begin, at = items.hits(whole)
-                rows += _documents(items, made, starts, item, begin, at, ids[i:j])
+            rows = _found(items, b.column(0).to_pylist(), b.column(1).to_pylist())
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "begin", "finish", "item_len"])
@@ -225,22 +240,36 @@ def _scan(items: Items):
     return run
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The items, made ready, in blocks of about BLOCK_ITEMS."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    n = -(-bench.count() // BLOCK_ITEMS)
+    for k in range(n):
+        got = (bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else bench).toArrow()
+        yield prepare(sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (doc_id, item_id, distance, begin, finish, item_len) of documents that hold a benchmark item.
 
     Texts are compared as lower-case letters and digits with single spaces. An item is in a document if some substring
     is within budget(length) edits of it; begin and finish are code points of the original text around the best one.
-    The benchmark is the stated query set: it comes to the driver in blocks of BLOCK_ITEMS items ordered by id, and
-    every block goes over all documents once. Null or empty texts and items match nothing; null ids stay null;
+    The benchmark is the stated query set: it comes to the driver in blocks of BLOCK_ITEMS items, one after another,
+    and every block goes over all documents once. Null or empty texts and items match nothing; null ids stay null;
     repeated rows repeat.
     """
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    n = bench.count()
+    schema = "doc_id long, item_id long, distance long, begin long, finish long, item_len long"
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for k in range(max(1, -(-n // BLOCK_ITEMS))):
-        block = bench if n <= BLOCK_ITEMS else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-n // BLOCK_ITEMS))) == k)
-        got = block.toArrow()
-        items = prepare(sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(items), "doc_id long, item_id long, distance long, begin long, finish long, item_len long")
+    for items in _blocks(benchmark):
+        found = base.mapInArrow(_scan(items), schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` without the rows that hold a benchmark item, columns unchanged; each row is judged by its own text."""
+    at = docs.columns.index("text")
+    for items in _blocks(benchmark):
+        docs = docs.mapInArrow(_filter(items, at), docs.schema)
+    return docs

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_totals, partitions, staged
+from .common import join_totals, numbered, partitions, staged
 
 #: Live digests that one task keeps; older ones are deleted from its index and passed on.
 MAX_LIVE = 200_000
@@ -115,25 +115,34 @@ class CuckooIndex:
         return self.size
 
 
+_FIELDS = ("digest", "chars", "id", "row", "n")
+
+
+def _rank(entry: tuple) -> tuple:
+    """What stays comes first: most code points, then the least id, null last, then the least row number."""
+    chars, i, row, _ = entry
+    return -chars, i is None, i or 0, row
+
+
 def _merge(batches: Iterator[pa.RecordBatch], max_live: int = MAX_LIVE) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, chars, id, n) to one row a digest, as far as the index reaches: best row and number of rows."""
-    index, order = CuckooIndex(), []
+    """Rows (digest, chars, id, row, n) to one row a digest, as far as the index reaches: best row and number of rows."""
+    index = CuckooIndex()
     order: list[bytes] = []
     head = 0
 
     def batch(keys: list[bytes]) -> pa.RecordBatch:
         got = [index.get(k) for k in keys]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["digest", "chars", "id", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([g[c] for g in got], pa.int64()) for c in range(4))], list(_FIELDS))
 
     for b in batches:
-        for key, chars, i, n in zip(*(b.column(k).to_pylist() for k in ("digest", "chars", "id", "n")), strict=True):
+        for key, *entry in zip(*(b.column(k).to_pylist() for k in _FIELDS), strict=True):
             live = index.get(key)
             if live is None:
-                index.insert(key, (chars, i, n))
+                index.insert(key, tuple(entry))
                 order.append(key)
             else:
-                best = min((-live[0], live[1] is None, live[1] or 0, live[1]), (-chars, i is None, i or 0, i), key=lambda x: x[:3])
-                index.insert(key, (-best[0], best[3], live[2] + n))
+                best = min(live, entry, key=_rank)
+                index.insert(key, (*best[:3], live[3] + entry[3]))
             if len(index) > max_live:
                 old, head = order[head : head + max_live // 4], head + max_live // 4
                 yield batch(old)
@@ -153,26 +162,24 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def exact_groups(base: DataFrame) -> DataFrame:
-    """(digest, chars, id, n): the row that stays of each digest and the number of rows.
+    """(digest, chars, id, row, n): the row that stays of each digest and the number of rows.
 
     Each task first merges its own rows in a bounded index, so a group with a third of all rows reaches the shuffle as
     one row a task. After the shuffle the rows come sorted by digest, so a digest that the index lets go never returns.
     """
-    schema = "digest binary, chars long, id long, n long"
-    part = base.select("digest", "chars", "id", F.lit(1).cast("long").alias("n")).mapInArrow(_merge, schema)
+    schema = "digest binary, chars long, id long, row long, n long"
+    part = base.select("digest", "chars", "id", "row", F.lit(1).cast("long").alias("n")).mapInArrow(_merge, schema)
     return part.repartition(partitions(base.sparkSession), "digest").sortWithinPartitions("digest").mapInArrow(_merge, schema)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (id, keep_id, group_size, kept, text_sha256).
+    """One row per row of `docs`: (id, keep_id, group_size, kept, text_sha256).
 
     Of texts that are equal without blanks, the one with the most code points stays, then the smallest id; a null id
-    comes after all others. Null texts and empty texts are equal. Rows that repeat an id with the same text are rows
-    of the group, each counted, and all kept if they are the one that stays. An empty table gives no rows.
+    comes after all others. One row of a group is kept: rows that repeat id and text are rows of the group, each
+    counted, and one of them stays if they are to. Null texts and empty texts are equal. An empty table gives no rows.
     """
-    base = staged(digests(docs, id_col, text_col), "exact-base")
-    groups = staged(exact_groups(base).withColumnRenamed("id", "keep_id").withColumnRenamed("chars", "keep_chars"), "exact-groups")
-    joined = join_totals(base, groups, "digest", "n")
-    return joined.select(
-        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    base = numbered(digests(docs, id_col, text_col), "exact-base")
+    groups = exact_groups(base).select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), "n")
+    joined = join_totals(base, staged(groups, "exact-groups"), "digest", "n")
+    return joined.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

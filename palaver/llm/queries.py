@@ -22,7 +22,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("first_shard")
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,27 +66,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_mixing": """
         WITH d AS (
-          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
         w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
         f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
                      sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wrest FROM w),
         l AS (SELECT *, cap <= rest / wrest * w AS is_full, rest / wrest AS level FROM f),
         t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, max(CASE WHEN NOT is_full THEN level END) OVER () * w) END AS target FROM l),
-        b AS (SELECT *, greatest(1, ceil(sum(target) OVER () / 16000))::BIGINT AS block, sum(target) OVER () AS total, count(*) OVER () AS n FROM t),
+        h AS (SELECT *, length(hex(floor(target)::BIGINT)) AS class FROM t),
+        b AS (SELECT *, greatest(1, ceil(sum(target) OVER c / greatest(16000, 800 * count(*) OVER c)))::BIGINT AS block, sum(target) OVER c AS total, count(*) OVER c AS n FROM h WINDOW c AS (PARTITION BY class)),
         c AS (SELECT *, round(total / block)::BIGINT AS seats FROM b),
-        q AS (SELECT source, target, seats, unnest(range(1, 2 + least(ceil(target / block * (1 + n / (2.0 * greatest(seats, 1)))) + 1, 2 * ceil(source_size / block::DOUBLE))::BIGINT - 1)) AS i FROM c WHERE target > 0),
-        r AS (SELECT *, row_number() OVER (ORDER BY target / (2 * i - 1) DESC, source NULLS LAST, i) AS rnk FROM q),
-        p AS (SELECT source, count(*) AS won FROM r WHERE rnk <= seats GROUP BY 1),
-        a AS (SELECT c.*, coalesce(p.won, 0) AS won, (c.source_size + c.block - 1) // c.block AS nb FROM c LEFT JOIN p ON c.source IS NOT DISTINCT FROM p.source),
-        e AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
-        SELECT e.doc_id, e.size, a.source_size, a.target,
-               (CASE WHEN nb = 0 THEN 0 ELSE (least(won, 2 * nb) // nb) * e.size + greatest(0, least(e.start + e.size, (least(won, 2 * nb) % nb) * block) - e.start) END)::BIGINT AS taken
-        FROM e JOIN a ON e.source IS NOT DISTINCT FROM a.source""",
+        q AS (SELECT source, class, target, seats, unnest(range(1, 2 + least(ceil(target / block * (1 + n / (2.0 * greatest(seats, 1)))) + 1, 2 * ceil(source_size / block::DOUBLE))::BIGINT - 1)) AS i FROM c WHERE target > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY target / (2 * i - 1) DESC, source NULLS LAST, i) AS rnk FROM q),
+        g AS (SELECT source, least(15, (rnk - 1) * 16 // seats) AS shard FROM r WHERE rnk <= seats),
+        p AS (SELECT source, count(*) AS won, [count(*) FILTER (shard <= 0), count(*) FILTER (shard <= 1), count(*) FILTER (shard <= 2), count(*) FILTER (shard <= 3), count(*) FILTER (shard <= 4), count(*) FILTER (shard <= 5),
+                     count(*) FILTER (shard <= 6), count(*) FILTER (shard <= 7), count(*) FILTER (shard <= 8), count(*) FILTER (shard <= 9), count(*) FILTER (shard <= 10), count(*) FILTER (shard <= 11),
+                     count(*) FILTER (shard <= 12), count(*) FILTER (shard <= 13), count(*) FILTER (shard <= 14), count(*)] AS upto FROM g GROUP BY 1),
+        a AS (SELECT c.*, (c.source_size + c.block - 1) // c.block AS nb, least(coalesce(p.won, 0), 2 * ((c.source_size + c.block - 1) // c.block)) AS quota, p.upto FROM c LEFT JOIN p ON c.source IS NOT DISTINCT FROM p.source),
+        e AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+        o AS (SELECT e.doc_id, e.size, e.start, a.source_size, a.target, a.quota, a.block, a.upto,
+                     (CASE WHEN nb = 0 THEN 0 ELSE (quota // nb) * e.size + greatest(0, least(e.start + e.size, (quota % nb) * block) - e.start) END)::BIGINT AS taken
+              FROM e JOIN a ON e.source IS NOT DISTINCT FROM a.source)
+        SELECT doc_id, size, source_size, target, taken, quota, CASE WHEN taken > 0 THEN len(list_filter(upto, lambda x: x <= start // block)) END::INT AS first_shard FROM o""",
     "op7_exact_dedup": """
         WITH d AS (
           SELECT doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS h FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
-               doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+               row_number() OVER w = 1 AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
 }

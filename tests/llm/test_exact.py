@@ -10,19 +10,20 @@ from palaver.llm import exactdedup, repeats
 
 def brute_dedup(rows):
     groups = defaultdict(list)
-    for i, t in rows:
-        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, i))
+    for n, (i, t) in enumerate(rows):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, n, i))
     out = []
-    for i, t in rows:
+    for n, (i, t) in enumerate(rows):
         key = re.sub(r"[\x20\x09-\x0D]", "", t or "")
-        best = min(groups[key], key=lambda x: x[:3])
-        out.append((i, best[3], len(groups[key]), i == best[3] and len(t or "") == -best[0], hashlib.sha256(key.encode()).hexdigest()))
+        best = min(groups[key])
+        out.append((i, best[4], len(groups[key]), n == best[3], hashlib.sha256(key.encode()).hexdigest()))
     return sorted(map(repr, out))
 
 
 def test_dedup_is_exact(spark, sf_dir, make, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for d in (docs, odd, make([(i, " same text " if i % 3 else f"t {i}") for i in range(400)])):
+    twice = make([(3, "t t"), (3, "tt "), (3, "t t"), (None, "u"), (None, "u"), (None, "v"), (4, "v"), (3, "w")])
+    for d in (docs, odd, twice, make([(i, " same text " if i % 3 else f"t {i}") for i in range(400)])):
         rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
         assert sorted(repr(tuple(r)) for r in exactdedup.exact_dedup(d).collect()) == brute_dedup(rows)
     assert exactdedup.exact_dedup(make([])).count() == 0
@@ -52,7 +53,7 @@ def test_merge_survives_a_small_bound():
     import pyarrow as pa
 
     keys = sorted(hashlib.sha256(str(k % 500).encode()).digest() for k in range(3000))
-    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([1] * 3000), pa.array(range(3000)), pa.array([1] * 3000)], ["digest", "chars", "id", "n"])
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([1] * 3000), pa.array(range(3000)), pa.array(range(3000)), pa.array([1] * 3000)], ["digest", "chars", "id", "row", "n"])
     rows = [r for b in exactdedup._merge(iter([batch]), max_live=40) for r in b.to_pylist()]
     assert len(rows) == 500 and sum(r["n"] for r in rows) == 3000
 

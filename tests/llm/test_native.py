@@ -1,5 +1,7 @@
 """Sharding, mixing and license scans."""
 
+import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -41,6 +43,15 @@ def test_shard_group_larger_than_a_shard_is_split(make):
     assert max(size.values()) - min(size.values()) <= 64
 
 
+def test_sharded_keeps_texts_and_tells_rows_apart(make, odd):
+    docs = make([(None if i % 2 else i // 50, f"text {i % 90}", "en", "s") for i in range(600)]).selectExpr("*", "1 as shard", "2 as row")
+    rows = sharding.sharded(docs, 4).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in docs.collect())
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert sharding.sharded(odd).count() == 9 and sharding.sharded(make([])).count() == 0
+
+
 def test_shard_edges(make, odd):
     assert sharding.shard(make([])).count() == 0
     rows = sharding.shard(odd).collect()
@@ -89,9 +100,9 @@ def brute_seats(want: dict, seats: int):
 
 
 def test_quotas_are_sainte_lague(spark):
-    want = {"a": 530.0, "b": 270.0, "c": 130.0, "d": 70.0}
+    want = {"a": 1530.0, "b": 770.0, "c": 430.0, "d": 270.0}
     t = spark.createDataFrame([(s, 10_000, v) for s, v in want.items()], "source string, source_size long, target double")
-    rows = mixing.quotas(t, blocks=100, shards=4).collect()
+    rows = mixing.quotas(t, blocks=100, shards=4, source_blocks=1).collect()
     won = brute_seats(want, 100)
     assert {r.source: sum(r.quotas) for r in rows} == dict(won)
     for shard in range(4):
@@ -99,6 +110,27 @@ def test_quotas_are_sainte_lague(spark):
         assert {r.source: sum(r.quotas[: shard + 1]) for r in rows} == {s: upto[s] for s in want}
 
 
+def test_small_sources_beside_a_huge_one_meet_their_targets(make):
+    rows = [(i, "word " * 4000, "en", "a") for i in range(60)] + [(1000 + i, "two words", "en", f"s{i:03}") for i in range(120)]
+    got = mixing.mix(make(rows)).collect()
+    source, taken, want = {i: x[3] for i, *_, in [(r[0],) for r in rows] for x in [next(y for y in rows if y[0] == i)]}, Counter(), {}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        want[source[r.doc_id]] = r.target
+    assert all(abs(taken[s] - t) <= max(1, 0.02 * t) for s, t in want.items())
+
+
+def test_mix_of_rows_that_share_an_id_or_have_none(make, prose):
+    rows = [(None if i % 3 else i // 30, " ".join(prose(5 + i % 11, i % 40)), "en", f"s{i % 3}" if i % 7 else None) for i in range(400)]
+    docs, pick = make(rows), lambda d: sorted((r.doc_id or -1, r.size, r.target, r.taken) for r in mixing.mix(d, blocks=50).collect())
+    once = pick(docs.repartition(3))
+    assert once == pick(docs.repartition(7)) == pick(docs.coalesce(1)) and len(once) == 400
+    out = mixing.apply_mix(docs, blocks=50).collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r[3] for r in once)
+    clash = docs.withColumnsRenamed({"lang": "size", "n_chars": "key"}).selectExpr("*", "1 row", "2 start", "3 part")
+    assert mixing.apply_mix(clash).columns == clash.columns
+
+
 def test_mix_edges(make, odd):
     assert mixing.mix(make([])).count() == 0
     rows = mixing.mix(odd).collect()
@@ -124,6 +156,52 @@ def brute_score(line: str):
     return max(((round(sum(v.get(t, 0) * w for t, w in u.items()) / size, 9), name) for (name, _), u in vectors.items()), key=lambda x: (x[0], [-ord(ch) for ch in x[1]]))
 
 
+def wrapped(text, mark, width=72):
+    return "\n".join(mark + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width), ""])
+
+
+def test_wrapped_headers_and_whole_license_files(spark):
+    """Notices wrapped in comments, and licence texts as a whole, are found at any place of a text."""
+    code = "\ndef f(x):\n    return x + 1\n" * 30
+    heads = {"MPL-2.0": licenses._MPL, "Apache-2.0": licenses._APACHE, "GPL-2.0": licenses.TEMPLATES["GPL-2.0"][3], "GPL-3.0": licenses.TEMPLATES["GPL-3.0"][3], "AGPL-3.0": licenses.TEMPLATES["AGPL-3.0"][3], "LGPL-3.0": licenses.TEMPLATES["LGPL-3.0"][3]}
+    whole = {"MIT": licenses._MIT, "ISC": licenses._ISC, "BSL-1.0": licenses._BSL, "Zlib": licenses._ZLIB, "BSD-2-Clause": licenses.TEMPLATES["BSD-2-Clause"][-1], "BSD-3-Clause": licenses.TEMPLATES["BSD-3-Clause"][-1]}
+    rows, want = [], {}
+    for mark in ("# ", "// ", " * ", "; ", ""):
+        for name, text in heads.items():
+            want[len(rows)] = name
+            rows.append((len(rows), f"/h/{len(rows)}.src", wrapped(text, mark) + code))
+    for name, text in whole.items():
+        want[len(rows)] = name
+        rows.append((len(rows), f"/w/{name}/LICENSE", f"Copyright (c) 2020 Jane Roe\n\n{wrapped(text, '')}"))
+        rows.append((len(rows), f"/w/{name}/deep/er/x.py", code))
+        want[len(rows) - 1] = name
+    got = {r.id: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert {i: x[0] for i, x in got.items()} == want
+    assert all(got[i][1] == "inherited" for i, p, _ in rows if "deep" in p)
+
+
+def test_leading_terms_and_bounds_lose_nothing(spark, prose):
+    """`notices` against every part of every text by plain Python, texts made of template words and others."""
+    r = random.Random(3)
+    vocabulary = sorted({t for _, _, t, _, _ in licenses.weights()[0]}) + prose(60, 4)
+    templates = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(3, 30))) for _ in range(60)]
+    for _ in range(120):
+        w = licenses._words(r.choice(templates))
+        texts.append(" ".join(x for x in w if r.random() < 0.8) + " " + " ".join(prose(r.randrange(0, len(w)), r.randrange(99))))
+    files = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {x.row: (x.license, x.score) for x in licenses.notices(files).collect()}
+    for k, t in enumerate(texts):
+        score, name = brute_score(t)
+        assert (got[k] == (name, pytest.approx(score))) if score >= licenses.MIN_COSINE else k not in got
+
+
+def test_rows_that_share_an_id_are_files_of_their_own(spark):
+    rows = [(None, "/a/x", "Released under the MIT License."), (None, "/a/x", "nothing here"), (5, "/b/y", "plain"), (5, "/b/y", "Licensed under CC BY 4.0.")]
+    got = sorted((r.path, r.own_license or "") for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect())
+    assert got == [("/a/x", ""), ("/a/x", "MIT"), ("/b/y", ""), ("/b/y", "CC-BY-4.0")]
+
+
 def test_license_notices(spark):
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", "We bought a licence plate for the car in town today, and it was red.", "All rights reserved.", "Licensed under the Apache License, Version 2.0. More text follows it"]
     files = spark.createDataFrame([(i, f"/r/{i}.txt", f"Some words.\n{t}\n" + "more words " * 30) for i, t in enumerate(lines)], "id long, path string, text string")
