@@ -91,6 +91,15 @@ def names(df: DataFrame) -> list[F.Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+#: Rows of two or three numbers that are small enough to be broadcast, or to be treated in one task.
+LOCAL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table of known size as the side of a join: broadcast up to LOCAL_ROWS, shuffled beyond."""
+    return F.broadcast(df) if rows <= LOCAL_ROWS else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -249,10 +258,13 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
     Every round hooks each root to the smallest root next to it and then halves the paths, so the number of rounds
     grows with the logarithm of a component's diameter. Only counts come to the driver. A node's row is aggregated
-    map-side with min(), so a node with very many edges does not gather in one task.
+    map-side with min(), so a node with very many edges does not gather in one task. Up to LOCAL_ROWS edges are treated
+    in one task, which spares the shuffles.
     """
-    e = staged(edges.select("a", "b").where("a <> b").distinct(), f"{tag}-edges")
-    label = staged(e.selectExpr("explode(array(a, b)) node").distinct().withColumn("root", F.col("node")), f"{tag}-label")
+    e, n = staged_rows(edges.select("a", "b").where("a <> b").distinct(), f"{tag}-edges")
+    held = lambda df: df.coalesce(1) if n <= LOCAL_ROWS else df
+    e = held(e)
+    label = held(staged(e.selectExpr("explode(array(a, b)) node").distinct().withColumn("root", F.col("node")), f"{tag}-label"))
     while True:
         la, lb = label.select(F.col("node").alias("a"), F.col("root").alias("ra")), label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         hooks = e.join(la, "a").join(lb, "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("hi"), F.least("ra", "rb").alias("lo"))
@@ -260,7 +272,11 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         if not left:
             return label
         while left:  # pointer jumping among the roots that moved: up < hi always, so there are no cycles
+            parent = held(parent)
             p2 = parent.select(F.col("hi").alias("up"), F.col("up").alias("up2"))
-            parent, left = staged_rows(parent.join(p2, "up", "left").select("hi", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")), f"{tag}-jump", "moved")
+            p4 = parent.select(F.col("hi").alias("up2"), F.col("up").alias("up3"))
+            far = parent.join(p2, "up", "left").join(p4, "up2", "left")  # two jumps at once
+            parent, left = staged_rows(far.select("hi", F.coalesce("up3", "up2", "up").alias("up"), F.col("up3").isNotNull().alias("moved")), f"{tag}-jump", "moved")
             parent = parent.select("hi", "up")
-        label = staged(label.join(parent.withColumnRenamed("hi", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{tag}-label")
+        parent = held(parent)
+        label = held(staged(label.join(parent.withColumnRenamed("hi", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{tag}-label"))

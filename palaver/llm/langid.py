@@ -17,8 +17,11 @@ FOLDS, HELD_OUT = 4, 2
 #: Of the rows to learn from, those whose id's crc32 div 4 is 0 modulo this calibrate the scores and are not counted.
 CALIBRATE_EVERY = 16
 CALIBRATION_ROWS = 2000
-#: A model holds at most so many n-grams over all languages; beyond that the rarest give way to shorter contexts.
-MAX_GRAMS = 2_000_000
+#: Of each language and order a model stores so many n-grams at most, those it would lose most likelihood without; all
+#: others count in every statistic and keep their probability mass through the back-off weights.
+MAX_GRAMS = 500_000
+#: Log-probabilities of so many n-grams and languages are tabulated; others are looked up order by order.
+TABLE = 16_000_000
 #: Calibration texts that may be rejected although right.
 REJECT_SHARE = 0.005
 
@@ -28,7 +31,7 @@ _W = np.uint64(16)
 def padded(text: str | None) -> np.ndarray:
     """Lower-case letters with single spaces between words, three spaces before and one after; empty if no letter."""
     c, _ = codes(text or "", letter_table())
-    if not c.size:
+    if not c.size or not any(ch.isalpha() for ch in text):  # combining marks alone are no letters
         return np.empty(0, np.uint64)
     out = np.full(c.size + ORDER, 32, np.uint64)
     out[ORDER - 1 : -1] = c
@@ -62,25 +65,6 @@ class Level:
     backoff: np.ndarray
 
 
-def _levels(grams: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """Levels 1 to ORDER of one language; counts of the highest order, continuation counts below."""
-    tables = [(grams, counts.astype(np.float64))]
-    for order in range(ORDER - 1, 0, -1):
-        # distinct characters before each shorter n-gram
-        u, n = np.unique(tables[0][0] & np.uint64((1 << 16 * order) - 1), return_counts=True)
-        tables.insert(0, (u, n.astype(np.float64)))
-    out: list[Level] = []
-    for order, (g, c) in enumerate(tables, 1):
-        ones, twos = (c == 1).sum(), (c == 2).sum()
-        d = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones + twos else 0.5
-        ctx, first, inv = np.unique(g >> _W, return_index=True, return_inverse=True) if order > 1 else (np.zeros(1, np.uint64), None, np.zeros(g.size, np.int64))
-        total, kinds = np.bincount(inv, c, ctx.size), np.bincount(inv, minlength=ctx.size)
-        lam = d * kinds / total
-        low = _prob(out, g & np.uint64((1 << 16 * (order - 1)) - 1)) if order > 1 else np.full(g.size, 1 / 65536)
-        out.append(Level(g, np.maximum(c - d, 0) / total[inv] + lam[inv] * low, ctx, lam))
-    return out
-
-
 def _prob(levels: list[Level], grams: np.ndarray) -> np.ndarray:
     """Interpolated probability of the last character of each n-gram of order len(levels)."""
     order = len(levels)
@@ -149,26 +133,90 @@ class Model:
         return [self.langs[k] if n else "und" for k, n in zip(best, sizes, strict=True)], score, (score < self.reject) | (sizes == 0)
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Model from each language's n-grams and counts."""
-    langs = sorted(counts)
-    levels = [_levels(*counts[k]) for k in langs]
-    keys = np.unique(np.concatenate([counts[k][0] for k in langs])) if langs else np.empty(0, np.uint64)
-    rows = np.stack([np.log(_prob(v, keys)) for v in levels], 1).astype(np.float32) if langs else np.empty((0, 0), np.float32)
+_KEY = ["lang", "gram"]
+
+
+def smoothed(counts: DataFrame, most: int = MAX_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Interpolated Kneser-Ney of (lang, gram, n): rows (lang, o, gram, p) and back-off weights (lang, o, ctx, w).
+
+    Lower orders count the distinct characters before an n-gram; counts, counts of counts, and so the discounts, and the
+    totals of contexts cover every n-gram. Of a language with more than `most` n-grams of an order, those are left out
+    without which the text counted would lose least likelihood; their contexts' weights are computed anew, so that the
+    probabilities after every context still sum up to one.
+    """
+    own = F.broadcast(counts.select("lang").distinct())  # one row a language
+    orders = [counts.select(*_KEY, F.col("n").cast("double").alias("n"))]
+    for order in range(ORDER - 1, 0, -1):
+        low = F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1))
+        orders.insert(0, staged(orders[0].select("lang", low.alias("gram")).groupBy(*_KEY).agg(F.count("*").cast("double").alias("n")), f"langid-{order}"))
+    probs, weights = [], []
+    lower = own.select("lang", F.lit(0).cast("long").alias("low"), F.lit(1 / 65536).alias("q"))
+    for order, table in enumerate(orders, 1):
+        seen = table.groupBy("lang").agg(F.count(F.when(F.col("n") == 1, 1)).alias("ones"), F.count(F.when(F.col("n") == 2, 1)).alias("twos"), F.count("*").alias("all"))
+        raw = F.col("ones") / (F.col("ones") + 2 * F.col("twos"))
+        d = seen.select("lang", "all", F.coalesce(F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.when(F.col("ones") + F.col("twos") > 0, raw))), F.lit(0.5)).alias("d"))
+        low = F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
+        t = table.join(F.broadcast(d), "lang").withColumn("ctx", F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long")).withColumn("low", low)
+        ctx = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        t = t.join(ctx, ["lang", "ctx"]).join(lower, ["lang", "low"]).withColumn("lam", F.col("d") * F.col("kinds") / F.col("total"))
+        t = t.withColumn("p", F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("lam") * F.col("q"))
+        t = staged(t.withColumn("loss", F.col("n") * F.log(F.col("p") / (F.col("lam") * F.col("q")))), f"langid-p{order}")
+        # of each language, the least loss that is kept, among a thousand cuts; a row a language
+        cuts = t.groupBy("lang").agg(F.first("all").alias("c"), F.percentile_approx("loss", [k / 1000 for k in range(1000)], 10_000).alias("q"))
+        at = F.element_at("q", F.least(F.lit(1000), F.ceil((1 - most / F.col("c")) * 1000) + 1).cast("int"))
+        cuts = cuts.select("lang", F.when(F.col("c") > most, at).otherwise(F.lit(float("-inf"))).alias("cut"))
+        t = t.join(F.broadcast(cuts), "lang").withColumn("kept", F.col("loss") >= F.col("cut"))
+        left = F.when(F.col("kept"), F.col("p")), F.when(F.col("kept"), F.col("q"))
+        w = t.groupBy("lang", "ctx").agg(F.first("lam").alias("lam"), F.sum(left[0]).alias("mass"), F.sum(left[1]).alias("below"), F.count(F.when(~F.col("kept"), 1)).alias("gone"))
+        anew = (1 - F.coalesce("mass", F.lit(0.0))) / F.greatest(F.lit(1e-12), 1 - F.coalesce("below", F.lit(0.0)))
+        w = staged(w.select("lang", "ctx", F.when(F.col("gone") == 0, F.col("lam")).otherwise(anew).alias("w")), f"langid-w{order}")
+        weights.append(w.select("lang", F.lit(order).alias("o"), "ctx", "w"))
+        probs.append(t.where("kept").select("lang", F.lit(order).alias("o"), "gram", "p"))
+        lower = t.join(w, ["lang", "ctx"]).select("lang", F.col("gram").alias("low"), F.when(F.col("kept"), F.col("p")).otherwise(F.col("w") * F.col("q")).alias("q"))
+        lower = staged(lower, f"langid-q{order}")
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    return union(probs), union(weights)
+
+
+def _sorted(table: DataFrame, key: str, value: str) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """(language, order) to sorted keys and their values."""
+    got = table.select("lang", "o", key, value).toArrow()
+    lang, o, k, v = got.column(0).to_numpy(zero_copy_only=False), got.column(1).to_numpy(), got.column(2).to_numpy().view(np.uint64), got.column(3).to_numpy()
+    out = {}
+    for name in sorted(set(lang.tolist())):
+        for order in range(1, ORDER + 1):
+            own = np.nonzero((lang == name) & (o == order))[0]
+            own = own[np.argsort(k[own])]
+            out[name, order] = (k[own], v[own])
+    return out
+
+
+def build(counts: DataFrame, most: int = MAX_GRAMS) -> Model:
+    """Model from (lang, gram, n); the driver gets at most `most` n-grams and contexts of a language and order."""
+    probs, weights = smoothed(counts, most)
+    grams, contexts = _sorted(probs, "gram", "p"), _sorted(weights, "ctx", "w")
+    langs = sorted({k for k, _ in grams})
+    none = (np.empty(0, np.uint64), np.empty(0))
+    levels = [[Level(*grams[k, o], *contexts.get((k, o), none)) for o in range(1, ORDER + 1)] for k in langs]
+    if not langs:
+        return Model([], [], np.empty(0, np.uint64), np.empty((0, 0), np.float32))
+    keys, seen = np.unique(np.concatenate([v[-1].grams for v in levels]), return_counts=True)
+    if keys.size * len(langs) > TABLE:
+        keys = np.sort(keys[np.argsort(-seen, kind="stable")[: TABLE // len(langs)]])
+    rows = np.stack([np.log(_prob(v, keys)) for v in levels], 1).astype(np.float32)
     return Model(langs, levels, keys, rows)
 
 
-def calibrate(model: Model, texts: list[str], langs: list[str], share: float = REJECT_SHARE) -> None:
-    """Choose the softmax scale by likelihood on texts the model has not counted, then the score to reject below."""
+def calibrate(model: Model, h: np.ndarray, sizes: np.ndarray, langs: list[str], share: float = REJECT_SHARE) -> None:
+    """Choose the softmax scale by likelihood on texts the model has not counted, then the score to reject below.
+
+    `h` and `sizes` are the texts' entropies and scored characters.
+    """
     at = {k: i for i, k in enumerate(model.langs)}
-    use = [i for i, k in enumerate(langs) if k in at]
+    use = [i for i, k in enumerate(langs) if k in at and sizes[i]]
     if not use:
         return
-    h, sizes = model.entropies([texts[i] for i in use])
-    y, some = np.array([at[langs[i]] for i in use]), sizes > 0
-    h, y, sizes = h[some], y[some], sizes[some]
-    if not len(y):
-        return
+    h, sizes, y = h[use], sizes[use], np.array([at[langs[i]] for i in use])
     gap = (h - h.min(1, keepdims=True)) * (sizes / (sizes + 20.0))[:, None]
     likelihood = lambda b: np.mean(np.log(np.exp(-np.minimum(gap * b, 500)).sum(1)) + np.minimum(gap * b, 500)[np.arange(len(y)), y])
     model.beta = float(min((5.0 * 1.3**k for k in range(20)), key=likelihood))
@@ -178,6 +226,17 @@ def calibrate(model: Model, texts: list[str], langs: list[str], share: float = R
         model.reject = float(np.quantile(score[right], share))
 
 
+def _measure(model: Model):
+    """Rows (lang, text) to rows (lang, size, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, sizes = model.entropies(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(list(h), pa.list_(pa.float64()))], ["lang", "size", "h"])
+
+    return run
+
+
 def _count(batches: Iterator[pa.RecordBatch], flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Rows (lang, text) to rows (lang, gram, n), merged in the task as far as `flush` distinct n-grams."""
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -205,28 +264,18 @@ def _count(batches: Iterator[pa.RecordBatch], flush: int = 1_000_000) -> Iterato
 def train(docs: DataFrame) -> Model:
     """Count the n-grams of every row to learn from, and calibrate on the few that are not counted.
 
-    Counts cover all those rows and are summed in the cluster; what reaches the driver is one row per distinct n-gram
-    and language, at most MAX_GRAMS: beyond that the smallest counts are left to the lower orders.
+    Counts cover the whole texts of all those rows and everything is computed from them in the cluster. At most
+    CALIBRATION_ROWS rows, their whole texts, are measured for the calibration; the driver gets their entropies.
     """
     crc = id_crc("doc_id")
     learn = docs.where("lang is not null and text is not null").where(F.coalesce(crc % FOLDS != HELD_OUT, F.lit(True)))
     aside = F.coalesce((F.floor(crc / FOLDS) % CALIBRATE_EVERY) == 0, F.lit(False))
     counts = learn.where(~aside).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
-    counts = staged(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
-    least, size = 1, counts.count()
-    while size > MAX_GRAMS:
-        least *= 2
-        size = counts.where(F.col("n") >= least).count()
-    got = counts.where(F.col("n") >= least).orderBy("lang", "gram").toArrow()
-    lang, gram, n = got.column(0).to_numpy(zero_copy_only=False), got.column(1).to_numpy().view(np.uint64), got.column(2).to_numpy()
-    tables = {}
-    for k in dict.fromkeys(lang.tolist()):
-        own = np.nonzero(lang == k)[0]
-        order = np.argsort(gram[own])
-        tables[k] = (gram[own][order], n[own][order])
-    model = build(tables)
-    held = sampled(learn.where(aside).where(F.length("text") <= 20_000).select("doc_id", "text", "lang"), CALIBRATION_ROWS, "doc_id").select("text", "lang").toArrow()
-    calibrate(model, held.column(0).to_pylist(), held.column(1).to_pylist())
+    model = build(staged(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams"))
+    some = sampled(learn.where(aside).select("doc_id", "text", "lang"), CALIBRATION_ROWS, "doc_id", "text").select("lang", "text")
+    if model.langs:
+        held = some.repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_measure(model), "lang string, size long, h array<double>").toArrow()
+        calibrate(model, np.array(held.column(2).to_pylist()).reshape(held.num_rows, len(model.langs)), held.column(1).to_numpy(), held.column(0).to_pylist())
     return model
 
 

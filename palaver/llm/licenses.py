@@ -88,8 +88,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 # fixed values: words that say little in any text
 _STOP = frozenset("a all an and any are as at be being but by can either even for following from have how if in into is it its may more must no not of on one or other our see should so such that the there this to under was we what which who will with would you your".split())
-#: What every idf has besides the logarithm, the idf of a term that no template has, and from where on a term is telling.
-FLOOR, RARE, TELLING = 0.2, 3.0, 1.5
+#: What every idf has besides the logarithm, the idf of numbers, which tell versions apart but stand in any text, and of
+#: a term that no template has; and from where on a term is telling.
+FLOOR, NUMBER, RARE, TELLING = 0.2, 1.0, 3.0, 1.5
 #: Least cosine of a notice, and least share of a text's letters and digits in notices that makes it a licence file.
 MIN_COSINE, FILE_SHARE = 0.6, 0.5
 # patterns that mean the same here and in SQL
@@ -113,11 +114,11 @@ def weights() -> tuple[list[tuple[str, int, str, float, float]], float]:
     """Rows (license, template, term, unit weight, idf) and the idf of a term that no template has.
 
     tf is 1 + ln(count); idf = ln((1 + T) / (1 + templates with the term)) + FLOOR over the T templates,
-    FLOOR for stop words.
+    FLOOR for stop words, and a fixed one for numbers.
     """
     texts = [(name, k, Counter(_words(t))) for name, ts in TEMPLATES.items() for k, t in enumerate(ts)]
     df = Counter(w for _, _, c in texts for w in c)
-    idf = {w: FLOOR + (0 if w in _STOP else math.log((1 + len(texts)) / (1 + n))) for w, n in df.items()}
+    idf = {w: FLOOR + (0 if w in _STOP else NUMBER if w.isdigit() else math.log((1 + len(texts)) / (1 + n))) for w, n in df.items()}
     rows = []
     for name, k, c in texts:
         v = {w: (1 + math.log(n)) * idf[w] for w, n in c.items()}
@@ -158,22 +159,29 @@ def units(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     lead = leading_terms(min_cosine)
     idf = {t: x for _, _, t, _, x in weights()[0]}
     telling, plain = (sorted(t for t, x in idf.items() if (x >= TELLING) == k) for k in (True, False))
-    some = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(lead) + ")(?![A-Za-z0-9])"
-    text = files.where(F.col("text").rlike(some)).select("row", F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]+", "")).alias("letters"), F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), _MARK, "$1").alias("t"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
+    leads = lambda terms: F.exists(terms, lambda t: t.isin(lead))
+    # most texts have no leading term at all and are read once; the others are cut up
+    some = files.where(leads(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")))
+    text = some.select("row", F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), _MARK, "$1").alias("t"))
     sentences = lambda c: F.split(F.regexp_replace(c, _SENTENCE, "$1\n"), "\n")
     joined = lambda c: F.translate(c, "\n", " ")
-    kind = lambda k, c: F.transform(F.filter(c, lambda u: u.rlike(some)), lambda u: F.struct(F.lit(k).alias("kind"), u.alias("u")))
-    text = text.withColumn("p", F.filter(F.split("t", _PARAGRAPH), lambda u: u.rlike(some)))
-    paragraphs = F.filter("p", lambda u: u.rlike("\n|" + _SENTENCE))
+    kind = lambda k, c: F.transform(c, lambda u: F.struct(F.lit(k).alias("kind"), words(u).alias("terms")))
+    text = text.withColumn("p", F.split("t", _PARAGRAPH))
+    paragraphs = F.transform(F.filter("p", lambda u: u.rlike("\n|" + _SENTENCE)), joined)
     inside = F.flatten(F.transform(F.filter("p", lambda u: u.contains("\n")), lambda u: sentences(joined(u))))
-    whole = F.filter(F.array("t"), lambda u: u.rlike(_PARAGRAPH))
-    parts = text.select("row", "letters", F.posexplode(F.concat(kind(0, sentences(F.col("t"))), kind(1, F.transform(paragraphs, joined)), kind(2, inside), kind(3, F.transform(whole, joined)))).alias("nth", "e"))
-    words = parts.select("row", "letters", "nth", "e.kind", F.regexp_extract_all(F.lower("e.u"), F.lit(_WORD), F.lit(0)).alias("terms"))
-    count = lambda own: F.size(F.filter("terms", lambda t: t.isin(own)))
-    common = 1.5 * (max(idf.values()) ** 2 * count(telling) + TELLING**2 * count(plain))
-    others = RARE**2 * F.size(F.array_distinct(F.filter("terms", lambda t: ~t.isin(telling + plain))))
-    reach = common * (1 - min_cosine**2) >= others * min_cosine**2 - 1e-6
-    return words.where(F.arrays_overlap("terms", F.array(*map(F.lit, lead))) & reach)
+    whole = F.filter(F.array(joined(F.col("t"))), lambda u: F.size("p") > 1)
+    letters = F.aggregate(words(F.col("t")), F.lit(0), lambda a, x: a + F.length(x))
+    count = lambda terms, own: F.size(F.filter(terms, lambda t: t.isin(own)))
+
+    def reaches(terms):
+        common = 1.5 * (max(idf.values()) ** 2 * count(terms, telling) + TELLING**2 * count(terms, plain))
+        others = RARE**2 * F.size(F.array_distinct(F.filter(terms, lambda t: ~t.isin(telling + plain))))
+        return common * (1 - min_cosine**2) >= others * min_cosine**2 - 1e-6
+
+    every = F.concat(kind(0, sentences(F.col("t"))), kind(1, paragraphs), kind(2, inside), kind(3, whole))
+    parts = text.select("row", letters.alias("letters"), F.posexplode(F.filter(every, lambda u: leads(u["terms"]))).alias("nth", "e"))
+    return parts.select("row", "letters", "nth", "e.kind", "e.terms").where(reaches(F.col("terms")))
 
 
 def notices(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Repeated byte strings: prefix-free parsing into phrases, a dictionary of distinct phrases, and their corpus order."""
+"""Repeated byte strings: prefix-free parsing into phrases, sorted dictionaries of them, and their corpus order."""
 
 from __future__ import annotations
 
@@ -23,7 +23,10 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 #: A document is an id and the digest of its text: rows that share an id are told apart, equal rows are not.
 DOC = np.dtype([("doc", "<i8"), ("sub", "<u8")])
 PHRASE = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("sub", "<u8"), ("a", "<i4"), ("n", "u1")])
-WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("sub", "<u8"), ("a", "<i4")])
+#: A phrase of a dictionary: the string that begins at a has its trigger `lead` bytes later; its bytes go with it.
+ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sub", "<u8"), ("a", "<i4"), ("n", "u1"), ("lead", "u1")])
+#: Phrases of a dictionary that are sorted at once, whole keys.
+SORT = 400_000
 MARK = np.dtype([("doc", "<i8"), ("sub", "<u8"), ("a", "<i4"), ("b", "<i4")])
 
 
@@ -54,7 +57,8 @@ def string_hashes(g: np.ndarray, m: np.uint64 = _M3) -> np.ndarray:
 
 
 def parse(b: np.ndarray, ends: np.ndarray):
-    """Phrases of concatenated texts: for each, the places (a, b) of the strings it stands for, its key and content.
+    """Phrases of concatenated texts: for each, the places (a, b) of the strings it stands for, its key and content,
+    and the place of its trigger.
 
     Every LENGTH-byte string has one trigger: the leftmost least rolling hash of the grams in it, which depends on the
     string alone. Strings that begin one after another and share their trigger form a phrase. Its key is the hash of
@@ -64,7 +68,7 @@ def parse(b: np.ndarray, ends: np.ndarray):
     none = np.empty(0, np.int64)
     n = b.size - LENGTH + 1
     if n <= 0:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none
     g = gram_hashes(b)
     at = np.arange(g.size, dtype=np.uint64)
     # upper bits order the triggers, the place breaks ties to the left
@@ -88,7 +92,7 @@ def parse(b: np.ndarray, ends: np.ndarray):
     s = string_hashes(g)
     tr = t[a]
     ctx = _mix(_mix(s[a] * _M2 + s[z]) * _M3 + ((z - a) * 256 + (tr - a)).astype(np.uint64))
-    return a, z, g[tr], ctx
+    return a, z, g[tr], ctx, tr
 
 
 def _first(rows: np.ndarray, fields) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +233,7 @@ def _parse_task(keys: list[int]):
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), _bytes(b.column(1))
             docs = _docs(ids, texts)
             for whole, rows in _pieces(texts):
-                a, z, key, ctx = parse(np.frombuffer(whole, np.uint8), np.array([r[1] for r in rows[1:]] + [len(whole)]))
+                a, z, key, ctx, _ = parse(np.frombuffer(whole, np.uint8), np.array([r[1] for r in rows[1:]] + [len(whole)]))
                 if not a.size:
                     continue
                 r = np.searchsorted([x[1] for x in rows], a, "right") - 1
@@ -347,37 +351,107 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(d == 1)[0], np.nonzero(d == -1)[0]
 
 
+def _pack_entries(rows: np.ndarray, texts: list[bytes]) -> bytes:
+    head = _pack(rows)
+    return np.array([len(head)], "<i8").tobytes() + head + zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+
+
+def _unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = 8 + int(np.frombuffer(blob, "<i8", 1)[0])
+    return _unpack(blob[8:cut], ENTRY), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[cut:]), np.uint8)
+
+
 def _open_task(keys: list[int]):
-    """The strings that were asked for, by 128-bit hash: the first of each content in this task, marks for the rest."""
+    """The phrases that were asked for, with their bytes, to the dictionaries of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, texts, size = [], [], 0
 
         def flush():
-            rows, head = _first(np.concatenate(held), ("h1", "h2"))
-            rest, first = rows[~head], rows[head]
-            marks = _joined(rest, rest["a"], rest["a"])
-            yield from _batch(_blobs(PHRASES, first, _key_bucket(first["h1"], len(keys)), keys) + _blobs(MARKS, marks, _doc_bucket(marks, len(keys)), keys))
+            rows = np.concatenate(held)
+            bucket = _key_bucket(rows["key"], len(keys))
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
+            parts = ((keys[k], order[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist())
+            yield from _batch([(PHRASES, k, _pack_entries(rows[own], [texts[i] for i in own.tolist()])) for k, own in parts])
 
         for docs, wanted in _docs_with_marks(batches):
             for i, text in docs:
                 for a, z in _merged(wanted.get(i)):
                     for a1 in range(a, z + 1, PARSE):
-                        b = np.frombuffer(text, np.uint8)[a1 : min(z, a1 + PARSE - 1) + LENGTH]
-                        one, two = string_hashes(gram_hashes(b)), string_hashes(gram_hashes(b, _M1), _M2)
-                        out = np.empty(one.size, WINDOW)
-                        out["h1"], out["h2"], out["doc"], out["sub"], out["a"] = one, two, *i, np.arange(a1, a1 + one.size)
-                        held.append(out)
-                        size += out.nbytes
+                        part = text[a1 : min(z, a1 + PARSE - 1) + LENGTH]
+                        begin, end, key, _, trigger = parse(np.frombuffer(part, np.uint8), np.array([len(part)]))
+                        rows = np.empty(begin.size, ENTRY)
+                        rows["key"], rows["doc"], rows["sub"], rows["a"], rows["n"], rows["lead"] = key, *i, begin + a1, end - begin, trigger - begin
+                        held.append(rows)
+                        texts += [part[x : y + LENGTH] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+                        size += rows.nbytes + int((end - begin).sum()) + LENGTH * begin.size
                 if size > HOLD:
                     yield from flush()
-                    held, size = [], 0
+                    held, texts, size = [], [], 0
         if held:
             yield from flush()
 
     return run
 
 
+def _ordered(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte rows by key and content, and how long each row's prefix in common with the one before is; -1 for a new key."""
+    words = rows.view(">u8")
+    order = np.lexsort((*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), key))
+    differ = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    common[key[order[1:]] != key[order[:-1]]] = -1
+    return order, np.r_[-1, common]
+
+
+def repeated(rows: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a dictionary the strings that begin earlier in the corpus: index of the phrase, and place of the string.
+
+    All phrases are sorted twice: by what follows their trigger, and by what stands before it, read backwards; with each
+    goes the array of longest common prefixes. A string whose trigger is d bytes behind its beginning is the last d bytes
+    before the trigger and the LENGTH - d bytes from it on. Two strings are equal if they have one trigger, one d, and
+    in both orders no shorter common prefix lies between them. Of equal strings the first in the order of the parse, by
+    document and place, stays.
+    """
+    rows_at = np.cumsum(rows["n"].astype(np.int64) + LENGTH) - (rows["n"].astype(np.int64) + LENGTH)
+    order = np.lexsort((rows["a"], rows["a"].astype(np.int64) + rows["lead"], rows["sub"], rows["doc"]))  # the same for every d
+    # equal rows of the table have equal places: these stand there once
+    place = rows[["doc", "sub", "a"]][order]
+    order = order[np.r_[True, place[1:] != place[:-1]]]
+    rows, at = rows[order], rows_at[order]
+    lead, n = rows["lead"].astype(np.int64), rows["n"].astype(np.int64)
+    m, wide = rows.size, -(-LENGTH // 8) * 8
+    after, before = np.zeros((m, wide), np.uint8), np.zeros((m, -(-SPAN // 8) * 8), np.uint8)
+    for k in range(LENGTH):  # byte k from the trigger on, and k + 1 bytes before it, of all phrases
+        own = np.flatnonzero(lead + k < n + LENGTH)
+        after[own, k] = text[at[own] + lead[own] + k]
+        own = np.flatnonzero(lead > k)
+        if own.size:
+            before[own, k] = text[at[own] + lead[own] - k - 1]
+    key = rows["key"]
+    orders = [(o, c, np.empty(m, np.int64)) for o, c in (_ordered(key, before), _ordered(key, after))]
+
+    def classes(which: int, depth: int) -> np.ndarray:
+        """Number of the class of phrases with `depth` bytes in common, of every phrase."""
+        o, common, out = orders[which]
+        out[o] = np.cumsum(common < depth)
+        return out
+
+    found, places = [], []
+    for d in range(SPAN):
+        own = np.flatnonzero((lead >= d) & (lead - n <= d))
+        if own.size > 1:
+            both = classes(0, d)[own] * np.int64(m + 1) + classes(1, LENGTH - d)[own]
+            first = np.unique(both, return_index=True)[1]
+            again = np.ones(own.size, bool)
+            again[first] = False
+            found.append(order[own[again]])
+            places.append((rows["a"].astype(np.int64) + lead - d)[own[again]])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *found]), np.concatenate([none, *places])
+
+
 def _merged(marks: np.ndarray | None) -> list[tuple[int, int]]:
     if marks is None:
         return []
@@ -385,20 +459,46 @@ def _merged(marks: np.ndarray | None) -> list[tuple[int, int]]:
     return list(zip(out["a"].tolist(), out["b"].tolist(), strict=True))
 
 
-def _window_task(keys: list[int]):
+def _dictionary_task(keys: list[int]):
+    """Marks for the strings of a bucket's dictionary that repeat earlier ones, in parts of about SORT phrases."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _buckets(batches, WINDOW):
-            if isinstance(rows, tuple):
-                yield from _batch([rows])
-                continue
-            rows, head = _first(rows, ("h1", "h2"))
-            rest = rows[~head]
-            marks = _joined(rest, rest["a"], rest["a"])
-            yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks, len(keys)), keys))
+        for parts in _bucketed(batches):
+            rows, text = np.concatenate([r for r, _ in parts]), np.concatenate([t for _, t in parts])
+            parts.clear()
+            end = np.cumsum(rows["n"].astype(np.int64) + LENGTH)
+            begin = end - (rows["n"].astype(np.int64) + LENGTH)
+            order = np.argsort(rows["key"], kind="stable")
+            new = np.flatnonzero(np.r_[True, rows["key"][order[1:]] != rows["key"][order[:-1]]])
+            cuts = [0]
+            for c in [*new[1:].tolist(), order.size]:
+                if c - cuts[-1] >= SORT or c == order.size:
+                    cuts.append(c)
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                own = order[x:y]
+                size = end[own] - begin[own]
+                bytes_ = text[np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                which, place = repeated(rows[own], bytes_)
+                marks = _joined(rows[own[which]], place, place)
+                yield from _batch(_blobs(MARKS, marks, _doc_bucket(marks, len(keys)), keys))
 
     return run
 
 
+def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The dictionary of one bucket after another, as the partition is sorted."""
+    now, parts = None, []
+    for b in batches:
+        for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if k != now and parts:
+                yield parts
+                parts = []
+            now = k
+            parts.append(_unpack_entries(blob))
+    if parts:
+        yield parts
+
+
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 _NAMES = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "span_from", "span_to")
 
@@ -451,7 +551,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shipped = base.mapInArrow(_ship_task(keys), _BLOB)
     asked = ordered.where(F.col("kind") == ASKED)
     opened = dealt(shipped.unionByName(asked)).mapInArrow(_open_task(keys), _BLOB)
-    marks = staged(dealt(opened).mapInArrow(_window_task(keys), _BLOB), "repeats-opened")
+    marks = staged(dealt(opened).mapInArrow(_dictionary_task(keys), _BLOB), "repeats-opened")
     marks = marks.unionByName(ordered.where(F.col("kind") == MARKS))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, span_from array<long>, span_to array<long>"
     out = dealt(shipped.unionByName(marks)).mapInArrow(_cut_task(8 if texts else 5), schema if texts else schema.split(", kept binary")[0])

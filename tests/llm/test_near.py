@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from palaver.llm import common, decontamination, mixing, neardup, toxicity
@@ -15,12 +16,6 @@ def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def shingles(text):
-    w = words(text)
-    k = min(5, len(w))
-    return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if k else []
-
-
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -31,7 +26,7 @@ def lcs(a, b):
 
 
 def similar(a, b):
-    """Order-aware similarity; what the shingles alone rule out is not aligned."""
+    """Alignment of the words; what the words alone rule out is not aligned."""
     most = sum((Counter(a) & Counter(b)).values()) if a and b and 0.8 * len(a) <= len(b) <= len(a) / 0.8 else 0
     if not most or most / (len(a) + len(b) - most) < 0.8:
         return False
@@ -47,10 +42,10 @@ def brute_classes(rows):
             x = parent[x]
         return x
 
-    s = {i: shingles(t) for i, t in rows}
+    s = {i: words(t) for i, t in rows}
     for i, ti in rows:
         for j, tj in rows:
-            if i < j and root(i) != root(j) and (similar(s[i], s[j]) if s[i] and s[j] else words(ti) == words(tj) and not s[i] and (ti or "") == (tj or "")):
+            if i < j and root(i) != root(j) and (similar(s[i], s[j]) if s[i] and s[j] else not s[i] and not s[j] and (ti or "") == (tj or "")):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i, _ in rows}
@@ -95,21 +90,64 @@ def test_near_classes_match_brute_force(make, prose):
 
 def test_large_family_below_its_leads_is_linked_whole(make, prose):
     """Every two texts that share a sketch are linked or aligned, although the least of their bucket links neither."""
-    r, base = random.Random(8), prose(200, 31)
-    rows = [(i, " ".join(edited(base, 3, r))) for i in range(300)]
-    s = {i: neardup.shingles(neardup.word_hashes(t)) for i, t in rows}
+    r, base = random.Random(8), prose(60, 31)
+    rows = [(i, " ".join(edited(base, 4, r))) for i in range(200)]
+    w = {i: neardup.word_hashes(t) for i, t in rows}
     share = defaultdict(list)
     for i, _ in rows:
-        for k in set(neardup.keys(s[i]).tolist()):
+        for k in set(neardup.keys(w[i]).tolist()):
             share[k].append(i)
-    tried = {(a, b) for ids in share.values() for a in ids for b in ids if a < b}
-    root = list(range(300))
+    tried = {(a, b) for ids in share.values() if len(ids) <= neardup.SMALL for a in ids for b in ids if a < b}
+    root = list(range(200))
     for a, b in sorted(tried):
-        if root[a] != root[b] and neardup.aligned(s[a], s[b]):
+        if root[a] != root[b] and neardup.aligned(w[a], w[b]):
             lo, hi = sorted((root[a], root[b]))
             root = [lo if x == hi else x for x in root]
     got = {x.doc_id: x.class_id for x in neardup.near_classes(make(rows)).collect()}
-    assert got == dict(enumerate(root))
+    # what the small groups alone link is in one class
+    assert all(got[a] == got[root[a]] for a in root) and len(set(root)) < 200
+
+
+@pytest.mark.parametrize("small, leads", [(2, 2), (8, 64)])
+def test_large_groups_keep_every_link(make, prose, monkeypatch, small, leads):
+    """Unlike texts that share a passage, and among them pairs of high shingle similarity: none of these is lost."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "LEADS", leads)
+    r, passage, rows = random.Random(4), prose(90, 5), []
+    for k in range(60):
+        own = prose(25 + k % 7, 4000 + k)
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + edited(own, 1, r)))]
+    got = {x.doc_id: x.class_id for x in neardup.near_classes(make(rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_recall_by_share_of_edits(make, prose):
+    """Near copies of 1, 3 and 5 % edited words are found; texts with a third of theirs replaced are not."""
+    for share, least, most in ((0.01, 1.0, 1.0), (0.03, 0.99, 1.0), (0.05, 0.99, 1.0), (0.33, 0.0, 0.0)):
+        r, rows = random.Random(6), []
+        for k in range(100):
+            base = prose(r.randrange(100, 400), 7000 + k)
+            rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(base, int(len(base) * share), r)))]
+        got = {x.doc_id: x.class_id for x in neardup.near_classes(make(rows)).collect()}
+        assert least <= sum(got[2 * k + 1] == 2 * k for k in range(100)) / 100 <= most
+
+
+def test_rows_that_share_an_id_or_have_none(make, prose):
+    """Each row is a row of its own: nothing is merged or lost because of its id, and of equal rows one stays."""
+    t, a, b, c = (" ".join(prose(40, 60 + k)) for k in range(4))
+    rows = [(3, t), (5, a), (5, t), (None, b), (None, c), (9, b), (4, "same"), (4, "same"), (4, "same!"), (None, None), (None, "")]
+    got = sorted(((r.doc_id or -1, r.class_id or -1, r.class_size, r.kept) for r in neardup.near_classes(make(rows).repartition(3)).collect()))
+    assert got == sorted([(3, 3, 2, True), (5, 5, 1, True), (5, 3, 2, False), (-1, -1, 2, True), (-1, -1, 1, True), (9, -1, 2, False), (4, 4, 3, True), (4, 4, 3, False), (4, 4, 3, False), (-1, -1, 2, True), (-1, -1, 2, False)])
+    kept = neardup.keep_one(make(rows).repartition(3)).collect()
+    assert Counter((r.text or "").rstrip("!") for r in kept) == Counter([t, a, b, c, "same", ""])
+    clash = make(rows).withColumnsRenamed({"lang": "kept", "source": "row"}).selectExpr("*", "1 id", "2 raw", "3 same")
+    assert neardup.keep_one(clash).columns == clash.columns and neardup.keep_one(clash).count() == 6
+
+
+def test_letters_beyond_the_basic_plane_are_told_apart(make):
+    one, two = ("".join(chr(c + 41 * k) for k in range(30)) for c in (0x20000, 0x21000))
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(make([(1, one), (2, two), (3, one + "!")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
 
 
 def test_alignment_matches_dynamic_programming():
@@ -124,7 +162,7 @@ def test_alignment_matches_dynamic_programming():
             else:
                 b.insert(k, r.randrange(12))
         if b:
-            assert neardup.aligned(np.array(a, np.uint64), np.array(b, np.uint64)) == similar(a, b)
+            assert neardup.aligned(np.array(a, np.uint32), np.array(b, np.uint32)) == similar(a, b)
 
 
 def test_sketches_keep_text_order_and_agree_with_similarity(prose):
