@@ -3,37 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palaver.llm import decontamination, mixing, neardup, sharding, toxicity
 from palaver.llm.common import staged
 
 
+# Every stage judges each row by itself: ids may be null or repeated, rows may be equal, a null text is an empty one,
+# extra columns stay, and an empty table gives an empty table.
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity classifier rejects."""
+    """Without the rows that the toxicity classifier rejects; without usable labels none is."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One row of each class of near-duplicates, that of its least id (null before all others)."""
     return neardup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = staged(found.select(F.col("doc_id").alias("__id")).distinct(), "pipeline-contaminated")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Without the rows whose text holds a benchmark item."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, repeated as often as it takes them."""
+    """The rows of the mix, repeated as often as it takes them; the one at a source's cut also with its first words.
+
+    A null source is a source of its own. Texts without words are in no mix.
+    """
     return mixing.apply_mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Balanced contiguous shards of what is left."""
-    return sharding.shard(docs)
+    """Balanced contiguous shards of what is left: the columns of `docs` with size, text_crc32, law, shard and slot."""
+    return sharding.sharded(docs)
 
 
 STAGES = [
