@@ -85,7 +85,9 @@ def details(entities: DataFrame, chunks: DataFrame, states: DataFrame | None = N
     )
     rows = entities.join(c, "source_chunk_id")
     status = F.lit(None).cast("string")
-    if states is not None:
+    if states is None:
+        rows = rows.withColumn("status_note", status)
+    else:
         rows = with_status(rows, states)
         status = F.col("state_status")
     rows = rows.withColumn("status", F.when(F.col("kind") == "action_items", F.coalesce(status, F.lit("open"))))

@@ -126,7 +126,8 @@ def subgraph(all_nodes: DataFrame, all_edges: DataFrame, own: DataFrame, key: st
     order = ("relation", "from_key", "to_key", "extraction_method")
     own = own.orderBy(*order).limit(limit)
     keys = own.select(F.col("from_key").alias("k"))
-    touching = all_edges.join(F.broadcast(keys), (F.col("from_key") == F.col("k")) | (F.col("to_key") == F.col("k")), "left_semi").orderBy(*order).limit(limit)
+    ends = [all_edges.join(F.broadcast(keys), F.col(c) == F.col("k"), "left_semi").orderBy(*order).limit(limit) for c in ("from_key", "to_key")]
+    touching = ends[0].unionByName(ends[1]).distinct().orderBy(*order).limit(limit)
     found = own.unionByName(touching).distinct().orderBy(*order).limit(limit)
     ends = found.select(F.explode(F.array("from_key", "to_key")).alias("stable_key")).distinct()
     topic = all_nodes.sparkSession.createDataFrame([("Topic", key, title)], "type string, stable_key string, title string")
@@ -142,5 +143,12 @@ def dominant_language(languages: DataFrame, column: str = "language", restrict=U
     return rows.groupBy("language").agg(F.count("*").alias("n"), order.alias("seen")).orderBy(F.col("n").desc(), "seen", "language").limit(1).select("language", "n")
 
 
-def topic_evidence(chunks: DataFrame, terms: list[str], limit: int) -> DataFrame:
-    return search_terms(chunks, terms, limit)
+def list_topics(topics: DataFrame, aliases: DataFrame, limit: int = 100) -> DataFrame:
+    """(topic_key, title, aliases, created_at, updated_at): topics by newest change, then title, aliases in order."""
+    names = aliases.groupBy("topic_key").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    top = topics.orderBy(F.col("updated_at").desc_nulls_last(), "title", "topic_key").limit(limit)
+    return top.join(names, "topic_key", "left").select("topic_key", "title", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "created_at", "updated_at")
+
+
+def topic_evidence(chunks: DataFrame, terms: list[str], limit: int, postings=None) -> DataFrame:
+    return search_terms(chunks, terms, limit, postings)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.querytext import any_terms
 from ..functions.text import casefold, contains_all
 from . import entities as ent
-from .graph import people
+from .graph import edges, nodes, people
 from .search import ranked, tokenized, with_frequencies
 
 
@@ -32,10 +32,19 @@ def mentioned_ids(chunks: DataFrame, name: str) -> DataFrame:
     return with_frequencies(tokenized(chunks), terms).where(F.exists("tf", lambda x: x > 0)).select("meeting_id").distinct()
 
 
-def person_meetings(chunks: DataFrame, name: str) -> DataFrame:
+def person_meetings(chunks: DataFrame, name: str, postings=None) -> DataFrame:
     """Union of two id sets, each found by one scan; the OR of two EXISTS as semi joins."""
     speaks = people(chunks).where(F.contains(casefold("display_name"), F.lit(name.casefold()))).select("meeting_id")
-    return speaks.unionByName(mentioned_ids(chunks, name)).distinct()
+    mentions = mentioned_ids(chunks, name) if postings is None else postings.meetings(name)
+    return speaks.unionByName(mentions).distinct()
+
+
+def index_counts(sources: DataFrame, meetings: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row: sources, meetings, chunks, entities, nodes and edges of the knowledge graph."""
+    who = people(chunks)
+    of = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = (of(sources, "sources"), of(meetings, "meetings"), of(chunks, "chunks"), of(entities, "structured_entities"), of(nodes(chunks, entities, who), "knowledge_nodes"), of(edges(chunks, entities, who), "knowledge_edges"))
+    return reduce(DataFrame.crossJoin, parts)  # one row each
 
 
 def stats(meetings: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
@@ -52,17 +61,17 @@ def language_of(meetings: DataFrame) -> DataFrame:
     return rows.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "language").limit(1)
 
 
-def project(chunks: DataFrame, details: DataFrame, query: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+def project(chunks: DataFrame, details: DataFrame, query: str, limit: int = 10, postings=None) -> tuple[DataFrame, DataFrame]:
     """Hits of a query, and the newest entities in their meetings or holding all its terms."""
-    hits = ranked(chunks, query, limit)
+    hits = ranked(chunks, query, limit) if postings is None else postings.hits(chunks, query, limit)
     ids = hits.select("meeting_id").distinct().withColumn("near", F.lit(True))
     rows = ent.merged(details, 4 * limit).join(F.broadcast(ids), "meeting_id", "left")
     return hits, rows.where(F.col("near") | contains_all(ent.haystack(), query)).drop("near").orderBy("position").limit(limit)
 
 
-def person(meetings: DataFrame, chunks: DataFrame, details: DataFrame, name: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+def person(meetings: DataFrame, chunks: DataFrame, details: DataFrame, name: str, limit: int = 10, postings=None) -> tuple[DataFrame, DataFrame]:
     """A person's meetings, and the newest entities of those meetings or naming the person."""
-    shown = recent_meetings(meetings, chunks, limit, person_meetings(chunks, name))
+    shown = recent_meetings(meetings, chunks, limit, person_meetings(chunks, name, postings))
     ids = shown.select("meeting_id").withColumn("near", F.lit(True))
     rows = ent.merged(details, 4 * limit).join(F.broadcast(ids), "meeting_id", "left")
     return shown, rows.where(F.col("near") | contains_all(ent.haystack(), name)).drop("near").orderBy("position").limit(limit)

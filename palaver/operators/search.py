@@ -106,9 +106,9 @@ def ranked(chunks: DataFrame, query: str, limit: int = 10, meeting_id=None, fiel
     return top.withColumn("position", F.row_number().over(Window.orderBy("stage", "rank", "chunk_id")))
 
 
-def search(chunks: DataFrame, query: str, limit: int = 10, meeting_id=None, context: int = 0) -> DataFrame:
-    """Cascade search, and with `context` > 0 the neighbours of each hit behind all hits."""
-    hits = ranked(chunks, query, limit, meeting_id)
+def search(chunks: DataFrame, query: str, limit: int = 10, meeting_id=None, context: int = 0, postings: Postings | None = None) -> DataFrame:
+    """Cascade search, by the postings where there are some; with `context` > 0 the neighbours of each hit behind all."""
+    hits = ranked(chunks, query, limit, meeting_id) if postings is None else postings.hits(chunks, query, limit, meeting_id)
     return expand(hits, chunks, context) if context > 0 else hits.withColumn("is_context", F.lit(False))
 
 
@@ -130,9 +130,10 @@ def expand(hits: DataFrame, chunks: DataFrame, context: int) -> DataFrame:
     return kept.withColumn("position", F.row_number().over(order)).drop("away")
 
 
-def search_terms(chunks: DataFrame, terms: list[str], limit: int) -> DataFrame:
+def search_terms(chunks: DataFrame, terms: list[str], limit: int, postings: Postings | None = None) -> DataFrame:
     """Search once per term; first the first term's hits, then the next one's that are new, `limit` together."""
-    parts = [ranked(chunks, t, limit).withColumn("term_position", F.lit(i)) for i, t in enumerate(terms)]
+    find = (lambda t: ranked(chunks, t, limit)) if postings is None else lambda t: postings.hits(chunks, t, limit)
+    parts = [find(t).withColumn("term_position", F.lit(i)) for i, t in enumerate(terms)]
     if not parts:
         return ranked(chunks, "", limit).withColumn("term_position", F.lit(0))
     both = reduce(DataFrame.unionByName, parts)
@@ -142,61 +143,125 @@ def search_terms(chunks: DataFrame, terms: list[str], limit: int) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.orderBy("term_position", "position", "chunk_id")))
 
 
-# ---- stored index -----------------------------------------------------------------------------------------
+# ---- postings ---------------------------------------------------------------------------------------------
 
 BUCKETS = 64
+#: Columns of the inverted index, and of the lengths from which its statistics come.
+POSTINGS = "term string, chunk_id long, meeting_id long, tf long, dl int, pos array<int>, bucket int"
+LENGTHS = "meeting_id long, n_rows long, dl long"
+
+
+def _flat(chunks: DataFrame, fields) -> DataFrame:
+    """Rows with `s`: all tokens, one empty place between fields, so that no phrase goes over their border."""
+    t = tokenized(chunks, fields)
+    meeting = F.col("meeting_id") if "meeting_id" in chunks.columns else F.lit(None)
+    gap = F.transform("tokens", lambda x: F.concat(x, F.array(F.lit(""))))
+    return t.select("chunk_id", meeting.cast("long").alias("meeting_id"), "dl", F.flatten(gap).alias("s"))
 
 
 def postings(chunks: DataFrame, fields=INDEXED, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, chunk_id, tf, dl): the inverted index. Write it partitioned by bucket, so a query reads few files.
+    """The inverted index, dealt by bucket of term, ready to be written by bucket.
 
-    A row's tokens become distinct (term, tf) pairs before anything is shuffled: sorted, and counted by run.
+    One shuffle, by bucket and a salt of the chunk, so a word that every chunk has is spread over as many tasks as there
+    are partitions a bucket; terms of a chunk are counted in the same partitioning.
     """
-    t = tokenized(chunks, fields).select("chunk_id", "dl", F.array_sort(F.flatten("tokens")).alias("s"))
-    # ends of runs of equal tokens in the sorted array
-    ends = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == F.size("s")) | (F.element_at("s", i) != F.element_at("s", F.least(i + 1, F.size("s")))))
-    t = t.where(F.size("s") > 0).select("chunk_id", "dl", "s", ends.alias("e"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("e")), lambda k: F.struct(F.element_at("s", F.element_at("e", k)).alias("term"), (F.element_at("e", k) - F.when(k > 1, F.element_at("e", F.greatest(k - 1, F.lit(1)))).otherwise(0)).alias("tf")))
-    return t.select("chunk_id", "dl", F.explode(runs).alias("r")).select(F.pmod(F.xxhash64("r.term"), F.lit(buckets)).cast("int").alias("bucket"), "r.term", "chunk_id", "r.tf", "dl")
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, n // buckets)
+    t = _flat(chunks, fields).select("chunk_id", "meeting_id", "dl", F.posexplode("s").alias("at", "term")).where("term <> ''")
+    t = t.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "salt": F.pmod(F.hash("chunk_id"), F.lit(salts))})
+    t = t.repartition(n, "bucket", "salt")
+    rows = t.groupBy("bucket", "salt", "term", "chunk_id", "meeting_id", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("pos"))
+    return rows.select("term", "chunk_id", "meeting_id", "tf", "dl", "pos", "bucket")
+
+
+def lengths(chunks: DataFrame, fields=INDEXED) -> DataFrame:
+    """(meeting_id, n_rows, dl): from these come the number of rows and their average length."""
+    return _flat(chunks, fields).groupBy("meeting_id").agg(F.count("*").alias("n_rows"), F.sum("dl").cast("long").alias("dl"))
 
 
 def term_statistics(chunks: DataFrame, fields=INDEXED) -> DataFrame:
-    """(term, df, cf) over the whole corpus."""
-    return postings(chunks, fields).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """(term, df, cf) over the whole corpus, counted before the shuffle."""
+    flat = _flat(chunks, fields).select(F.array_remove("s", "").alias("s"))
+    once, each = F.transform(F.array_distinct("s"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))), F.transform("s", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    return flat.select(F.explode(F.concat(once, each)).alias("r")).groupBy("r.term").agg(F.sum("r.df").alias("df"), F.sum("r.cf").alias("cf"))
 
 
-class StoredIndex:
-    """Postings and corpus statistics in a folder; searching reads the terms' buckets and the hits' rows only."""
+class Postings:
+    """Search over postings: a query reads the buckets of its terms, and of the chunks only the hits."""
 
-    def __init__(self, spark, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, rows: DataFrame, lengths: DataFrame, buckets: int = BUCKETS):
+        self.rows, self.lengths, self.buckets = rows, lengths, buckets
 
-    def build(self, chunks: DataFrame, fields=INDEXED) -> StoredIndex:
-        p = postings(chunks, fields, self.buckets)
-        p.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        tokenized(chunks, fields).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/corpus")
-        return self
+    def _of(self, words: list[str]) -> DataFrame:
+        # the buckets fold to constants, so they prune partitions
+        here = F.col("bucket").isin([F.pmod(F.xxhash64(F.lit(w)), F.lit(self.buckets)).cast("int") for w in words])
+        return self.rows.where(here & F.col("term").isin(words))
 
-    def ranked(self, query: str, limit: int = 10, mode: str = "cascade") -> DataFrame:
-        """(chunk_id, rank, stage, position). Terms that the index splits need the row scan of `ranked`."""
-        any_, strict = q.any_terms(query), [] if mode == "any" else q.query_tokens(query) if mode == "all" else q.all_terms(query)
-        terms = list(dict.fromkeys(any_ + strict))
+    def frequencies(self, terms: list[str]) -> DataFrame:
+        """(chunk_id, meeting_id, dl, q, tf): how often each query term is in a chunk; a phrase by its positions."""
         forms = {t: phrase(t) for t in terms}
-        if any(len(p) != 1 for p in forms.values()):
-            raise ValueError("a query term is a phrase of the index; search the rows instead")
-        wanted = [forms[t][0] for t in terms]
-        rows = self.spark.read.parquet(f"{self.path}/postings")
-        keys = self.spark.createDataFrame([(w,) for w in wanted] or [("",)], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).alias("b")).collect()
-        rows = rows.where(F.col("bucket").isin([r["b"] for r in keys])).where(F.col("term").isin(wanted))
-        stats = self.spark.read.parquet(f"{self.path}/corpus")
-        df = rows.groupBy("term").agg(F.count("*").alias("df"))  # at most MAX_TOKENS rows
-        x = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+        single = {p[0]: t for t, p in forms.items() if len(p) == 1}
+        parts = []
+        if single:
+            of = F.element_at(F.create_map(*[F.lit(x) for kv in single.items() for x in kv]), F.col("term"))
+            parts.append(self._of(list(single)).select("chunk_id", "meeting_id", "dl", of.alias("q"), "tf"))
+        for t, p in forms.items():
+            if len(p) > 1:
+                found = self._of(p[:1]).select("chunk_id", "meeting_id", "dl", F.col("pos").alias("starts"))
+                for k, word in enumerate(p[1:], 1):
+                    nxt = self._of([word]).select("chunk_id", F.transform("pos", (lambda k: lambda x: x - k)(k)).alias("next"))
+                    found = found.join(nxt, "chunk_id").withColumn("starts", F.array_intersect("starts", "next")).drop("next")
+                parts.append(found.select("chunk_id", "meeting_id", "dl", F.lit(t).alias("q"), F.size("starts").cast("long").alias("tf")).where("tf > 0"))
+        if not parts:
+            return self.rows.select("chunk_id", "meeting_id", "dl", F.col("term").alias("q"), "tf").where(F.lit(False))
+        return reduce(DataFrame.unionByName, parts)
+
+    def ranked(self, query: str, limit: int = 10, meeting_id=None, mode: str = "cascade") -> DataFrame:
+        """(chunk_id, rank, stage, position), as `ranked` over the rows has them."""
+        any_, strict = q.any_terms(query), [] if mode == "any" else q.query_tokens(query) if mode == "all" else q.all_terms(query)
+        x = self.frequencies(list(dict.fromkeys(any_ + strict)))
+        stats = self.lengths.agg(F.sum("n_rows").alias("n_rows"), (F.sum("dl") / F.sum("n_rows")).alias("avgdl"))
+        df = x.groupBy("q").agg(F.count("*").alias("df"))  # at most MAX_TOKENS rows
+        if meeting_id is not None:
+            x = x.where(F.col("meeting_id") == F.lit(meeting_id))
+        x = x.join(F.broadcast(df), "q").crossJoin(F.broadcast(stats))
         raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        inside = lambda ts: F.col("term").isin([forms[t][0] for t in ts])
+        inside = lambda ts: F.col("q").isin(ts)
         per = x.groupBy("chunk_id").agg(F.sum(F.when(inside(any_), part).otherwise(0.0)).alias("r1"), F.sum(F.when(inside(strict), part).otherwise(0.0)).alias("r0") if strict else F.lit(0.0).alias("r0"), F.sum(inside(strict).cast("int")).alias("n0") if strict else F.lit(-1).alias("n0"))
         per = per.withColumn("stage", F.when(F.col("n0") == len(strict), 0).otherwise(1)).withColumn("rank", -F.when(F.col("stage") == 0, F.col("r0")).otherwise(F.col("r1")))
-        if mode == "all":
-            per = per.where("stage = 0")
+        per = per.where("stage = 0") if mode == "all" else per.where(F.col("stage").isin(0, 1) & ((F.col("stage") == 0) | (F.col("r1") > 0)))
         top = per.select("chunk_id", "rank", "stage").orderBy("stage", "rank", "chunk_id").limit(limit)
         return top.withColumn("position", F.row_number().over(Window.orderBy("stage", "rank", "chunk_id")))
+
+    def hits(self, chunks: DataFrame, query: str, limit: int = 10, meeting_id=None, mode: str = "cascade") -> DataFrame:
+        """The hits with the columns of their chunks."""
+        return chunks.join(F.broadcast(self.ranked(query, limit, meeting_id, mode)), "chunk_id").select(*chunks.columns, "rank", "stage", "position")
+
+    def meetings(self, name: str) -> DataFrame:
+        """Ids of the meetings that mention any term of a name."""
+        return self.frequencies(q.any_terms(name)).select("meeting_id").distinct()
+
+
+class StoredIndex(Postings):
+    """Postings and lengths in a folder."""
+
+    def __init__(self, spark, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.spark.read.schema(LENGTHS).parquet(f"{self.path}/lengths")
+
+    def build(self, chunks: DataFrame, fields=INDEXED) -> StoredIndex:
+        write_postings(chunks, self.path, fields, self.buckets)
+        return self
+
+
+def write_postings(chunks: DataFrame, path: str, fields=INDEXED, buckets: int = BUCKETS) -> None:
+    postings(chunks, fields, buckets).sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(chunks, fields).write.mode("overwrite").parquet(f"{path}/lengths")

@@ -39,14 +39,11 @@ def upsert(states: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def with_status(rows: DataFrame, states: DataFrame) -> DataFrame:
-    """Details with `state_status`, null where the user has set none: one join on the identity."""
-    live = states.where(~F.coalesce("orphaned", F.lit(False))).select("meeting_external_id", "chunk_external_id", "text_sha", F.col("source_uuid").alias("state_uuid"), F.col("status").alias("state_status"))
-    mine = identity(rows)
-    on = ["meeting_external_id", "chunk_external_id", "text_sha"]
-    joined = mine.join(live, on, "left")
-    same = F.col("state_status").isNull() | (F.col("state_uuid") == F.col("source_uuid")) | (F.col("source_uuid") == "")
-    status = F.when(same & (F.col("kind") == "action_items"), F.col("state_status"))
-    return joined.withColumn("state_status", status).select(*rows.columns, "state_status")
+    """Details with `state_status` and `status_note`, null where the user has set none: one join on the whole identity."""
+    live = states.where(~F.coalesce("orphaned", F.lit(False)) & (F.col("kind") == "task"))
+    live = live.select("source_uuid", "meeting_external_id", "chunk_external_id", "text_sha", F.col("status").alias("state_status"), F.col("note").alias("status_note"))
+    tasks = identity(rows).withColumn("text_sha", F.when(F.col("kind") == "action_items", F.col("text_sha")))  # only tasks have a status
+    return tasks.join(live, ["source_uuid", "meeting_external_id", "chunk_external_id", "text_sha"], "left").select(*rows.columns, "state_status", "status_note")
 
 
 def change(task: dict, status: str, note: str | None, now: str) -> dict:
@@ -65,3 +62,29 @@ def split_legacy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of an older state: those with a strict identity, and those without one, which become orphans."""
     known = F.col("chunk_external_id").isNotNull() & F.col("meeting_external_id").isNotNull()
     return rows.where(known).withColumn("orphaned", F.lit(False)), rows.where(~known).withColumn("orphaned", F.lit(True))
+
+
+# fixed values: why a legacy row could not be carried over
+ORPHAN_REASONS = ("missing_task", "missing_source", "missing_chunk_id")
+
+
+def migrate_legacy(legacy: DataFrame, tasks: DataFrame, states: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """States with the rows of an older index taken in, and a report (reason, n): migrated, or why a row is an orphan.
+
+    `legacy` has (entity_id, status, note) by the older task ids; `tasks` are that index's task details with their
+    source_uuid. One left join; rows whose task, source or chunk id is not known are kept as orphans with their reason.
+    """
+    t = identity(tasks.where("kind = 'action_items'")).select("entity_id", "source_uuid", "meeting_external_id", "chunk_external_id", "text_sha")
+    rows = legacy.join(t, "entity_id", "left")
+    reason = F.when(F.col("text_sha").isNull(), ORPHAN_REASONS[0]).when(F.coalesce("source_uuid", F.lit("")) == "", ORPHAN_REASONS[1]).when(F.coalesce("chunk_external_id", F.lit("")) == "", ORPHAN_REASONS[2])
+    rows = rows.withColumn("reason", reason)
+    new = rows.select(
+        F.coalesce("source_uuid", F.lit("")).alias("source_uuid"), "meeting_external_id", "chunk_external_id", F.lit("task").alias("kind"), "text_sha", "status", F.coalesce("note", "reason").alias("note"),
+        F.col("entity_id").cast("long").alias("legacy_id"), F.col("reason").isNotNull().alias("orphaned"), F.lit(now).alias("updated_at"),
+    )
+    # what the user has set since then stays
+    known = states.where(~F.coalesce("orphaned", F.lit(False))).select(*KEY)
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"k.{k}")) for k in KEY]
+    fresh = new.alias("n").join(known.alias("k"), same, "left_anti")
+    report = rows.groupBy(F.coalesce("reason", F.lit("migrated")).alias("reason")).agg(F.count("*").alias("n"))
+    return upsert(states, fresh), report

@@ -45,9 +45,10 @@ def sha_features(chunks: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.concat(F.lit("big:"), F.element_at("w", i), F.lit(":"), F.element_at("w", i + 1)).alias("name"), F.lit(BIGRAM_WEIGHT).alias("weight"))))
     rows = t.select("chunk_id", F.explode(F.concat(token, F.coalesce(pairs, F.array().cast("array<struct<name:string,weight:double>>")))).alias("f"))
     h = F.sha2(F.col("f.name"), 256)
-    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    return rows.select("chunk_id", bucket.alias("bucket"), (sign * F.col("f.weight")).alias("weight")).groupBy("chunk_id", "bucket").agg(F.sum("weight").alias("weight")).where("weight <> 0")
+    # five bytes: the bucket from four, the sign from the last one
+    rows = rows.select("chunk_id", F.conv(F.substring(h, 1, 10), 16, 10).cast("long").alias("h"), F.col("f.weight").alias("w"))
+    bucket = (F.shiftright("h", 8) % dims).cast("int")
+    return rows.select("chunk_id", bucket.alias("bucket"), F.when(F.col("h") % 2 == 1, F.col("w")).otherwise(-F.col("w")).alias("weight")).groupBy("chunk_id", "bucket").agg(F.sum("weight").alias("weight")).where("weight <> 0")
 
 
 def stale(chunks: DataFrame, stored: DataFrame, provider: str, model: str, dims: int) -> DataFrame:
@@ -67,6 +68,11 @@ def refresh(chunks: DataFrame, stored: DataFrame, embed: Callable[[DataFrame], D
     return stored.where(~mine).unionByName(kept).unionByName(new)
 
 
+def indexed_count(stored: DataFrame, provider: str, model: str, dims: int) -> DataFrame:
+    """One row (n): the embeddings of this provider, model and size."""
+    return stored.agg(F.count(F.when((F.col("provider") == provider) & (F.col("model") == model) & (F.col("dims") == dims), 1)).alias("n"))
+
+
 def nearest(vectors: DataFrame, query: list[float], limit: int = 10, key: str = "chunk_id") -> DataFrame:
     """(key, distance, position): the exact `limit` nearest by L2; the query vector is a literal.
 

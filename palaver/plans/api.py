@@ -13,7 +13,7 @@ from ..functions import querytext as q
 from ..operators import context as ctx
 from ..operators import entities as ent
 from ..operators import graph, memory, search, state, vectors
-from ..sources import recorder, vault
+from ..sources import chat, recorder, vault
 from . import dossier
 from .index import Index, ScanResult, utc_now
 
@@ -71,8 +71,8 @@ class Memory:
 
     def refresh(self, path: str, force: bool = False, label: str | None = None, prune: bool = False) -> ScanResult:
         """Bring the index up to a recorder file, and register the file's durable id."""
-        self.register_source(path, label)
-        return self.index.refresh(recorder.read(self.spark, path), str(path), force=force, prune=prune)
+        key = self.register_source(path, label)
+        return self.index.refresh(recorder.read(self.spark, path), str(path), force=force, prune=prune, source_uuid=key)
 
     def register_source(self, path: str, label: str | None = None) -> str:
         have = self.sources()
@@ -84,21 +84,40 @@ class Memory:
             return key
         return row["source_uuid"]
 
-    def rebind(self, old: str, new: str) -> str:
-        """Point a source at a moved copy of its file; the copy must hold all meetings indexed from the old one."""
-        meetings = self.index.table("meetings").where(F.col("source_path") == str(old)).select(F.col("external_id").alias("id"))
-        there = recorder.read(self.spark, new)["meetings"].select(F.col("id").cast("string").alias("id"))
-        if meetings.intersect(there).isEmpty() and not meetings.isEmpty():
-            raise ValueError("the new file has none of the indexed meetings")
-        if not meetings.exceptAll(there).isEmpty():
-            raise ValueError("the new file lacks indexed meetings")
+    def rebind(self, old: str, new: str) -> int:
+        """Point a source at a moved copy of its file; returns how many of its meetings the copy has, at least one.
+
+        The source keeps its uuid, so ids, evidence and task states outlive the move.
+        """
         have = self.sources()
         row = have.where(F.col("path") == str(old)).first()
         if row is None:
             raise LookupError(f"unknown source: {old}")
+        meetings = self.index.table("meetings").where(F.col("source_path") == str(old)).select(F.col("external_id").alias("id"))
+        there = recorder.read(self.spark, new)["meetings"].select(F.col("id").cast("string").alias("id"))
+        both = meetings.intersect(there).count()
+        if not both and not meetings.isEmpty():
+            raise ValueError("the new file has none of the indexed meetings")
         moved = self.spark.createDataFrame([(row["source_uuid"], row["kind"], str(new), row["label"])], SOURCES)
+        self.index.rebind(str(old), str(new))
         self._save("sources", have.where(~F.col("path").isin(str(old), str(new))).unionByName(moved))
-        return row["source_uuid"]
+        return both
+
+    def analyze(self, meeting: str | int | None = None) -> dict[str, int]:
+        """Extract the entities of one meeting, or of all, anew."""
+        if meeting is None:
+            return self.index.analyze()
+        row = self.get_meeting(meeting).data["meeting"]
+        if row is None:
+            raise LookupError(f"meeting not found: {meeting}")
+        return self.index.analyze(row["meeting_id"])
+
+    def migrate_states(self, legacy: DataFrame, now: str | None = None) -> dict[str, int]:
+        """Take in (entity_id, status, note) of an older index; how many rows were migrated, and why others were not."""
+        states, report = state.migrate_legacy(legacy, self._details(), self.states(), now or utc_now())
+        counted = {r["reason"]: r["n"] for r in report.collect()}
+        self._save("tasks", states.select(*self.states().columns))
+        return counted
 
     def set_task_status(self, task_id: int, status: str, note: str | None = None, now: str | None = None) -> Response:
         row = self._details().where((F.col("entity_id") == task_id) & (F.col("kind") == "action_items")).first()
@@ -118,12 +137,9 @@ class Memory:
         if key is None:
             key = graph.topic_key(title)
             self._save("topics", topics.unionByName(self.spark.createDataFrame([(key, title, now, now)], graph.TOPIC_SCHEMA)))
-        taken = {r["normalized_alias"] for r in have.select("normalized_alias").toLocalIterator()}
-        added = []
-        for a in aliases:
-            if (n := q.normalize_key(a)) and n not in taken:
-                taken.add(n)
-                added.append((key, a, n))
+        wanted = {n: a for a in reversed(aliases) if (n := q.normalize_key(a))}
+        taken = {r["normalized_alias"] for r in have.where(F.col("normalized_alias").isin(list(wanted))).select("normalized_alias").collect()}  # as many as are to be added
+        added = [(key, a, n) for n, a in reversed(wanted.items()) if n not in taken]
         if added:
             self._save("aliases", have.unionByName(self.spark.createDataFrame(added, graph.ALIAS_SCHEMA)))
         return self.topic_view(key, title) | {"added_aliases": [a for _, a, _ in added]}
@@ -147,8 +163,9 @@ class Memory:
         known = hits.join(F.broadcast(self.sources().select(F.col("path").alias("source_path"), "source_uuid")), "source_path", "left")
         return ctx.nested(known, F.coalesce("source_uuid", F.lit("")), F.col("source_path")).orderBy("position")
 
-    def search_frame(self, query: str, limit: int) -> DataFrame:
-        return search.search(self.chunks(), query, limit)
+    def search_frame(self, query: str, limit: int, meeting_id: int | None = None, context: int = 0) -> DataFrame:
+        """Lexical search by the index's postings."""
+        return search.search(self.chunks(), query, limit, meeting_id, context, self.index.postings())
 
     def semantic_frame(self, embeddings: DataFrame, provider, query: str, limit: int) -> DataFrame:
         v = provider.embed_query(self.spark, query)
@@ -176,7 +193,7 @@ class Memory:
         self._version(contract_version)
         if contract_version == V2:
             return Response("search", {"query": query, "context": context, "results": self.search_hits(query, limit, context)}, V2)
-        hits = search.search(self.chunks(), query, limit, context=context).orderBy("position")
+        hits = self.search_frame(query, limit, context=context).orderBy("position")
         more = ["rank"] + (["matched_chunk_id", "is_context"] if context else [])
         return Response("search", {"query": query, "context": context, "results": _rows(hits.select(*search.EVIDENCE, *more))})
 
@@ -210,7 +227,7 @@ class Memory:
     def context_bundle(self, question: str, limit: int = ctx.DEFAULT_LIMIT, meeting_id: int | None = None, neighbor_count: int = 0, max_evidence: int = ctx.MAX_EVIDENCE) -> dict:
         if neighbor_count < 0 or max_evidence < 1:
             raise ValueError("neighbor_count must not be negative and max_evidence must be positive")
-        hits = search.search(self.chunks(), question, limit, meeting_id, neighbor_count).where(F.col("position") <= max_evidence)
+        hits = self.search_frame(question, limit, meeting_id, neighbor_count).where(F.col("position") <= max_evidence)
         found = ent.of_hits(self._details(), hits)
         named = F.element_at(F.create_map(*[F.lit(x) for kv in ctx.ENTITY_NAMES.items() for x in kv]), F.col("kind"))
         evidence = self._nested(hits)
@@ -230,7 +247,7 @@ class Memory:
         mid, kind = (row["meeting_id"], "meeting_context") if row else (None, "context")
         if contract_version == V2:
             return Response(kind, self.context_bundle(question, limit, mid, context), V2)
-        hits = search.search(self.chunks(), question, limit, mid, context).where(F.col("position") <= ctx.MAX_EVIDENCE)
+        hits = self.search_frame(question, limit, mid, context).where(F.col("position") <= ctx.MAX_EVIDENCE)
         text = ctx.markdown(question, ctx.grouped(hits).collect())
         more = {"meeting": row} if row else {}
         return Response(kind, {"question": question, **more, "markdown": text, "evidence": _rows(hits.orderBy("position").select(*search.EVIDENCE, "rank", "is_context"))})
@@ -240,7 +257,7 @@ class Memory:
 
     def meetings(self, limit: int = 20, person: str | None = None) -> Response:
         m, c = self.index.table("meetings"), self.chunks()
-        only = memory.person_meetings(c, person) if person is not None else None
+        only = memory.person_meetings(c, person, self.index.postings()) if person is not None else None
         return Response("meetings", {"person": person, "meetings": _rows(memory.recent_meetings(m, c, limit, only))})
 
     def latest_meeting(self, person: str | None = None) -> Response:
@@ -258,6 +275,16 @@ class Memory:
     def meeting_chunks(self, meeting_id: int) -> Response:
         return Response("meeting_chunks", {"meeting_id": meeting_id, "chunks": _rows(self.chunks().where(F.col("meeting_id") == meeting_id).orderBy("ordinal", "kind"))})
 
+    def stats(self) -> dict[str, int]:
+        """Counts of sources, meetings, chunks, entities by kind, and nodes and edges of the graph."""
+        found = self.index.table("entities")
+        counted = _rows(memory.index_counts(self.sources(), self.index.table("meetings"), self.chunks(), found))[0]
+        kinds = {r["kind"]: r["n"] for r in ent.counts(found).collect()}
+        return {k: v for k, v in counted.items() if k != "structured_entities"} | kinds
+
+    def list_topics(self, limit: int = 100) -> list[dict]:
+        return _rows(graph.list_topics(self.topics(), self.aliases(), limit).orderBy(F.col("updated_at").desc_nulls_last(), "title", "topic_key"))
+
     def summary(self) -> Response:
         counts = _rows(memory.stats(self.index.table("meetings"), self.chunks(), self.index.table("entities")))[0]
         return Response("summary", {"stats": counts, "latest_meeting": self.latest_meeting().data["meeting"]})
@@ -266,11 +293,11 @@ class Memory:
         return Response("timeline", {"query": query, "signals": _rows(ent.timeline(self._details(), query, limit))})
 
     def project(self, query: str, limit: int = 10) -> Response:
-        hits, signals = memory.project(self.chunks(), self._details(), query, limit)
+        hits, signals = memory.project(self.chunks(), self._details(), query, limit, self.index.postings())
         return Response("project", {"query": query, "meetings": _rows(hits.select(*search.EVIDENCE, "rank")), "structured_signals": _rows(signals)})
 
     def person(self, name: str, limit: int = 10) -> Response:
-        shown, signals = memory.person(self.index.table("meetings"), self.chunks(), self._details(), name, limit)
+        shown, signals = memory.person(self.index.table("meetings"), self.chunks(), self._details(), name, limit, self.index.postings())
         return Response("person", {"person": name, "meetings": _rows(shown), "structured_signals": _rows(signals)})
 
     def topic_view(self, key: str, title: str) -> dict:
@@ -286,7 +313,7 @@ class Memory:
         """A topic's evidence, signals, people and language. Nothing is written; add_topic_alias makes a topic last."""
         topic = self._topic(title)
         terms = [topic["title"], *topic["aliases"]]
-        evidence = graph.topic_evidence(self.chunks(), terms, limit)
+        evidence = graph.topic_evidence(self.chunks(), terms, limit, self.index.postings())
         details = self._details()
         signals = graph.topic_signals(details, terms, limit)
         linked = graph.topic_links(details, terms)
@@ -306,6 +333,11 @@ class Memory:
         found = self.build_context(f"{topic} {question}" if topic else question, limit, meeting=meeting)
         return dossier.prompt(question, found.data["markdown"], meeting, memory_)
 
+    def ask(self, question: str, provider: str | None = None, model: str | None = None, url: str | None = None, **how) -> str:
+        """A model's answer to the prompt, or the prompt itself where a person asks."""
+        text = self.ask_prompt(question, **how)
+        return chat.ask(text, model, url) if chat.provider(provider) == "ollama" else text
+
     def graph(self, title: str, limit: int = 50) -> Response:
         topic = self._topic(title)
         chunks, found = self.chunks(), self.index.table("entities")
@@ -319,5 +351,5 @@ class Memory:
 
     def sync_vault(self, root: str, limit: int = 100) -> vault.SyncResult:
         meetings = memory.recent_meetings(self.index.table("meetings"), self.chunks(), limit)
-        topics = [self.topic(t["title"]).data for t in self.topics().orderBy(F.col("updated_at").desc(), "title").limit(limit).toLocalIterator()]
+        topics = [self.topic(t["title"]).data for t in self.list_topics(limit)]
         return vault.sync(root, meetings, ent.merged(self._details(), limit).orderBy("position"), topics)

@@ -1,22 +1,27 @@
-"""The index: snapshots of meetings, chunks and entities, refreshed by what changed."""
+"""The index: meetings, chunks, entities and postings in segments, refreshed by what changed."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entities as ent
+from ..operators import search
 from . import normalize as norm
 
 SCHEMA_VERSION = 4
 MEETINGS = "meeting_id long, source_kind string, source_path string, external_id string, title string, created_at string, updated_at string, folder_path string, language string, summary_text string, fingerprint string, indexed_at string"
 CHUNKS = "chunk_id long, meeting_id long, source_kind string, source_path string, meeting_external_id string, title string, created_at string, updated_at string, folder_path string, language string, chunk_external_id string, kind string, ordinal long, text string, speaker string, starts_at_seconds double, ends_at_seconds double, timestamp_label string, token_count long, fingerprint string"
 ENTITIES = "entity_id long, kind string, meeting_id long, source_chunk_id long, ordinal long, text string, source string, confidence double, fingerprint string"
-TABLES = {"meetings": MEETINGS, "chunks": CHUNKS, "entities": ENTITIES}
+TABLES = {"meetings": MEETINGS, "chunks": CHUNKS, "entities": ENTITIES, "postings": search.POSTINGS, "lengths": search.LENGTHS}
+#: Segments of an index; a refresh that would make more merges them all into one.
+MAX_SEGMENTS = 12
 RUNS = "source_path string, started_at string, finished_at string, status string, meetings_seen long, meetings_inserted long, meetings_updated long, meetings_unchanged long, chunks_inserted long, chunks_updated long, meetings_analyzed long"
 
 
@@ -44,7 +49,10 @@ def classify(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
 
 
 class Index:
-    """Tables in versioned folders below `path`; a pointer file names the current one, so readers see whole refreshes."""
+    """Tables in segments below `path`. A refresh writes one segment with the meetings that changed and the ids of those
+    it replaces, so it costs what has changed, not what is there; rows of replaced meetings in earlier segments are left
+    out when tables are read. Numbered pointer files name the segments of each state; the highest whole one counts, so
+    a reader sees a state before a refresh or after it, never none, and of two refreshes at once one fails."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -54,32 +62,55 @@ class Index:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
+    def _state(self) -> tuple[int, list[str]]:
+        """Number and segments of the current state; 0 and none before the first refresh."""
         jvm, fs = self._fs()
-        found = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(found):
-            return None
-        version, schema = self.spark.read.text(str(found)).first()[0].split(" ")
-        if int(schema) > SCHEMA_VERSION:
-            raise ValueError(f"the index has a newer schema: {schema}")
-        return version
-
-    def _publish(self, version: str) -> None:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers")
+        if not fs.exists(folder):
+            return 0, []
+        for name in sorted((f.getPath().getName() for f in fs.listStatus(folder)), reverse=True):
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                found = json.loads(text)
+            except ValueError:  # still being written
+                continue
+            if found["schema"] > SCHEMA_VERSION:
+                raise ValueError(f"the index has a newer schema: {found['schema']}")
+            return int(name), found["segments"]
+        return 0, []
+
+    def _publish(self, state: int, segments: list[str]) -> None:
+        """Make `segments` the state after `state`; fails if another one was published meanwhile."""
         jvm, fs = self._fs()
-        tmp = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT.{version}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(f"{version} {SCHEMA_VERSION}".encode()))
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers/{state + 1:012d}"), False)
+        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "segments": segments}).encode()))
         out.close()
-        now = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        fs.delete(now, False)
-        if not fs.rename(tmp, now):
-            raise OSError("the index pointer could not be replaced")
-
-    def table(self, name: str) -> DataFrame:
-        v = self.version()
-        if v is None:
+
+    def version(self) -> str | None:
+        segments = self._state()[1]
+        return segments[-1] if segments else None
+
+    def _read(self, segment: str, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{segment}/{name}")
+
+    def table(self, name: str, segments: list[str] | None = None) -> DataFrame:
+        """The live rows of a table: a replaced or deleted meeting's rows in earlier segments do not count."""
+        segments = self._state()[1] if segments is None else segments
+        if not segments:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{v}/{name}")
+        parts = [self._read(s, name, TABLES[name]).withColumn("__segment", F.lit(k)) for k, s in enumerate(segments)]
+        rows = _union(parts)
+        if len(segments) > 1:
+            gone = _union([self._read(s, "gone", "gone_id long").withColumn("__later", F.lit(k)) for k, s in enumerate(segments) if k])
+            rows = rows.join(gone, (F.col("meeting_id") == F.col("gone_id")) & (F.col("__later") > F.col("__segment")), "left_anti")
+        return rows.drop("__segment")
+
+    def postings(self) -> search.Postings:
+        return search.Postings(self.table("postings"), self.table("lengths"))
 
     def runs(self) -> DataFrame:
         jvm, fs = self._fs()
@@ -87,56 +118,101 @@ class Index:
             return self.spark.createDataFrame([], RUNS)
         return self.spark.read.schema(RUNS).parquet(f"{self.path}/runs")
 
-    def refresh(self, tables: dict[str, DataFrame], source: str, force: bool = False, analyze: bool = True, prune: bool = False, now: str | None = None) -> ScanResult:
+    def _write(self, segment: str, meetings: DataFrame, chunks: DataFrame, entities: DataFrame | None) -> None:
+        """A segment's tables; entities are extracted from the chunks as written where none are given."""
+        at = f"{self.path}/{segment}"
+        meetings.select(*norm.MEETING_COLUMNS).write.parquet(f"{at}/meetings")
+        chunks.select(*norm.CHUNK_COLUMNS).write.parquet(f"{at}/chunks")
+        stored = self._read(segment, "chunks", CHUNKS)
+        (ent.extract(stored) if entities is None else entities).write.partitionBy("kind").parquet(f"{at}/entities")
+        search.write_postings(stored, at)
+
+    def refresh(self, tables: dict[str, DataFrame], source: str, force: bool = False, analyze: bool = True, prune: bool = False, now: str | None = None, source_uuid: str | None = None) -> ScanResult:
         """Bring the index up to the recorder's tables.
 
-        Changed meetings are replaced whole, with chunks and entities; unchanged rows are carried over by anti joins on
-        the changed ids. Meetings gone upstream stay unless `prune`. The new snapshot is published at the end.
+        Changed meetings are replaced whole, with chunks, entities and postings. Meetings gone upstream stay unless
+        `prune`. Ids follow from the source's uuid, or its path where it has none.
         """
         began = now or utc_now()
-        meetings, chunks = norm.normalize(tables, source, began)
-        version = f"v{uuid.uuid4().hex[:12]}"
-        meetings.write.parquet(f"{self.path}/{version}/_new_meetings")
-        new_m = self.spark.read.schema(MEETINGS).parquet(f"{self.path}/{version}/_new_meetings")
-        old_m, old_c, old_e = (self.table(t) for t in TABLES)
-        mine = F.col("source_path") == source
-        diff = classify(old_m.where(mine).select(F.col("meeting_id").alias("key"), "fingerprint"), new_m.select(F.col("meeting_id").alias("key"), "fingerprint"), force)
-        diff.write.parquet(f"{self.path}/{version}/_diff")
-        diff = self.spark.read.schema("key long, change string").parquet(f"{self.path}/{version}/_diff")
-        gone = ["inserted", "updated"] + (["missing"] if prune else [])
-        replaced = diff.where(F.col("change").isin(gone)).select(F.col("key").alias("meeting_id"))
-        fresh = diff.where(F.col("change").isin("inserted", "updated")).select(F.col("key").alias("meeting_id"), "change")
-        new_c = chunks.join(fresh.select("meeting_id"), "meeting_id", "left_semi").select(*norm.CHUNK_COLUMNS)
-        old_m.join(replaced, "meeting_id", "left_anti").select(*norm.MEETING_COLUMNS).unionByName(new_m.join(fresh.select("meeting_id"), "meeting_id", "left_semi").select(*norm.MEETING_COLUMNS)).write.parquet(f"{self.path}/{version}/meetings")
-        old_c.join(replaced, "meeting_id", "left_anti").select(*norm.CHUNK_COLUMNS).unionByName(new_c).write.parquet(f"{self.path}/{version}/chunks")
-        kept = old_e.join(replaced, "meeting_id", "left_anti").select(*old_e.columns)
-        stored = self.spark.read.schema(CHUNKS).parquet(f"{self.path}/{version}/chunks").join(fresh.select("meeting_id"), "meeting_id", "left_semi")
-        (kept.unionByName(ent.extract(stored)) if analyze else kept).write.partitionBy("kind").parquet(f"{self.path}/{version}/entities")
+        state, segments = self._state()
+        meetings, chunks = norm.normalize(tables, source, began, source_uuid)
+        segment = f"s{uuid.uuid4().hex[:12]}"
+        at = f"{self.path}/{segment}"
+        meetings.write.parquet(f"{at}/_new_meetings")
+        new_m = self._read(segment, "_new_meetings", MEETINGS)
+        mine = self.table("meetings", segments).where(F.col("source_path") == source)
+        diff = classify(mine.select(F.col("meeting_id").alias("key"), "fingerprint"), new_m.select(F.col("meeting_id").alias("key"), "fingerprint"), force)
+        diff.write.parquet(f"{at}/_diff")
+        diff = self._read(segment, "_diff", "key long, change string")
         n = {r["change"]: r["n"] for r in diff.groupBy("change").agg(F.count("*").alias("n")).collect()}
-        c = {r["change"]: r["n"] for r in stored.join(fresh, "meeting_id").groupBy("change").agg(F.count("*").alias("n")).collect()}
         done = n.get("inserted", 0) + n.get("updated", 0)
+        c: dict[str, int] = {}
+        if done or prune and n.get("missing"):
+            fresh = diff.where(F.col("change").isin("inserted", "updated")).select(F.col("key").alias("meeting_id"), "change")
+            gone = ["updated"] + (["missing"] if prune else [])
+            diff.where(F.col("change").isin(gone)).select(F.col("key").alias("gone_id")).write.parquet(f"{at}/gone")
+            ids = fresh.select("meeting_id")
+            kept = None if analyze else self.spark.createDataFrame([], ENTITIES)
+            self._write(segment, new_m.join(ids, "meeting_id", "left_semi"), chunks.join(ids, "meeting_id", "left_semi"), kept)
+            stored = self._read(segment, "chunks", CHUNKS)
+            if not stored.groupBy("chunk_id").count().where("count > 1").isEmpty():
+                raise ValueError("two chunks have one id")
+            c = {r["change"]: r["n"] for r in stored.join(fresh, "meeting_id").groupBy("change").agg(F.count("*").alias("n")).collect()}
+            self._publish(state, [*segments, segment])
+            if len(segments) >= MAX_SEGMENTS:
+                self.compact()
         result = ScanResult(done + n.get("unchanged", 0), n.get("inserted", 0), n.get("updated", 0), n.get("unchanged", 0), sum(c.values()), c.get("updated", 0), done if analyze else 0)
-        self._publish(version)
         row = {"source_path": source, "started_at": began, "finished_at": now or utc_now(), "status": "completed", **asdict(result)}
         self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
         return result
 
-    def analyze(self) -> dict[str, int]:
-        """Extract the entities of all meetings anew, as one job."""
-        old, version = self.version(), f"v{uuid.uuid4().hex[:12]}"
-        if old is None:
+    def _rewrite(self, change, entities: bool = True) -> None:
+        """All segments as one; `change` is applied to meetings and chunks, entities are carried over or extracted anew."""
+        state, segments = self._state()
+        if segments:
+            segment = f"s{uuid.uuid4().hex[:12]}"
+            self.spark.createDataFrame([], "gone_id long").write.parquet(f"{self.path}/{segment}/gone")
+            self._write(segment, change(self.table("meetings", segments)), change(self.table("chunks", segments)), self.table("entities", segments) if entities else None)
+            self._publish(state, [segment])
+
+    def compact(self) -> None:
+        """Merge all segments into one."""
+        self._rewrite(lambda rows: rows)
+
+    def rebind(self, old: str, new: str) -> None:
+        """Rows of a source that has moved carry its new path; ids stay."""
+        self._rewrite(lambda rows: rows.withColumn("source_path", F.when(F.col("source_path") == old, new).otherwise(F.col("source_path"))))
+
+    def analyze(self, meeting_id: int | None = None) -> dict[str, int]:
+        """Extract the entities of one meeting, or of all as one job, anew; the number of each kind."""
+        state, segments = self._state()
+        if not segments:
             return dict.fromkeys(ent.KINDS, 0)
-        for t in ("meetings", "chunks"):
-            self.table(t).write.parquet(f"{self.path}/{version}/{t}")
-        ent.extract(self.table("chunks")).write.partitionBy("kind").parquet(f"{self.path}/{version}/entities")
-        self._publish(version)
-        return {r["kind"]: r["n"] for r in ent.counts(self.table("entities")).collect()}
+        if meeting_id is None:
+            self._rewrite(lambda rows: rows, entities=False)
+            return {r["kind"]: r["n"] for r in ent.counts(self.table("entities")).collect()}
+        own = F.col("meeting_id") == meeting_id
+        meetings, chunks = (self.table(t, segments).where(own) for t in ("meetings", "chunks"))
+        if meetings.isEmpty():
+            raise LookupError(f"meeting not found: {meeting_id}")
+        segment = f"s{uuid.uuid4().hex[:12]}"
+        meetings.select(F.col("meeting_id").alias("gone_id")).write.parquet(f"{self.path}/{segment}/gone")
+        self._write(segment, meetings, chunks, None)
+        self._publish(state, [*segments, segment])
+        return {r["kind"]: r["n"] for r in ent.counts(self.table("entities").where(own)).collect()}
 
     def vacuum(self) -> None:
-        """Delete the folders of earlier versions."""
+        """Delete the segments that the current state does not name, and earlier pointers."""
         jvm, fs = self._fs()
-        now = self.version()
+        state, segments = self._state()
         for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path)):
             name = s.getPath().getName()
-            if s.isDirectory() and name.startswith("v") and name != now:
+            if s.isDirectory() and name.startswith("s") and name not in segments:
                 fs.delete(s.getPath(), True)
+        for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers")) if state else ():
+            if s.getPath().getName() < f"{state:012d}":
+                fs.delete(s.getPath(), False)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)

@@ -43,11 +43,12 @@ def chunk_key(*parts) -> Column:
     return F.xxhash64(*parts)
 
 
-def normalize(tables: dict[str, DataFrame], path: str, now: str) -> tuple[DataFrame, DataFrame]:
+def normalize(tables: dict[str, DataFrame], path: str, now: str, source_uuid: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(meetings, chunks). Everything of a meeting is joined by its id; nothing is looked up row by row.
 
     Transcript ordinals count blank segments too; the summary and the note come after the number of segments that are
-    not blank. Fingerprints are SHA-256 of canonical JSON of whole upstream rows.
+    not blank. Fingerprints are SHA-256 of canonical JSON of whole upstream rows. Ids come from the source's uuid where it
+    has one, so they outlive a move of its file.
     """
     m, t, s, n = (tables[k] for k in ("meetings", "transcripts", "summary_processes", "meeting_notes"))
     order = Window.partitionBy("meeting_id").orderBy(F.coalesce("audio_start_time", F.lit(0.0)), F.col("timestamp").asc_nulls_first(), "id")
@@ -64,7 +65,7 @@ def normalize(tables: dict[str, DataFrame], path: str, now: str) -> tuple[DataFr
     sums = s.withColumn("summary_json", _json(s.columns)).select(F.col("meeting_id").alias("mid"), summary_text("result").alias("summary_text"), language("metadata").alias("language"), "summary_json")
     notes = n.withColumn("notes_json_row", _json(n.columns)).select(F.col("meeting_id").alias("mid"), normalize_text(F.coalesce("notes_markdown", F.lit(""))).alias("note_text"), "notes_json_row")
     meet = m.select(F.col("id").cast("string").alias("mid"), "title", "created_at", "updated_at", "folder_path").join(spoken, "mid", "left").join(sums, "mid", "left").join(notes, "mid", "left")
-    meet = meet.withColumn("n_said", F.coalesce("n_said", F.lit(0))).withColumn("meeting_id", chunk_key(F.lit(SOURCE_KIND), F.lit(path), F.col("mid")))
+    meet = meet.withColumn("n_said", F.coalesce("n_said", F.lit(0))).withColumn("meeting_id", chunk_key(F.lit(SOURCE_KIND), F.lit(source_uuid or path), F.col("mid")))
     has = F.coalesce("summary_text", F.lit("")) != ""
     blank = [F.lit(None).cast(k).alias(c) for c, k in (("speaker", "string"), ("starts_at_seconds", "double"), ("ends_at_seconds", "double"), ("timestamp_label", "string"))]
     summed = meet.where(has).select("mid", F.concat(F.lit("summary:"), "mid").alias("chunk_external_id"), F.lit("summary").alias("kind"), F.col("n_said").alias("ordinal"), F.col("summary_text").alias("text"), *blank, whole("summary", F.col("summary_json")).alias("fingerprint"))

@@ -57,6 +57,46 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meeting a customer, a chunk an order, in English and Russian, with its clerk's number as speaker."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    i, u, kind = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.substring("o_orderpriority", 1, 1)
+    clerk = F.concat(F.lit("Clerk "), (F.col("o_orderkey") % 7).cast("string"))
+    text = (
+        F.when(kind == "1", F.concat(clerk, F.lit(" agreed to send the contract. Есть риск задержки.")))
+        .when(kind == "2", F.lit("Решили подтвердить план миграции. Нужно подготовить отчёт!"))
+        .when(kind == "3", F.lit("Открытый вопрос: кто отвечает за миграцию? Надо подумать о сроках."))
+        .when(kind == "4", F.concat(F.lit("Моя задача - собрать данные. "), clerk, F.lit(" owns the миграция list.")))
+        .otherwise(F.lit("Просто Болтовня без дела."))
+    )
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = o.withColumn("n", F.row_number().over(w) - 1)
+    return _chunks(
+        rows, chunk_id=F.col("o_orderkey"), meeting_id=F.col("o_custkey"), meeting_external_id=F.concat(F.lit("customer-"), u), title=F.concat(F.lit("Customer "), u), created_at=F.lit("2026-01-01T00:00:00Z"),
+        updated_at=F.when(F.col("o_custkey") % 2 == 0, F.lit("2026-02-01T00:00:00Z")), language=F.when(F.col("o_custkey") % 3 == 0, F.lit("ru")).otherwise(F.lit("en-US")), chunk_external_id=F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("order-"), i)),
+        ordinal=F.col("n").cast("long"), text=text, speaker=clerk,
+    )
+
+
+def recorder_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The recorder's four tables, from conversations: with blanks, empty turns, summaries of several forms and notes."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("mid", F.concat(F.lit("conv-"), F.col("conv_id").cast("string")))
+    one = c.select("conv_id", "mid").distinct()
+    n, i = F.col("conv_id"), F.col("conv_id").cast("string")
+    meetings = one.select(F.col("mid").alias("id"), F.concat(F.lit("Conversation "), i).alias("title"), F.lit("2026-01-02T03:04:05Z").alias("created_at"), F.when(n % 2 == 0, F.lit("2026-03-02T03:04:05Z")).alias("updated_at"), F.lit(None).cast("string").alias("folder_path"))
+    t = F.col("turn")
+    said = F.when(t % 7 == 3, F.lit("  \t ")).when(t % 4 == 0, F.concat(F.lit("  "), "text", F.lit(" \r\n\r\n\r\n\r\n end "))).otherwise(F.col("text"))
+    transcripts = c.select(
+        F.concat("mid", F.lit("-"), t.cast("string")).alias("id"), F.col("mid").alias("meeting_id"), said.alias("transcript"), F.lit(" 10:00 ").alias("timestamp"),
+        F.when(t > 0, t * 5.0).alias("audio_start_time"), (t * 5.0 + 4).alias("audio_end_time"), F.when(t % 3 == 1, F.lit("  ")).otherwise(F.concat(F.lit(" "), "role", F.lit(" "))).alias("speaker"),
+    )
+    result = F.when(n % 9 == 0, F.lit("plain words")).when(n % 2 == 0, F.concat(F.lit('{"markdown":" # Summary '), i, F.lit(' "}'))).otherwise(F.concat(F.lit('{"markdown":" ","summary":"Short '), i, F.lit('"}')))
+    meta = F.when(n % 4 == 0, F.lit('{"language":"ru"}')).when(n % 4 == 1, F.lit('["en"]')).otherwise(F.lit('{"language":"en"}'))
+    summaries = one.where("conv_id % 3 = 0").select(F.col("mid").alias("meeting_id"), result.alias("result"), meta.alias("metadata"))
+    notes = one.where("conv_id % 4 = 1").select(F.col("mid").alias("meeting_id"), F.when(n % 8 == 5, F.lit(" ")).otherwise(F.concat(F.lit("Note "), i, F.lit("\n\n\n\nmore "))).alias("notes_markdown"))
+    return {"meetings": meetings, "transcripts": transcripts, "summary_processes": summaries, "meeting_notes": notes}
+
+
 def meetings_of(chunks: DataFrame) -> DataFrame:
     """One row a meeting, from its chunks."""
     return chunks.groupBy("meeting_id").agg(

@@ -11,7 +11,7 @@ from palaver.functions import text as t
 from palaver.operators import context, entities, evaluation, graph, search, state, vectors
 from palaver.plans import api
 from palaver.plans.index import Index
-from palaver.sources import recorder, settings, vault
+from palaver.sources import chat, recorder, settings, vault
 from palaver.streaming import refresh
 
 
@@ -249,14 +249,119 @@ def test_topics_tasks_and_vault(memory, tmp_path):
     assert vault.MARKER in (tmp_path / "People" / "Dobrynya.md").read_text() and "- Status: `done`" in (next((tmp_path / "Tasks").glob(f"*{task['text'][:10]}*"))).read_text()
 
 
-def test_rebind(memory, spark, tmp_path):
-    copy = fill(tmp_path / "moved.sqlite")
-    part = fill(tmp_path / "part.sqlite", meetings=1)
+def test_rebind_keeps_ids_evidence_and_task_state(spark, tmp_path):
+    m = api.Memory(spark, str(tmp_path / "store"))
+    old, new, part, other = (fill(tmp_path / f"{n}.sqlite", meetings=1 if n == "part" else 2) for n in ("old", "new", "part", "other"))
+    m.refresh(old)
+    with sqlite3.connect(other) as db:
+        db.execute("update meetings set id = 'other-' || id")
+    evidence = m.search("migration risks", 1, contract_version=api.V2).data["results"][0]["id"]
+    task = m.structured_entities("action_items").data["entities"][0]
+    m.set_task_status(task["entity_id"], "done", note="survives move")
+    uuid = m.register_source(old)
     with pytest.raises(ValueError):
-        memory.rebind(memory.file, part)
-    before = memory.register_source(memory.file)
-    assert memory.rebind(memory.file, copy) == before
-    memory.rebind(copy, memory.file)
+        m.rebind(old, other)
+    with pytest.raises(LookupError):
+        m.rebind("nowhere", new)
+    assert m.rebind(old, new) == 2 and m.register_source(new) == uuid
+    again = m.refresh(new)
+    assert (again.meetings_inserted, again.meetings_unchanged, m.chunks().count()) == (0, 2, 6)
+    assert m.search("migration risks", 1, contract_version=api.V2).data["results"][0]["id"] == evidence
+    row = next(r for r in m.structured_entities("action_items").data["entities"] if r["text"] == task["text"])
+    assert (row["entity_id"], row["status"], row["status_note"]) == (task["entity_id"], "done", "survives move")
+    assert [r.path for r in m.sources().collect()] == [str(new)]
+    assert m.rebind(new, part) == 1
+
+
+def test_segments_postings_and_pointers(spark, tmp_path, monkeypatch):
+    """Searching the postings of many segments is searching the live rows; two refreshes at once do not both win."""
+    file, m = fill(tmp_path / "r.sqlite"), api.Memory(spark, str(tmp_path / "store"))
+    m.refresh(file)
+    state = m.index._state()
+    for n in range(3):
+        with sqlite3.connect(file) as db:
+            db.execute("update transcripts set transcript = ? where id = 'transcript-2'", (f"Dobrynya agreed to send foo_bar {n} migration risks.",))
+        m.refresh(file)
+    assert len(m.index._state()[1]) == 4 and m.chunks().count() == 6 and m.index.table("entities").select("meeting_id").distinct().count() == 2
+    p = m.index.postings()
+    for text in ("migration risks", "launch", "pricing decision", "foo_bar", "foo_bar risks", "zzz", "the of"):
+        for mode in ("cascade", "any", "all"):
+            want = [(r.chunk_id, round(r.rank, 9), r.stage) for r in search.ranked(m.chunks(), text, 5, mode=mode).orderBy("position").collect()]
+            assert [(r.chunk_id, round(r.rank, 9), r.stage) for r in p.ranked(text, 5, mode=mode).orderBy("position").collect()] == want
+    with pytest.raises(Exception, match="(?i)exist"):
+        m.index._publish(state[0], ["x"])
+    one = m.get_meeting("meeting-2").data["meeting"]["meeting_id"]
+    assert m.analyze("meeting-2") == {r["kind"]: r["count"] for r in m.index.table("entities").where(F.col("meeting_id") == one).groupBy("kind").count().collect()} | {k: 0 for k in entities.KINDS if k == "open_questions"}
+    with pytest.raises(LookupError):
+        m.analyze("none")
+    before = sorted(map(tuple, m.index.table("entities").collect()))
+    m.index.compact()
+    m.index.vacuum()
+    assert len(m.index._state()[1]) == 1 and sorted(map(tuple, m.index.table("entities").collect())) == before
+    one_bucket = m.index.postings()._of(["launch"])
+    assert one_bucket.count() == 3 and "PartitionFilters: [isnotnull(bucket" in one_bucket._jdf.queryExecution().toString()
+    stats = m.stats()
+    assert (stats["sources"], stats["meetings"], stats["chunks"]) == (1, 2, 6) and stats["knowledge_nodes"] > 8 and stats["knowledge_edges"] > 8
+
+
+def test_states_of_two_sources_do_not_double_rows_and_legacy_rows_are_reported(spark):
+    task = lambda i, uuid, chunk="c": (i, "action_items", "m", chunk, "Do it", uuid)
+    rows = spark.createDataFrame([task(1, "a"), task(2, "b"), task(3, ""), task(4, "a", None)], "entity_id long, kind string, meeting_external_id string, chunk_external_id string, text string, source_uuid string")
+    import hashlib
+
+    sha = hashlib.sha256(b"do it").hexdigest()
+    states = spark.createDataFrame([(u, "m", "c", "task", sha, s, f"n{u}", None, False, "1") for u, s in (("a", "done"), ("b", "cancelled"))], state.SCHEMA)
+    got = {r.entity_id: (r.state_status, r.status_note) for r in state.with_status(rows, states).collect()}
+    assert got == {1: ("done", "na"), 2: ("cancelled", "nb"), 3: (None, None), 4: (None, None)}
+    legacy = spark.createDataFrame([(1, "open", None), (2, "done", "x"), (3, "done", None), (4, "open", None), (9, "done", None)], "entity_id long, status string, note string")
+    new, report = state.migrate_legacy(legacy, rows, states.where("source_uuid = 'b'"), "2")
+    assert {r.reason: r.n for r in report.collect()} == {"migrated": 2, "missing_source": 1, "missing_chunk_id": 1, "missing_task": 1}
+    live = {r.source_uuid: r.status for r in new.where("not orphaned").collect()}
+    assert live == {"a": "open", "b": "cancelled"} and new.where("orphaned").count() == 3
+
+
+def test_asking_a_model(memory):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked, answers = [], [b'{"response": "Dobrynya."}', b'{"x": 1}']
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answers[len(asked) - 1])
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert memory.ask("Who owns migration risks?", "ollama", url=url) == "Dobrynya."
+    path, body = asked[0]
+    assert path == "/api/generate" and body["model"] == "llama3.1" and body["stream"] is False and "Question: Who owns" in body["prompt"]
+    with pytest.raises(ValueError):
+        memory.ask("x", "ollama", url=url)
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(chat.Unavailable):
+        chat.ask("x", url=url, timeout=1)
+    assert memory.ask("x").startswith("Answer the question")
+    with pytest.raises(ValueError):
+        memory.ask("x", "other")
+
+
+def test_reports_are_compared(spark):
+    task = lambda i, ok, n, crit=False: {"task_id": i, "class": "risk" if crit else "task", "critical": crit, "success": ok, "ndcg": n}
+    a = evaluation.Report({"run_id": "1", "retrieval_mode": "x"}, {}, [task("a", True, 1.0, True), task("b", False, 0.0), task("c", True, 0.5)])
+    b = evaluation.Report({"run_id": "2", "retrieval_mode": "y"}, {}, [task("a", False, 0.0, True), task("b", True, 0.5), task("c", True, 0.5)])
+    with pytest.raises(ValueError):
+        evaluation.compare_reports(spark, a, b)
+    got = evaluation.compare_reports(spark, a, b, {"retrieval_mode"})
+    assert got.counts == {"improvements": 1, "ties": 1, "regressions": 1} and got.by_class["risk"]["regressions"] == 1
+    assert got.transitions == ["a: success -> failure", "b: failure -> success"] and got.critical_regressions == ["a"] and got.allowed_manifest_drift == ["retrieval_mode"]
 
 
 def test_vectors(spark, memory):
