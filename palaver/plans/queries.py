@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -85,6 +87,34 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()} {select}"
 
 
+_STORED: dict[tuple[str, str, str], search.StoredIndex] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palaver-")
+    return f"{base.rstrip('/')}/views-{uuid.uuid4().hex}"
+
+
+def indexed(spark: SparkSession, sf_dir: str, corpus: str) -> tuple[DataFrame, search.StoredIndex]:
+    """The chunks of a corpus and its postings, which are written once a session and table folder."""
+    chunks = getattr(corpora, corpus)(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, corpus)
+    if key not in _STORED:
+        _STORED[key] = search.StoredIndex(spark, f"{folder(spark)}/{corpus}").build(chunks)
+    return chunks, _STORED[key]
+
+
+def _found(spark: SparkSession, sf_dir: str, corpus: str, text: str, limit: int, mode: str = "cascade", meeting_id=None) -> DataFrame:
+    chunks, index = indexed(spark, sf_dir, corpus)
+    return index.hits(chunks, text, limit, meeting_id, mode)
+
+
+def _searched(spark: SparkSession, sf_dir: str, text: str, limit: int, context: int = 0) -> DataFrame:
+    chunks, index = indexed(spark, sf_dir, "conversations")
+    return search.search(chunks, text, limit, context=context, postings=index)
+
+
 def _hits(df: DataFrame, *more: str) -> DataFrame:
     return df.select("position", "chunk_id", F.round("rank", 6).alias("rank"), *more)
 
@@ -99,12 +129,12 @@ def fts_tokens(spark, sf_dir):
 
 @query(_with(_bm25(_DOCS, ["with", "from"]), "SELECT row_number() OVER (ORDER BY rank, chunk_id) AS position, chunk_id, round(rank, 6) AS rank FROM scored WHERE n_terms > 0 ORDER BY rank, chunk_id LIMIT 20"))
 def fts_bm25_or(spark, sf_dir):
-    return _hits(search.ranked(corpora.documents(spark, sf_dir), "with from", 20, mode="any"))
+    return _hits(_found(spark, sf_dir, "documents", "with from", 20, "any"))
 
 
 @query(_with(_bm25(_DOCS, ["with", "from"]), "SELECT row_number() OVER (ORDER BY rank, chunk_id) AS position, chunk_id, round(rank, 6) AS rank FROM scored WHERE n_terms = 2 ORDER BY rank, chunk_id LIMIT 20"))
 def fts_strict_and(spark, sf_dir):
-    return _hits(search.ranked(corpora.documents(spark, sf_dir), "with from", 20, mode="all"))
+    return _hits(_found(spark, sf_dir, "documents", "with from", 20, "all"))
 
 
 _CASCADE = _with(
@@ -116,13 +146,13 @@ _CASCADE = _with(
 @query(_CASCADE)
 def fts_strict_then_or(spark, sf_dir):
     """Strict hits first, then any."""
-    return _hits(search.ranked(corpora.conversations(spark, sf_dir), "with from their", 40), "stage")
+    return _hits(_found(spark, sf_dir, "conversations", "with from their", 40), "stage")
 
 
 @query(_with(_bm25(_TURNS, ["with", "from"], ", meeting_id, ordinal"), "SELECT row_number() OVER (ORDER BY stage, rank, chunk_id) AS position, chunk_id, round(rank, 6) AS rank, stage FROM (SELECT *, (n_terms < 2)::INT AS stage FROM scored WHERE n_terms > 0 AND meeting_id = 3) ORDER BY stage, rank, chunk_id LIMIT 10"))
 def fts_scoped(spark, sf_dir):
     """One conversation's hits, scored with the statistics of all."""
-    return _hits(search.ranked(corpora.conversations(spark, sf_dir), "with from", 10, meeting_id=3), "stage")
+    return _hits(_found(spark, sf_dir, "conversations", "with from", 10, meeting_id=3), "stage")
 
 
 @query(
@@ -138,13 +168,13 @@ def fts_scoped(spark, sf_dir):
 )
 def fts_neighbors(spark, sf_dir):
     """Hits, then the turns at most two away from each."""
-    return _hits(search.search(corpora.conversations(spark, sf_dir), "with from", 8, context=2), "matched_chunk_id", "hit_position", "is_context")
+    return _hits(_searched(spark, sf_dir, "with from", 8, 2), "matched_chunk_id", "hit_position", "is_context")
 
 
 @query(_with(_bm25(_DOCS, ["src7"]), "SELECT row_number() OVER (ORDER BY rank, chunk_id) AS position, chunk_id, round(rank, 6) AS rank FROM scored WHERE n_terms > 0 ORDER BY rank, chunk_id LIMIT 30"))
 def fts_title_match(spark, sf_dir):
     """A word of the title matches every chunk of the meeting."""
-    return _hits(search.ranked(corpora.documents(spark, sf_dir), "src7", 30))
+    return _hits(_found(spark, sf_dir, "documents", "src7", 30))
 
 
 def _ranked_cte(name: str, terms: list[str], limit: int) -> str:
@@ -160,7 +190,14 @@ def _ranked_cte(name: str, terms: list[str], limit: int) -> str:
 )
 def fts_multi_term_union(spark, sf_dir):
     """Each term's hits in turn, new ones only."""
-    return _hits(search.search_terms(corpora.documents(spark, sf_dir), ["with from", "nicht"], 12), "term_position")
+    chunks, index = indexed(spark, sf_dir, "documents")
+    return _hits(search.search_terms(chunks, ["with from", "nicht"], 12, index), "term_position")
+
+
+@query(_with(_bm25(_DOCS, ["with", "from"]), "SELECT row_number() OVER (ORDER BY rank, chunk_id) AS position, chunk_id, round(rank, 6) AS rank FROM scored WHERE n_terms > 0 ORDER BY rank, chunk_id LIMIT 20"))
+def fts_scan(spark, sf_dir):
+    """The same ranking without an index, counted inside the rows."""
+    return _hits(search.ranked(corpora.documents(spark, sf_dir), "with from", 20, mode="any"))
 
 
 # ---- entities ---------------------------------------------------------------------------------------------
@@ -332,7 +369,7 @@ def hash_embedding_blake(spark, sf_dir):
 )
 def hybrid_rrf(spark, sf_dir):
     """Fusion of a lexical and a semantic list of four times the limit."""
-    lex = search.ranked(corpora.documents(spark, sf_dir), "with from", vectors.candidate_limit(10), mode="any").select(F.col("chunk_id").alias("evidence_id"), "position")
+    lex = indexed(spark, sf_dir, "documents")[1].ranked("with from", vectors.candidate_limit(10), mode="any").select(F.col("chunk_id").alias("evidence_id"), "position")
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("embedding", "vector")
     sem = vectors.nearest(e, _QUERY, vectors.candidate_limit(10), "vec_id").select(F.col("vec_id").alias("evidence_id"), "position")
     return vectors.fuse(lex, sem, 10).select("position", "evidence_id", "lexical_rank", "semantic_rank", F.round("score", 6).alias("score"))
@@ -394,7 +431,7 @@ def eval_compare(spark, sf_dir):
 _TURN_PRINT = "sha256(concat('conversation-', conv_id, chr(0), 'transcript', chr(0), turn, chr(0), text))"
 
 
-@query(f"WITH r AS (SELECT sha256(concat('conversation-', conv_id, chr(0), 'turn-', conv_id, '-', turn, chr(0), 'transcript', chr(0), turn, chr(0), {_TURN_PRINT})) AS h FROM conversations), p AS (SELECT substr(h, 1, 3) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n_chunks, sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM p")
+@query(f"WITH r AS (SELECT sha256(concat(chr(0), chr(0), 'conversation-', conv_id, chr(0), chr(0), 'turn-', conv_id, '-', turn, chr(0), 'transcript', chr(0), turn, chr(0), {_TURN_PRINT})) AS h FROM conversations), p AS (SELECT substr(h, 1, 3) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n_chunks, sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM p")
 def corpus_fingerprint(spark, sf_dir):
     return ev.corpus_fingerprint(corpora.conversations(spark, sf_dir))
 
@@ -406,7 +443,7 @@ def task_state_overlay(spark, sf_dir):
     found = ent.extract(chunks)
     keys = state.identity(ent.details(found, chunks).where("kind = 'action_items'"))
     status = F.when(F.col("source_chunk_id") % 3 == 0, "done").when(F.col("source_chunk_id") % 3 == 1, "cancelled")
-    states = keys.select("source_uuid", "meeting_external_id", "chunk_external_id", F.lit("task").alias("kind"), "text_sha", status.alias("status"), F.lit(False).alias("orphaned")).where("status is not null")
+    states = keys.select("source_uuid", "meeting_external_id", "chunk_external_id", F.lit("task").alias("kind"), "text_sha", status.alias("status"), F.lit(None).cast("string").alias("note"), F.lit(False).alias("orphaned")).where("status is not null")
     return ent.details(found, chunks, states).where("kind = 'action_items'").select("meeting_id", "source_chunk_id", "status")
 
 
@@ -426,7 +463,7 @@ def incremental_diff(spark, sf_dir):
 @query(_with(_bm25(_TURNS, ["with", "from"], ", meeting_id, ordinal"), "SELECT concat('conversation-', meeting_id) AS meeting_external_id, min(position) AS first_position, count(*) AS n_excerpts, round(min(rank), 6) AS best_rank FROM (SELECT *, row_number() OVER (ORDER BY (n_terms < 2)::INT, rank, chunk_id) AS position FROM scored WHERE n_terms > 0 ORDER BY (n_terms < 2)::INT, rank, chunk_id LIMIT 20) GROUP BY meeting_id"))
 def context_group(spark, sf_dir):
     """Hits by meeting, in the order of the first."""
-    g = ctx.grouped(search.search(corpora.conversations(spark, sf_dir), "with from", 20))
+    g = ctx.grouped(_searched(spark, sf_dir, "with from", 20))
     return g.select("meeting_external_id", "first_position", "n_excerpts", F.round("best_rank", 6).alias("best_rank"))
 
 
@@ -455,11 +492,11 @@ def evidence_classes(spark, sf_dir):
 @query()
 def context_markdown(spark, sf_dir):
     """The context document of one question, rendered from its grouped hits."""
-    rows = ctx.grouped(search.search(corpora.conversations(spark, sf_dir), "with from", 8, context=1)).collect()
+    rows = ctx.grouped(_searched(spark, sf_dir, "with from", 8, 1)).collect()
     return spark.createDataFrame([(ctx.markdown("with from", rows),)], "markdown string")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search over conversations, joined back to the text, with neighbours."""
-    return search.search(corpora.conversations(spark, sf_dir), "with from", 10, context=1).select("position", "chunk_id", "meeting_external_id", "ordinal", "speaker", "text", "rank", "is_context")
+    return _searched(spark, sf_dir, "with from", 10, 1).select("position", "chunk_id", "meeting_external_id", "ordinal", "speaker", "text", "rank", "is_context")
 

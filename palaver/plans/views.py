@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import querytext as qt
@@ -19,7 +14,7 @@ from ..sources import corpora, recorder
 from . import normalize as norm
 from .dossier import prompt
 from .index import Index
-from .queries import _DIST, _DOCS, _ENTITIES, _EVENTS, _PLACED, _QUERY, _TURNS, _bm25, _tokens, _with, query
+from .queries import _DIST, _DOCS, _ENTITIES, _EVENTS, _PLACED, _QUERY, _TURNS, _bm25, _tokens, _with, folder, indexed, query
 
 # ---- ingest -----------------------------------------------------------------------------------------------
 
@@ -51,19 +46,13 @@ def normalize_meetings(spark, sf_dir):
     return norm.normalize(corpora.recorder_tables(spark, sf_dir), "r", "now")[0].select("external_id", "title", "created_at", "updated_at", "language", "summary_text")
 
 
-def _folder(spark) -> str:
-    """A folder of our own that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palaver-views-")
-    return f"{base.rstrip('/')}/views-{uuid.uuid4().hex}"
-
-
 @query("SELECT 'nation-' || n_nationkey AS id, 'Nation ' || n_name AS title, 'region-' || n_regionkey AS folder_path, n_nationkey AS rank FROM nation ORDER BY n_nationkey")
 def recorder_scan(spark, sf_dir):
     """A recorder file written from a small table, checked, and scanned read-only in row-id ranges."""
     import sqlite3
     from pathlib import Path
 
-    path = Path(_folder(spark).removeprefix("file:"), "recorder.sqlite")
+    path = Path(folder(spark).removeprefix("file:"), "recorder.sqlite")
     path.parent.mkdir(parents=True)
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()  # 25 rows at any scale
     with sqlite3.connect(path) as db:
@@ -85,7 +74,7 @@ def recorder_scan(spark, sf_dir):
 )
 def incremental_refresh(spark, sf_dir):
     """Three refreshes of one index: all meetings, nothing new, then some retitled and some gone."""
-    tables, index, out = corpora.recorder_tables(spark, sf_dir), Index(spark, f"{_folder(spark)}/index"), []
+    tables, index, out = corpora.recorder_tables(spark, sf_dir), Index(spark, f"{folder(spark)}/index"), []
     number = F.regexp_extract("id", r"(\d+)$", 1).cast("int")
     later = tables | {"meetings": tables["meetings"].where(number % 5 != 0).withColumn("title", F.when(number % 5 == 1, F.lit("New")).otherwise(F.col("title")))}
     for run, now in (("first", tables), ("again", tables), ("changed", later)):
@@ -97,7 +86,7 @@ def incremental_refresh(spark, sf_dir):
 @query(_with(_RECORDER, "SELECT 'conv-' || conv_id AS external_id, 'moved' AS source_path, 1::BIGINT AS rows_of_meeting FROM head"))
 def source_rebind(spark, sf_dir):
     """An index whose source has moved: the same meetings once, under the new path, after the next refresh."""
-    tables, index = corpora.recorder_tables(spark, sf_dir), Index(spark, f"{_folder(spark)}/index")
+    tables, index = corpora.recorder_tables(spark, sf_dir), Index(spark, f"{folder(spark)}/index")
     index.refresh(tables, "old", source_uuid="u")
     index.rebind("old", "moved")
     index.refresh(tables, "moved", source_uuid="u")
@@ -149,15 +138,10 @@ _HITS = f"""{_bm25(_TURNS, ["with", "from"], ", meeting_id, ordinal")},
   shown AS (SELECT h.*, c.conv_id, c.turn, c.role, c.text FROM hits h JOIN conversations c ON h.chunk_id = c.conv_id * 1000 + c.turn)"""
 
 
-def _stored(spark, sf_dir):
-    chunks = corpora.conversations(spark, sf_dir)
-    return chunks, search.StoredIndex(spark, f"{_folder(spark)}/fts").build(chunks)
-
-
 @query(_with(_HITS, "SELECT conv_id AS meeting_id, 'conversation-' || conv_id AS meeting_external_id, 'Conversation ' || conv_id AS title, NULL::VARCHAR AS created_at, NULL::VARCHAR AS updated_at, NULL::VARCHAR AS folder_path, NULL::VARCHAR AS language, chunk_id, 'turn-' || conv_id || '-' || turn AS chunk_external_id, 'transcript' AS kind, turn AS ordinal, text, role AS speaker, NULL::DOUBLE AS starts_at_seconds, NULL::DOUBLE AS ends_at_seconds, NULL::VARCHAR AS timestamp_label, round(rank, 6) AS rank FROM shown"))
 def search_rows(spark, sf_dir):
     """Evidence rows, all 17 columns, found through stored postings."""
-    chunks, index = _stored(spark, sf_dir)
+    chunks, index = indexed(spark, sf_dir, "conversations")
     return search.search(chunks, "with from", 12, postings=index).select(*search.EVIDENCE, F.round("rank", 6).alias("rank"))
 
 
@@ -167,14 +151,14 @@ _TURN_ID = """concat('evidence:', sha256(concat('{"chunk":{"external_id":"turn-'
 @query(_with(_HITS, f"SELECT position, {_TURN_ID} AS id, 'corpus' AS source_uuid, 'conversation-' || conv_id AS external_id, 'path' AS source_path, 'turn-' || conv_id || '-' || turn AS chunk_external_id, turn AS ordinal, text, role AS speaker, false AS is_context FROM shown"))
 def search_hits_nested(spark, sf_dir):
     """Nested hits of the second contract, flattened."""
-    chunks, index = _stored(spark, sf_dir)
+    chunks, index = indexed(spark, sf_dir, "conversations")
     n = ctx.nested(search.search(chunks, "with from", 12, postings=index), F.lit("corpus"), F.lit("path"))
     return n.select("position", "id", "meeting.source_uuid", "meeting.external_id", "meeting.source_path", "excerpt.chunk_external_id", "excerpt.ordinal", "excerpt.text", "excerpt.speaker", "is_context")
 
 
 @query(_with(_HITS, f"SELECT position, {_TURN_ID} AS id, CASE WHEN length(text) > 40 THEN concat(regexp_replace(substr(text, 1, 40), '\\s+$', ''), '…') ELSE text END AS preview, length(text) > 40 AS truncated, 40 AS preview_length FROM shown"))
 def search_hits_compact(spark, sf_dir):
-    chunks, index = _stored(spark, sf_dir)
+    chunks, index = indexed(spark, sf_dir, "conversations")
     n = ctx.nested(search.search(chunks, "with from", 12, postings=index), F.lit("corpus"), F.lit("path"))
     return ctx.compact(n, 40).select("position", "id", "preview", "truncated", "preview_length")
 
@@ -413,7 +397,7 @@ def timeline_newest(spark, sf_dir):
 @query(_with(_HITS, "SELECT concat('# Question', chr(10), chr(10), 'with from', chr(10)) AS head, count(*) AS n_excerpts, count(DISTINCT conv_id) AS n_meetings, true AS names_all FROM shown"))
 def context_bundle(spark, sf_dir):
     """The context document: its head, and one excerpt a hit under its meeting."""
-    chunks, index = _stored(spark, sf_dir)
+    chunks, index = indexed(spark, sf_dir, "conversations")
     groups = ctx.grouped(search.search(chunks, "with from", 12, postings=index)).collect()  # at most 12 hits
     text = ctx.markdown("with from", groups)
     return spark.createDataFrame([("\n".join(text.split("\n")[:3]) + "\n", text.count("\nSource: "), text.count("\n## Meeting: "), all(g["meeting_external_id"] in text for g in groups))], "head string, n_excerpts long, n_meetings long, names_all boolean")
@@ -522,10 +506,6 @@ def corpus_fingerprint_full(spark, sf_dir):
     return ev.corpus_fingerprint(chunks, meetings)
 
 
-def _union(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 @query("SELECT * FROM (VALUES ('the pricing decision', '\"pricing\" OR \"decision\"', '\"pricing\" AND \"decision\"'), ('миграция', '\"миграция\" OR \"миграции\" OR \"миграцию\" OR \"миграцией\"', ''), ('of the', '', '')) AS t(query, any_query, strict_query)")
 def query_notation(spark, sf_dir):
     """What a query asks of a full-text engine."""
