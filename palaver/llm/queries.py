@@ -63,7 +63,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license, op2_secrets, op3_mixing, op4_language, op5_sharding, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_repeats, op10_near_dedup, pipeline)
 }
 
+#: One step of CRC-32 by bit: shifted, and where a one falls out, with the reversed polynomial taken off.
+_CRC_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+
 ORACLES: dict[str, str] = {
+    "op1_license": licenses.oracle(),
+    "op5_sharding": f"""
+        WITH RECURSIVE bits(i, k, x) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, {_CRC_STEP} FROM bits WHERE k < 8),
+        tab AS (SELECT list(x ORDER BY i) AS tab FROM bits WHERE k = 8),
+        texts AS (SELECT DISTINCT coalesce(text, '') AS x FROM documents),
+        crcs AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS crc FROM texts, tab),
+        base AS (SELECT doc_id, octet_length(encode(x)) + 1 AS size, crc, md5(x) AS t, md5(doc_id::VARCHAR) AS d FROM documents JOIN crcs ON coalesce(text, '') = x),
+        tot AS (SELECT sum(size)::BIGINT AS total FROM base),
+        hot AS (SELECT t FROM base, tot GROUP BY t, total HAVING sum(size) > 0.02 * total / 16),
+        rows_ AS (SELECT base.*, t IN (SELECT t FROM hot) AS hot FROM base),
+        placed AS (SELECT *, sum(size) OVER w - size AS start, row_number() OVER w - 1 AS nth FROM rows_ WINDOW w AS (ORDER BY hot DESC, t, d, doc_id ROWS UNBOUNDED PRECEDING)),
+        grouped AS (SELECT *, CASE WHEN hot THEN start ELSE min(start) OVER g END AS first_, CASE WHEN hot THEN size ELSE sum(size) OVER g END AS bytes FROM placed WINDOW g AS (PARTITION BY t)),
+        dealt AS (SELECT *, least(15, (2 * first_ + bytes) * 16 // (2 * total))::INT AS shard FROM grouped, tot)
+        SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM dealt""",
     "op3_mixing": """
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),

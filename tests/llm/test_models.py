@@ -71,8 +71,9 @@ def test_features_ratios_and_fit_match_plain_formulas(spark):
     for g in a.keys() | b.keys():
         share = (a[g] + b[g]) / 110
         z = (a[g] / 40 - b[g] / 70) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / 40 + 1 / 70))
-        if a[g] + b[g] >= toxicity.MIN_TEXTS and abs(z) >= toxicity.MIN_Z:
-            want[g] = math.log(((a[g] + 1) / 42) / ((b[g] + 1) / 72))
+        ratio = math.log(((a[g] + 1) / 42) / ((b[g] + 1) / 72))
+        if a[g] + b[g] >= toxicity.MIN_TEXTS and abs(z) >= toxicity.MIN_Z and abs(ratio) >= math.log(toxicity.MIN_FACTOR):
+            want[g] = ratio
     assert set(model.keys.tolist()) == set(want)
     ratio = np.array([want[g] for g in model.keys.tolist()])
     w = model.weights / ratio
