@@ -17,7 +17,7 @@ from .common import blocks, even_keys, partitions, staged
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # trigger places in one string
 #: Bytes parsed at once, and bytes of phrases a task holds before it sends them on.
-PARSE, HOLD = 1 << 20, 48 << 20
+PARSE, HOLD = 1 << 19, 24 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: A document is an id and the digest of its text: rows that share an id are told apart, equal rows are not.
