@@ -65,7 +65,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     size is the text's UTF-8 bytes plus 1. A null text counts as no bytes and has crc 0, as the empty text. Rows with
     null or repeated ids each get a slot of their own. An empty table gives no rows.
     """
-    rows = _slotted(docs, shards, id_col, text_col)
+    rows = _slotted(docs.select(id_col, text_col), shards, id_col, text_col)
     return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
