@@ -45,7 +45,7 @@ def text_codes(text: str | None) -> np.ndarray:
     return out
 
 
-def present(texts: list[str | None], probe: KeyProbe, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def present(texts: list[str | None], probe: KeyProbe, limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, text, key) blocks: which distinct keys every whole text holds, as positions in the sorted keys."""
     n = max(1, probe.keys.size)
     for i, j in blocks([len(t or "") for t in texts], limit):
@@ -69,7 +69,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def margins(self, texts: list[str | None], limit: int = 1 << 20) -> np.ndarray:
+    def margins(self, texts: list[str | None], limit: int = 1 << 18) -> np.ndarray:
         w = self.weights[np.argsort(self.keys)]
         out = np.full(len(texts), float(self.bias))
         for i, text, key in present(texts, KeyProbe(self.keys), limit):
@@ -79,7 +79,7 @@ class Model:
         return out
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], flush: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch], flush: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Rows (y, text) to rows (gram, toxic, clean): the number of texts that hold it, merged in the task."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
