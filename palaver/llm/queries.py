@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exactdedup, langid, licenses, mixing, neardup, repeats, secretscan, sharding, toxicity
+from . import decontamination, exactdedup, fim, langid, licenses, mixing, neardup, repeats, secretscan, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license, op2_secrets, op3_mixing, op4_language, op5_sharding, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_repeats, op10_near_dedup, pipeline)
+    f.__name__: f for f in (op1_license, op2_secrets, op3_mixing, op4_language, op5_sharding, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_repeats, op10_near_dedup, op13_fim, pipeline)
 }
 
 #: One step of CRC-32 by bit: shifted, and where a one falls out, with the reversed polynomial taken off.
@@ -68,6 +72,7 @@ _CRC_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
 
 ORACLES: dict[str, str] = {
     "op1_license": licenses.oracle(),
+    "op13_fim": fim.ORACLE,
     "op5_sharding": f"""
         WITH RECURSIVE bits(i, k, x) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, {_CRC_STEP} FROM bits WHERE k < 8),
         tab AS (SELECT list(x ORDER BY i) AS tab FROM bits WHERE k = 8),
