@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -135,7 +136,7 @@ def rebuilt(output: str, form: str, rules: Rules, scanner: Scanner) -> str:
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """Rows in portions of about BLOCK bytes, so what a task holds does not follow from the number of rows in a batch."""
     for b in batches:
-        for i, j in blocks([x or 0 for x in pa.compute.binary_length(b.column(column)).to_pylist()], BLOCK):
+        for i, j in blocks([x or 0 for x in pc.binary_length(b.column(column)).to_pylist()], BLOCK):
             yield b.slice(i, j - i)
 
 
