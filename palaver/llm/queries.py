@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exactdedup, fim, langid, licenses, mixing, neardup, repeats, secretscan, sharding, toxicity, whitening
+from . import decontamination, exactdedup, fim, langid, licenses, mixing, neardup, pivots, repeats, secretscan, sharding, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.vector_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license, op2_secrets, op3_mixing, op4_language, op5_sharding, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_repeats, op10_near_dedup, op12_whitening, op13_fim, pipeline)
+    f.__name__: f for f in (op1_license, op2_secrets, op3_mixing, op4_language, op5_sharding, op6_decontamination, op7_exact_dedup, op8_toxicity, op9_repeats, op10_near_dedup, op11_vector_links, op12_whitening, op13_fim, pipeline)
 }
 
 #: One step of CRC-32 by bit: shifted, and where a one falls out, with the reversed polynomial taken off.
