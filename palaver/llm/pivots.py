@@ -32,7 +32,8 @@ RADIUS = THETA / 2 - 1e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1, however large or small their entries are."""
+    """Rows of length 1 in double precision, however large or small their entries are."""
+    x = x.astype(float)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -313,13 +314,13 @@ def vector_links(embeddings: DataFrame) -> DataFrame:
     once = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     distinct, n = staged_rows(once.withColumn("node", F.monotonically_increasing_id()), "pivots-distinct")
     some = sampled(distinct.select("vector"), SAMPLE, "vector").toArrow()  # SAMPLE rows
-    pivots = chosen(unit(_matrix(_column(some, "vector")).astype(float)), PIVOTS)
+    pivots = chosen(unit(_matrix(_column(some, "vector"))), PIVOTS)
     m, k = len(pivots), min(NEAREST, len(pivots))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = described(unit(_matrix(b.column("vector")).astype(float)), pivots, k)
+                near = described(unit(_matrix(b.column("vector"))), pivots, k)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(pa.array(near.ravel(), pa.int32()), k).cast(pa.list_(pa.int32()))], [*b.schema.names, "near"])
 
     element = "float" if kind == "float" else "double"
