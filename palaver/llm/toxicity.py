@@ -16,8 +16,8 @@ ORDERS = (3, 4, 5)
 #: The classifier is fitted on at most so many labelled rows of each class, their whole texts.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 #: Features are all n-grams that so many sample texts have and whose shares in the classes differ, in whichever
-#: direction, by this z-score and by this factor: with many texts small differences are certain, but say little.
-MIN_TEXTS, MIN_Z, MIN_FACTOR = 3, 3.3, 2.0
+#: direction and by whatever factor, by this z-score.
+MIN_TEXTS, MIN_Z = 3, 3.3
 FOLDS, HELD_OUT = 5, 0
 
 _STEP, _M = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -186,8 +186,7 @@ def fit(sample: DataFrame, min_z: float = MIN_Z, min_texts: int = MIN_TEXTS) ->
     seen = sample.select("y", "text").mapInArrow(_frequencies, "gram long, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     share = (F.col("a") + F.col("b")) / (ta + tb)
     z = (F.col("a") / ta - F.col("b") / tb) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / ta + 1 / tb))
-    ratio = F.log((F.col("a") + 1) / (ta + 2) / ((F.col("b") + 1) / (tb + 2)))
-    got = seen.where((F.col("a") + F.col("b") >= min_texts) & (F.abs(z) >= min_z) & (F.abs(ratio) >= float(np.log(MIN_FACTOR)))).toArrow()
+    got = seen.where((F.col("a") + F.col("b") >= min_texts) & (F.abs(z) >= min_z)).toArrow()
     if not got.num_rows:
         return none
     keys, a, b = (got.column(c).to_numpy() for c in range(3))
