@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import querytext as q
 from ..functions.text import casefold, contains_any, normalize_key
 from . import entities as ent
-from .search import search_terms
+from .search import equals, search_terms
 
 NODE_TYPES = {"decisions": "Decision", "action_items": "Task", "risks": "Risk", "open_questions": "Question"}
 SPEAKER_CONFIDENCE = 0.8
@@ -59,6 +59,24 @@ def edges(chunks: DataFrame, entities: DataFrame, who: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (holds, speaks, has, origin, given))
 
 
+def of_segment(chunks: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the meeting that each stands for, and edges, of the meetings of one segment of an index.
+
+    A person has a node in every meeting, at the first place where they speak there; whoever reads the nodes of all
+    segments takes the first of these.
+    """
+    who = people(chunks)
+    s = chunks.where(F.col("speaker").isNotNull() & (F.trim("speaker") != "")).withColumn("person_key", normalize_key("speaker"))
+    first = s.groupBy("meeting_id", "person_key").agg(F.min_by(F.struct("speaker", "ordinal", "chunk_id"), F.struct("ordinal", "chunk_id")).alias("x"))
+    persons = first.select(F.lit("Person").alias("type"), F.concat(F.lit("person:"), "person_key").alias("stable_key"), F.col("x.speaker").alias("title"), "meeting_id", "x.ordinal", "x.chunk_id")
+    c = lambda col: F.col(col).cast("string")
+    none = [F.lit(None).cast("long").alias(x) for x in ("ordinal", "chunk_id")]
+    meetings = chunks.select(F.lit("Meeting").alias("type"), F.concat(F.lit("meeting:"), c("meeting_id")).alias("stable_key"), "title", "meeting_id").distinct().select("*", *none)
+    parts = chunks.select(F.lit("Chunk").alias("type"), F.concat(F.lit("chunk:"), c("chunk_id")).alias("stable_key"), F.concat("title", F.lit(" / "), "kind", F.lit(" #"), c("ordinal")).alias("title"), "meeting_id", *none)
+    found = entities.select(_type_of(F.col("kind")).alias("type"), F.concat("kind", F.lit(":"), c("entity_id")).alias("stable_key"), F.col("text").alias("title"), "meeting_id", *none)
+    return reduce(DataFrame.unionByName, (meetings, parts, persons, found)), edges(chunks, entities, who)
+
+
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """By (type, stable_key): the new title, the first created_at."""
     both = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
@@ -135,6 +153,22 @@ def subgraph(all_nodes: DataFrame, all_edges: DataFrame, own: DataFrame, key: st
     return some.orderBy("type", "title", "stable_key"), found
 
 
+def stored_subgraph(index, own: DataFrame, key: str, title: str, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """`subgraph` over a stored graph: the linked entities, at most `limit`, and the ends found are looked up by literals."""
+    order = ("relation", "from_key", "to_key", "extraction_method")
+    spark = own.sparkSession
+    rows = own.orderBy(*order).limit(limit).collect()
+    first = spark.createDataFrame(rows, own.schema)
+    keys = [r["from_key"] for r in rows]
+    ends = [index.table(t).where(equals(c, keys)).orderBy(*order).limit(limit) for t, c in (("edges", "from_key"), ("edges_to", "to_key"))]
+    touching = ends[0].unionByName(ends[1]).distinct().orderBy(*order).limit(limit)
+    got = first.unionByName(touching).distinct().orderBy(*order).limit(limit).collect()
+    found = spark.createDataFrame(got, own.schema)
+    topic = spark.createDataFrame([("Topic", key, title)], "type string, stable_key string, title string")
+    some = index.nodes(sorted({r[c] for r in got for c in ("from_key", "to_key")})).select("type", "stable_key", "title")
+    return some.unionByName(topic).orderBy("type", "title", "stable_key"), found
+
+
 def dominant_language(languages: DataFrame, column: str = "language", restrict=UI_LANGUAGES) -> DataFrame:
     """One row (language, n): the most frequent primary tag among `restrict`, ties to the one seen first by `position`."""
     tag = F.lower(F.split(F.col(column), "-")[0])

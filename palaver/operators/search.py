@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,31 +107,81 @@ def ranked(chunks: DataFrame, query: str, limit: int = 10, meeting_id=None, fiel
     return top.withColumn("position", F.row_number().over(Window.orderBy("stage", "rank", "chunk_id")))
 
 
-def search(chunks: DataFrame, query: str, limit: int = 10, meeting_id=None, context: int = 0, postings: Postings | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: str, limit: int = 10, meeting_id=None, context: int = 0, postings=None) -> DataFrame:
     """Cascade search, by the postings where there are some; with `context` > 0 the neighbours of each hit behind all."""
     hits = ranked(chunks, query, limit, meeting_id) if postings is None else postings.hits(chunks, query, limit, meeting_id)
-    return expand(hits, chunks, context) if context > 0 else hits.withColumn("is_context", F.lit(False))
+    return expand(hits, chunks, context, None if postings is None else limit) if context > 0 else hits.withColumn("is_context", F.lit(False))
 
 
-def expand(hits: DataFrame, chunks: DataFrame, context: int) -> DataFrame:
+def expand(hits: DataFrame, chunks: DataFrame, context: int, limit: int | None = None) -> DataFrame:
     """Hits in their order, then for each hit the rows of its meeting at most `context` ordinals away, nearest first.
 
-    A chunk appears once, where it comes first. Neighbours carry their hit's rank and matched_chunk_id. The hits are a
-    result of limited size, so they are the side that is broadcast.
+    A chunk appears once, where it comes first. Neighbours carry their hit's rank and matched_chunk_id. Of a known,
+    small `limit` of hits the places are fetched first and become literals of the scan of `chunks`; in any case the
+    hits, a result of limited size, are the side that is broadcast.
     """
+    near = chunks
+    if limit is not None and limit <= LITERALS:
+        near = around(chunks, [(r["meeting_id"], r["ordinal"]) for r in hits.select("meeting_id", "ordinal").collect()], context)
     h = hits.select(F.col("meeting_id"), F.col("ordinal").alias("hit_ordinal"), F.col("chunk_id").alias("matched_chunk_id"), F.col("position").alias("hit_position"), "rank", "stage")
-    near = chunks.join(F.broadcast(h), "meeting_id").withColumn("away", F.abs(F.col("ordinal") - F.col("hit_ordinal"))).where(F.col("away") <= context)
+    near = near.join(F.broadcast(h), "meeting_id").withColumn("away", F.abs(F.col("ordinal") - F.col("hit_ordinal"))).where(F.col("away") <= context)
     near = near.where(F.col("chunk_id") != F.col("matched_chunk_id")).withColumn("is_context", F.lit(True))
     first = hits.withColumns({"matched_chunk_id": F.col("chunk_id"), "hit_position": F.col("position"), "away": F.lit(0), "is_context": F.lit(False)})
     both = first.drop("position").unionByName(near.drop("hit_ordinal"))
-    once = Window.partitionBy("chunk_id").orderBy("is_context", "hit_position", "away", "ordinal")
+    once = Window.partitionBy("meeting_id", "chunk_id").orderBy("is_context", "hit_position", "away", "ordinal")
     kept = both.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
     # hits times 2 * context + 1 rows at most
     order = Window.orderBy("is_context", "hit_position", "away", "ordinal", "chunk_id")
     return kept.withColumn("position", F.row_number().over(order)).drop("away")
 
 
-def search_terms(chunks: DataFrame, terms: list[str], limit: int, postings: Postings | None = None) -> DataFrame:
+# ---- late lookup ------------------------------------------------------------------------------------------
+
+#: Values that become literals of a filter, and so reach the files' statistics; more are joined.
+LITERALS = 256
+
+
+def any_of(conditions: Iterable[Column]) -> Column:
+    """Their OR, as a balanced tree. An IN of more than ten values reaches files as a range only; equalities do."""
+    found = list(conditions)
+    while len(found) > 1:
+        found = [found[i] | found[i + 1] if i + 1 < len(found) else found[i] for i in range(0, len(found), 2)]
+    return found[0] if found else F.lit(False)
+
+
+def equals(column: str, values: Iterable) -> Column:
+    return any_of(F.col(column) == F.lit(v) for v in sorted(set(values)))
+
+
+def by_key(chunks: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
+    """The rows with these (meeting_id, chunk_id): of a clustered table only the row groups of their meetings are read."""
+    return chunks.where(equals("meeting_id", (m for m, _ in keys)) & equals("chunk_id", (c for _, c in keys)))
+
+
+def lookup(chunks: DataFrame, ranked: DataFrame, limit: int) -> DataFrame:
+    """`ranked` rows, at most `limit`, with the columns of their chunks.
+
+    Up to LITERALS of them are fetched first, so their keys become literals of the scan; more are broadcast.
+    """
+    more = [c for c in ranked.columns if c not in chunks.columns]
+    if limit <= LITERALS:
+        got = ranked.collect()
+        ranked = chunks.sparkSession.createDataFrame(got, ranked.schema)
+        chunks = by_key(chunks, [(r["meeting_id"], r["chunk_id"]) for r in got])
+    return chunks.join(F.broadcast(ranked), ["meeting_id", "chunk_id"]).select(*chunks.columns, *more)
+
+
+def around(chunks: DataFrame, places: list[tuple[int, int]], reach: int) -> DataFrame:
+    """Rows of meetings whose ordinal is at most `reach` from one of (meeting_id, ordinal), by literals of the scan."""
+    return chunks.where(any_of((F.col("meeting_id") == m) & F.col("ordinal").between(o - reach, o + reach) for m, o in sorted(set(places))))
+
+
+def clustered(chunks: DataFrame) -> DataFrame:
+    """Chunks in the order in which they are looked up, in files of disjoint ranges."""
+    return chunks.repartitionByRange("meeting_id", "ordinal").sortWithinPartitions("meeting_id", "ordinal", "chunk_id")
+
+
+def search_terms(chunks: DataFrame, terms: list[str], limit: int, postings=None) -> DataFrame:
     """Search once per term; first the first term's hits, then the next one's that are new, `limit` together."""
     find = (lambda t: ranked(chunks, t, limit)) if postings is None else lambda t: postings.hits(chunks, t, limit)
     parts = [find(t).withColumn("term_position", F.lit(i)) for i, t in enumerate(terms)]
@@ -143,125 +194,11 @@ def search_terms(chunks: DataFrame, terms: list[str], limit: int, postings: Post
     return top.withColumn("position", F.row_number().over(Window.orderBy("term_position", "position", "chunk_id")))
 
 
-# ---- postings ---------------------------------------------------------------------------------------------
-
-BUCKETS = 64
-#: Columns of the inverted index, and of the lengths from which its statistics come.
-POSTINGS = "term string, chunk_id long, meeting_id long, tf long, dl int, pos array<int>, bucket int"
-LENGTHS = "meeting_id long, n_rows long, dl long"
-
-
-def _flat(chunks: DataFrame, fields) -> DataFrame:
-    """Rows with `s`: all tokens, one empty place between fields, so that no phrase goes over their border."""
-    t = tokenized(chunks, fields)
-    meeting = F.col("meeting_id") if "meeting_id" in chunks.columns else F.lit(None)
-    gap = F.transform("tokens", lambda x: F.concat(x, F.array(F.lit(""))))
-    return t.select("chunk_id", meeting.cast("long").alias("meeting_id"), "dl", F.flatten(gap).alias("s"))
-
-
-def postings(chunks: DataFrame, fields=INDEXED, buckets: int = BUCKETS) -> DataFrame:
-    """The inverted index, dealt by bucket of term, ready to be written by bucket.
-
-    One shuffle, by bucket and a salt of the chunk, so a word that every chunk has is spread over as many tasks as there
-    are partitions a bucket; terms of a chunk are counted in the same partitioning.
-    """
-    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, n // buckets)
-    t = _flat(chunks, fields).select("chunk_id", "meeting_id", "dl", F.posexplode("s").alias("at", "term")).where("term <> ''")
-    t = t.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "salt": F.pmod(F.hash("chunk_id"), F.lit(salts))})
-    t = t.repartition(n, "bucket", "salt")
-    rows = t.groupBy("bucket", "salt", "term", "chunk_id", "meeting_id", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("pos"))
-    return rows.select("term", "chunk_id", "meeting_id", "tf", "dl", "pos", "bucket")
-
-
-def lengths(chunks: DataFrame, fields=INDEXED) -> DataFrame:
-    """(meeting_id, n_rows, dl): from these come the number of rows and their average length."""
-    return _flat(chunks, fields).groupBy("meeting_id").agg(F.count("*").alias("n_rows"), F.sum("dl").cast("long").alias("dl"))
+# ---- vocabulary -------------------------------------------------------------------------------------------
 
 
 def term_statistics(chunks: DataFrame, fields=INDEXED) -> DataFrame:
     """(term, df, cf) over the whole corpus, counted before the shuffle."""
-    flat = _flat(chunks, fields).select(F.array_remove("s", "").alias("s"))
+    flat = tokenized(chunks, fields).select(F.flatten("tokens").alias("s"))
     once, each = F.transform(F.array_distinct("s"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))), F.transform("s", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
     return flat.select(F.explode(F.concat(once, each)).alias("r")).groupBy("r.term").agg(F.sum("r.df").alias("df"), F.sum("r.cf").alias("cf"))
-
-
-class Postings:
-    """Search over postings: a query reads the buckets of its terms, and of the chunks only the hits."""
-
-    def __init__(self, rows: DataFrame, lengths: DataFrame, buckets: int = BUCKETS):
-        self.rows, self.lengths, self.buckets = rows, lengths, buckets
-
-    def _of(self, words: list[str]) -> DataFrame:
-        # the buckets fold to constants, so they prune partitions
-        here = F.col("bucket").isin([F.pmod(F.xxhash64(F.lit(w)), F.lit(self.buckets)).cast("int") for w in words])
-        return self.rows.where(here & F.col("term").isin(words))
-
-    def frequencies(self, terms: list[str]) -> DataFrame:
-        """(chunk_id, meeting_id, dl, q, tf): how often each query term is in a chunk; a phrase by its positions."""
-        forms = {t: phrase(t) for t in terms}
-        single = {p[0]: t for t, p in forms.items() if len(p) == 1}
-        parts = []
-        if single:
-            of = F.element_at(F.create_map(*[F.lit(x) for kv in single.items() for x in kv]), F.col("term"))
-            parts.append(self._of(list(single)).select("chunk_id", "meeting_id", "dl", of.alias("q"), "tf"))
-        for t, p in forms.items():
-            if len(p) > 1:
-                found = self._of(p[:1]).select("chunk_id", "meeting_id", "dl", F.col("pos").alias("starts"))
-                for k, word in enumerate(p[1:], 1):
-                    nxt = self._of([word]).select("chunk_id", F.transform("pos", (lambda k: lambda x: x - k)(k)).alias("next"))
-                    found = found.join(nxt, "chunk_id").withColumn("starts", F.array_intersect("starts", "next")).drop("next")
-                parts.append(found.select("chunk_id", "meeting_id", "dl", F.lit(t).alias("q"), F.size("starts").cast("long").alias("tf")).where("tf > 0"))
-        if not parts:
-            return self.rows.select("chunk_id", "meeting_id", "dl", F.col("term").alias("q"), "tf").where(F.lit(False))
-        return reduce(DataFrame.unionByName, parts)
-
-    def ranked(self, query: str, limit: int = 10, meeting_id=None, mode: str = "cascade") -> DataFrame:
-        """(chunk_id, rank, stage, position), as `ranked` over the rows has them."""
-        any_, strict = q.any_terms(query), [] if mode == "any" else q.query_tokens(query) if mode == "all" else q.all_terms(query)
-        x = self.frequencies(list(dict.fromkeys(any_ + strict)))
-        stats = self.lengths.agg(F.sum("n_rows").alias("n_rows"), (F.sum("dl") / F.sum("n_rows")).alias("avgdl"))
-        df = x.groupBy("q").agg(F.count("*").alias("df"))  # at most MAX_TOKENS rows
-        if meeting_id is not None:
-            x = x.where(F.col("meeting_id") == F.lit(meeting_id))
-        x = x.join(F.broadcast(df), "q").crossJoin(F.broadcast(stats))
-        raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        inside = lambda ts: F.col("q").isin(ts)
-        per = x.groupBy("chunk_id").agg(F.sum(F.when(inside(any_), part).otherwise(0.0)).alias("r1"), F.sum(F.when(inside(strict), part).otherwise(0.0)).alias("r0") if strict else F.lit(0.0).alias("r0"), F.sum(inside(strict).cast("int")).alias("n0") if strict else F.lit(-1).alias("n0"))
-        per = per.withColumn("stage", F.when(F.col("n0") == len(strict), 0).otherwise(1)).withColumn("rank", -F.when(F.col("stage") == 0, F.col("r0")).otherwise(F.col("r1")))
-        per = per.where("stage = 0") if mode == "all" else per.where(F.col("stage").isin(0, 1) & ((F.col("stage") == 0) | (F.col("r1") > 0)))
-        top = per.select("chunk_id", "rank", "stage").orderBy("stage", "rank", "chunk_id").limit(limit)
-        return top.withColumn("position", F.row_number().over(Window.orderBy("stage", "rank", "chunk_id")))
-
-    def hits(self, chunks: DataFrame, query: str, limit: int = 10, meeting_id=None, mode: str = "cascade") -> DataFrame:
-        """The hits with the columns of their chunks."""
-        return chunks.join(F.broadcast(self.ranked(query, limit, meeting_id, mode)), "chunk_id").select(*chunks.columns, "rank", "stage", "position")
-
-    def meetings(self, name: str) -> DataFrame:
-        """Ids of the meetings that mention any term of a name."""
-        return self.frequencies(q.any_terms(name)).select("meeting_id").distinct()
-
-
-class StoredIndex(Postings):
-    """Postings and lengths in a folder."""
-
-    def __init__(self, spark, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    @property
-    def rows(self) -> DataFrame:
-        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
-
-    @property
-    def lengths(self) -> DataFrame:
-        return self.spark.read.schema(LENGTHS).parquet(f"{self.path}/lengths")
-
-    def build(self, chunks: DataFrame, fields=INDEXED) -> StoredIndex:
-        write_postings(chunks, self.path, fields, self.buckets)
-        return self
-
-
-def write_postings(chunks: DataFrame, path: str, fields=INDEXED, buckets: int = BUCKETS) -> None:
-    postings(chunks, fields, buckets).sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths(chunks, fields).write.mode("overwrite").parquet(f"{path}/lengths")

@@ -151,34 +151,39 @@ class Memory:
 
     def _details(self) -> DataFrame:
         chunks = self.chunks()
-        rows = self.index.table("entities").join(chunks.select("chunk_id", "source_path").withColumnRenamed("chunk_id", "source_chunk_id"), "source_chunk_id")
-        known = rows.join(F.broadcast(self.sources().select("path", "source_uuid")), F.col("source_path") == F.col("path"), "left").drop("path", "source_path")
-        return ent.details(known.withColumn("source_uuid", F.coalesce("source_uuid", F.lit(""))), chunks, self.states())
+        rows = self.index.table("entities").join(self.index.table("meetings").select("meeting_id", F.coalesce("source_uuid", F.lit("")).alias("source_uuid")), "meeting_id")
+        return ent.details(rows, chunks.drop("source_uuid"), self.states())
 
     def _uuid_of(self, meeting_id: int) -> str:
-        row = self.index.table("meetings").where(F.col("meeting_id") == meeting_id).join(self.sources(), F.col("source_path") == F.col("path")).select("source_uuid").first()
-        return row[0] if row else ""
+        row = self.index.table("meetings").where(F.col("meeting_id") == meeting_id).select("source_uuid").first()
+        return (row[0] if row else None) or ""
 
     def _nested(self, hits: DataFrame) -> DataFrame:
-        known = hits.join(F.broadcast(self.sources().select(F.col("path").alias("source_path"), "source_uuid")), "source_path", "left")
-        return ctx.nested(known, F.coalesce("source_uuid", F.lit("")), F.col("source_path")).orderBy("position")
+        return ctx.nested(hits, F.coalesce("source_uuid", F.lit("")), F.col("source_path")).orderBy("position")
 
     def search_frame(self, query: str, limit: int, meeting_id: int | None = None, context: int = 0) -> DataFrame:
         """Lexical search by the index's postings."""
         return search.search(self.chunks(), query, limit, meeting_id, context, self.index.postings())
 
-    def semantic_frame(self, embeddings: DataFrame, provider, query: str, limit: int) -> DataFrame:
-        v = provider.embed_query(self.spark, query)
-        return vectors.semantic_search(self.chunks(), embeddings, v, limit, provider.provider, provider.model).withColumn("is_context", F.lit(False)).withColumn("stage", F.lit(0))
+    def embed(self, provider) -> int:
+        """Bring the stored vectors of a provider up to the index; how many chunks were embedded."""
+        return self.index.embed(provider)
 
-    def hybrid(self, embeddings: DataFrame, provider):
+    def semantic_frame(self, provider, query: str, limit: int) -> DataFrame:
+        """Evidence rows of the chunks whose stored vectors are nearest, with the distance as rank. Embeds nothing but
+        the query; raises if nothing is stored."""
+        top = self.index.nearest(provider, provider.embed_query(self.spark, query), limit)
+        return search.lookup(self.chunks(), top.withColumnRenamed("distance", "rank"), limit).withColumns({"is_context": F.lit(False), "stage": F.lit(0)})
+
+    def hybrid(self, provider):
         """A strategy that fuses lexical and semantic ranks."""
 
         def run(query: str, limit: int) -> DataFrame:
             n = vectors.candidate_limit(limit)
-            a, b = self.search_frame(query, n), self.semantic_frame(embeddings, provider, query, n)
+            a, b = self.search_frame(query, n), self.semantic_frame(provider, query, n)
             top = vectors.fuse(a.select("chunk_id", "position"), b.select("chunk_id", "position"), limit, "chunk_id").select("chunk_id", "position", F.col("score").alias("rank"))
-            return self.chunks().join(F.broadcast(top), "chunk_id").withColumns({"is_context": F.lit(False), "stage": F.lit(0)})
+            ids = a.select("chunk_id", "meeting_id").unionByName(b.select("chunk_id", "meeting_id")).distinct()  # two lists of limited length
+            return search.lookup(self.chunks(), top.join(ids, "chunk_id"), limit).withColumns({"is_context": F.lit(False), "stage": F.lit(0)})
 
         return run
 
@@ -202,14 +207,13 @@ class Memory:
 
     def search_hits(self, query: str, limit: int = 10, context: int = 0) -> list[dict]:
         hits = self.strategy(query, limit)
-        return self._payload(self._nested(search.expand(hits, self.chunks(), context) if context else hits))
+        return self._payload(self._nested(search.expand(hits, self.chunks(), context, limit) if context else hits))
 
     def compact_search_hits(self, query: str, limit: int = 10, preview_length: int = ctx.PREVIEW) -> list[dict]:
         return self._payload(ctx.compact(self._nested(self.strategy(query, limit)), preview_length).orderBy("position"))
 
     def get_search_hit(self, evidence_id: str) -> dict | None:
-        every = self._nested(self.chunks().withColumns({"is_context": F.lit(False), "position": F.lit(1)}))
-        got = self._payload(every.where(F.col("id") == evidence_id).limit(1))
+        got = self._payload(self._nested(self.index.evidence(evidence_id).withColumns({"is_context": F.lit(False), "position": F.lit(1)})))
         return got[0] if got else None
 
     def resolve_search_hit(self, evidence_id: str) -> dict:
@@ -340,10 +344,8 @@ class Memory:
 
     def graph(self, title: str, limit: int = 50) -> Response:
         topic = self._topic(title)
-        chunks, found = self.chunks(), self.index.table("entities")
-        who = graph.people(chunks)
         own = graph.topic_edges(graph.topic_links(self._details(), [topic["title"], *topic["aliases"]]), topic["topic_key"])
-        nodes, edges = graph.subgraph(graph.nodes(chunks, found, who), graph.edges(chunks, found, who), own, topic["topic_key"], topic["title"], limit)
+        nodes, edges = graph.stored_subgraph(self.index, own, topic["topic_key"], topic["title"], limit)
         return Response("graph", {"topic": topic, "nodes": _rows(nodes), "edges": _rows(edges)})
 
     def structured_entities(self, kind: str, limit: int = 20, status: str = "all") -> Response:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.querytext import STOPWORDS
 from ..functions.text import ACCENTED, PLAIN, preview
 from ..operators import context as ctx
 from ..operators import entities as ent
 from ..operators import evaluation as ev
-from ..operators import graph, memory, search, state, vectors
+from ..operators import cells, graph, inverted, memory, search, state, vectors
 from ..sources import corpora
 from .dossier import KEYWORDS, classified
 from .index import classify
@@ -87,22 +91,51 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()} {select}"
 
 
-_STORED: dict[tuple[str, str, str], search.StoredIndex] = {}
+_STORED: dict[tuple[str, str, str, str], inverted.StoredIndex] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palaver-")
-    return f"{base.rstrip('/')}/views-{uuid.uuid4().hex}"
-
-
-def indexed(spark: SparkSession, sf_dir: str, corpus: str) -> tuple[DataFrame, search.StoredIndex]:
-    """The chunks of a corpus and its postings, which are written once a session and table folder."""
-    chunks = getattr(corpora, corpus)(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir, corpus)
+    """A new folder that all executors share; it is deleted when the process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="palaver-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/views-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
+    return path
+
+
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_folders() -> None:
+    for spark, path in _FOLDERS:
+        if spark.sparkContext._jsc is None:
+            return
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM is already gone; the folder belongs to the session
+            return
+
+
+def table_state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: what changes when it is written anew."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    return repr([(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)])
+
+
+def indexed(spark: SparkSession, sf_dir: str, corpus: str) -> tuple[DataFrame, inverted.StoredIndex]:
+    """The clustered chunks of a corpus and its postings, written once a session and state of the table."""
+    key = (spark.sparkContext.applicationId, sf_dir, corpus, table_state(spark, f"{sf_dir}/{corpus}.parquet"))
     if key not in _STORED:
-        _STORED[key] = search.StoredIndex(spark, f"{folder(spark)}/{corpus}").build(chunks)
-    return chunks, _STORED[key]
+        _STORED[key] = inverted.StoredIndex(spark, f"{folder(spark)}/{corpus}").build(getattr(corpora, corpus)(spark, sf_dir))
+    return _STORED[key].chunks, _STORED[key]
 
 
 def _found(spark: SparkSession, sf_dir: str, corpus: str, text: str, limit: int, mode: str = "cascade", meeting_id=None) -> DataFrame:
@@ -200,6 +233,37 @@ def fts_scan(spark, sf_dir):
     return _hits(search.ranked(corpora.documents(spark, sf_dir), "with from", 20, mode="any"))
 
 
+@query(_with(_bm25(_DOCS, ["with", "from"]), "SELECT row_number() OVER (ORDER BY stage, rank, chunk_id) AS position, chunk_id, round(rank, 6) AS rank, stage FROM (SELECT *, (n_terms < 2)::INT AS stage FROM scored WHERE n_terms > 0) ORDER BY stage, rank, chunk_id LIMIT 10"))
+def fts_block_bounds(spark, sf_dir):
+    """The cascade's top by blocks whose bounds reach the threshold, however few postings there are."""
+    chunks, index = indexed(spark, sf_dir, "documents")
+    return _hits(inverted.Postings(index.parts, index.totals, few=0).hits(chunks, "with from", 10), "stage")
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
+_BATCH = f"""
+  r AS ({_TURNS}),
+  corpus AS (SELECT count(*) AS n_rows, avg(len(tokens)) AS avgdl FROM r),
+  raw AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(replace(replace(lower(substr(coalesce(text, ''), 1, 60)), 'ß', 'ss'), 'ς', 'σ'), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)),
+  seen AS (SELECT doc_id, term, min(i) AS first_ FROM raw WHERE length(term) > 1 AND term NOT IN ({_STOP}) GROUP BY 1, 2),
+  tok AS (SELECT doc_id, term FROM seen QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first_) <= 16),
+  ask AS (SELECT doc_id, term, translate(term, '{ACCENTED}', '{PLAIN}') AS token, count(*) OVER (PARTITION BY doc_id) AS n FROM tok),
+  post AS (SELECT chunk_id, meeting_id, len(tokens) AS dl, unnest(tokens) AS token FROM r),
+  tf AS (SELECT token, chunk_id, dl, count(*) AS tf FROM post GROUP BY ALL),
+  df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+  scored AS (SELECT doc_id, chunk_id, n, count(*) AS hit, -sum(greatest(CASE WHEN ln((n_rows - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - df + 0.5) / (df + 0.5)) END, 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank
+    FROM ask JOIN tf USING (token) JOIN df USING (token), corpus GROUP BY 1, 2, 3),
+  top AS (SELECT doc_id AS query_id, chunk_id, rank, CASE WHEN n BETWEEN 2 AND 4 AND hit = n THEN 0 ELSE 1 END AS stage FROM scored)"""
+
+
+@query(_with(_BATCH, "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank, chunk_id) AS position, chunk_id, stage, round(rank, 6) AS rank FROM top QUALIFY position <= 5"))
+def batch_search(spark, sf_dir):
+    """The cascade's top of many queries at once: the beginning of every document, looked up in the conversations."""
+    asked = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    top = indexed(spark, sf_dir, "conversations")[1].batch(asked, 5)
+    return top.select("query_id", "position", "chunk_id", "stage", F.round("rank", 6).alias("rank"))
+
+
 # ---- entities ---------------------------------------------------------------------------------------------
 
 @query(_with(_ENTITIES, "SELECT kind, user_id AS meeting_id, event_id AS source_chunk_id, ordinal, text, 'heuristic' AS source, 0.55::DOUBLE AS confidence, sha256(concat(kind, chr(0), event_id, chr(0), lower(text))) AS fingerprint FROM ent"))
@@ -332,6 +396,22 @@ def knn_l2(spark, sf_dir):
     return vectors.nearest(e, _QUERY, 10, "vec_id").select("position", "vec_id", F.round("distance", 5).alias("distance"))
 
 
+_CELLS: dict[tuple[str, str, str], tuple[str, np.ndarray]] = {}
+
+
+@query(f"SELECT row_number() OVER (ORDER BY d, vec_id) AS position, vec_id, round(d, 5) AS distance FROM (SELECT vec_id, {_DIST} AS d FROM embeddings) ORDER BY d, vec_id LIMIT 25")
+def knn_cells(spark, sf_dir):
+    """The same nearest vectors from a table stored by cells, of which those too far away are skipped."""
+    key = (spark.sparkContext.applicationId, sf_dir, table_state(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _CELLS:
+        e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+        _CELLS[key] = f"{folder(spark)}/vectors", cells.pivots_of(e)
+        cells.write(cells.placed(e, _CELLS[key][1]), _CELLS[key][0])
+    path, pivots = _CELLS[key]
+    top = cells.search(spark.read.parquet(path), spark.read.parquet(f"{path}-cells"), pivots, _QUERY, 25, "vec_id")
+    return top.select("position", "vec_id", F.round("distance", 5).alias("distance"))
+
+
 @query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id % 4 = 0 OR vec_id % 7 = 0")
 def embeddings_stale(spark, sf_dir):
     """Chunks without a stored embedding of their present fingerprint."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import querytext as qt
@@ -9,12 +12,13 @@ from ..functions import text as tx
 from ..operators import context as ctx
 from ..operators import entities as ent
 from ..operators import evaluation as ev
-from ..operators import graph, memory, search, state, vectors
+from ..operators import graph, inverted, memory, search, state, vectors
 from ..sources import corpora, recorder
+from ..streaming.refresh import ingest, run_available
 from . import normalize as norm
 from .dossier import prompt
 from .index import Index
-from .queries import _DIST, _DOCS, _ENTITIES, _EVENTS, _PLACED, _QUERY, _TURNS, _bm25, _tokens, _with, folder, indexed, query
+from .queries import _DIST, _DOCS, _ENTITIES, _EVENTS, _PLACED, _QUERY, _TURNS, _bm25, _tokens, _with, folder, indexed, query, table_state
 
 # ---- ingest -----------------------------------------------------------------------------------------------
 
@@ -83,6 +87,91 @@ def incremental_refresh(spark, sf_dir):
     return spark.createDataFrame(out, "run string, inserted long, updated long, unchanged long, live_chunks long, live_meetings long")
 
 
+_INDEXES: dict[tuple[str, str, str], Index] = {}
+
+
+def stored(spark, sf_dir) -> Index:
+    """An index of the recorder's tables with a history, made once a session and state of the table: every seventh
+    meeting was there with another title and one more turn and is replaced, the others come in five refreshes."""
+    key = (spark.sparkContext.applicationId, sf_dir, table_state(spark, f"{sf_dir}/conversations.parquet"))
+    if key not in _INDEXES:
+        tables, index = corpora.recorder_tables(spark, sf_dir), Index(spark, f"{folder(spark)}/index")
+        number = lambda c: F.regexp_extract(c, r"^conv-(\d+)", 1).cast("long")
+        of = {"meetings": "id", "transcripts": "meeting_id", "summary_processes": "meeting_id", "meeting_notes": "meeting_id"}
+        some = lambda cond: {t: df.where(cond(number(of[t]))) for t, df in tables.items()}
+        early = some(lambda n: n % 7 == 0)
+        early["meetings"] = early["meetings"].withColumn("title", F.concat("title", F.lit(" draft")))
+        extra = early["transcripts"].where(F.col("id").endswith("-0")).withColumns({"id": F.concat("id", F.lit("-x")), "transcript": F.lit("a turn that goes again")})
+        early["transcripts"] = early["transcripts"].unionByName(extra)
+        index.refresh(early, "r", source_uuid="u")
+        for k in range(5):
+            index.refresh(some(lambda n, k=k: n % 5 == k), "r", source_uuid="u")
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+@query(_with(_RECORDER, f"SELECT t.term, count(*) AS df FROM (SELECT DISTINCT mid, cid, unnest(list_concat(list_concat({_tokens('title')}, {_tokens('text')}), {_tokens('speaker')})) AS term FROM chunks JOIN head USING (mid)) t GROUP BY 1"))
+def index_term_counts(spark, sf_dir):
+    """Chunks of each term in an index with replaced meetings, by the counts that are stored with its blocks."""
+    heads = stored(spark, sf_dir).postings().parts
+    return reduce(DataFrame.unionByName, [p.heads for p in heads]).groupBy("term").agg(F.sum("n").alias("df")).where("df <> 0")
+
+
+@query(
+    _with(
+        _RECORDER,
+        """SELECT 'Meeting' AS type, title, 1::BIGINT AS support FROM head
+        UNION ALL SELECT 'Chunk', concat(title, ' / ', kind, ' #', ordinal), 1 FROM chunks JOIN head USING (mid)
+        UNION ALL SELECT 'Person', any_value(speaker), count(DISTINCT mid) FROM chunks WHERE speaker IS NOT NULL GROUP BY lower(speaker)""",
+    )
+)
+def graph_stored_nodes(spark, sf_dir):
+    """Nodes of a stored graph after a history of refreshes, with the number of meetings that support each."""
+    return stored(spark, sf_dir).nodes().select("type", "title", "support")
+
+
+@query(
+    _with(
+        _RECORDER,
+        """SELECT mid AS meeting, 'contains' AS relation, concat(kind, ' #', ordinal) AS other, 1.0::DOUBLE AS confidence FROM chunks
+        UNION ALL SELECT DISTINCT mid, 'mentions', lower(speaker), 0.8 FROM chunks WHERE speaker IS NOT NULL""",
+    )
+)
+def graph_stored_edges(spark, sf_dir):
+    """Edges of a stored graph after a history of refreshes, with their meetings and chunks by name."""
+    index = stored(spark, sf_dir)
+    names = index.table("meetings").select("meeting_id", F.col("external_id").alias("meeting"))
+    places = index.table("chunks").select("meeting_id", "chunk_id", F.concat("kind", F.lit(" #"), F.col("ordinal").cast("string")).alias("place"))
+    e = index.edges().join(names, "meeting_id").join(places, ["meeting_id", "chunk_id"], "left")
+    return e.select("meeting", "relation", F.coalesce("place", F.substring_index("to_key", ":", -1)).alias("other"), "confidence")
+
+
+@query(
+    _with(
+        _RECORDER,
+        "SELECT mid AS external_id, title, (SELECT count(*) FROM chunks c WHERE c.mid = head.mid) AS n_chunks, 2::BIGINT AS batches, 0::BIGINT AS replayed FROM head",
+    )
+)
+def stream_refresh(spark, sf_dir):
+    """An index kept by a stream of nested exports: half of the meetings, then all of them with a late version of the
+    first half, then the last batch once more, which changes nothing."""
+    tables, base = corpora.recorder_tables(spark, sf_dir), folder(spark)
+    said = tables["transcripts"].groupBy(F.col("meeting_id").alias("id")).agg(F.collect_list(F.struct("id", "transcript", "timestamp", "audio_start_time", "audio_end_time", "speaker")).alias("transcripts"))
+    own = lambda t, name, cols: tables[t].select(F.col("meeting_id").alias("id"), F.struct(*cols).alias(name))
+    every = tables["meetings"].join(said, "id", "left").join(own("summary_processes", "summary", ("result", "metadata")), "id", "left").join(own("meeting_notes", "notes", ("notes_markdown",)), "id", "left")
+    index = Index(spark, f"{base}/index")
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    early = every.where(number % 2 == 0).withColumns({"title": F.concat("title", F.lit(" draft")), "updated_at": F.lit("2026-01-01T00:00:00Z")})
+    for rows in (early, every):
+        rows.write.mode("append").json(f"{base}/exports")
+        run_available(spark, f"{base}/exports", index, f"{base}/checkpoint")
+    last = index.batch("exports")
+    again = ingest(index, "exports")(every, last)
+    n = index.table("chunks").groupBy("meeting_id").agg(F.count("*").alias("n_chunks"))
+    out = index.table("meetings").join(n, "meeting_id", "left")
+    return out.select("external_id", "title", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(last + 1).cast("long").alias("batches"), F.lit(int(again is not None)).cast("long").alias("replayed"))
+
+
 @query(_with(_RECORDER, "SELECT 'conv-' || conv_id AS external_id, 'moved' AS source_path, 1::BIGINT AS rows_of_meeting FROM head"))
 def source_rebind(spark, sf_dir):
     """An index whose source has moved: the same meetings once, under the new path, after the next refresh."""
@@ -113,6 +202,8 @@ def text_forms(spark, sf_dir):
 
 # ---- search -----------------------------------------------------------------------------------------------
 
+_STOP = ", ".join(f"'{w}'" for w in sorted(qt.STOPWORDS))
+_WORDS = "regexp_extract_all(replace(replace(lower(array_to_string(string_split(coalesce(text, ''), ' ')[1:2], ' ')), 'ß', 'ss'), 'ς', 'σ'), '[\\p{L}\\p{N}_]+')"
 _ORDERS = """
   o AS (SELECT o_orderkey, o_custkey, substr(o_orderpriority, 1, 1) AS p, 'Clerk ' || (o_orderkey % 7) AS clerk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord FROM orders),
   ot AS (SELECT *, CASE p WHEN '1' THEN clerk || ' agreed to send the contract. Есть риск задержки.' WHEN '2' THEN 'Решили подтвердить план миграции. Нужно подготовить отчёт!' WHEN '3' THEN 'Открытый вопрос: кто отвечает за миграцию? Надо подумать о сроках.'
@@ -127,10 +218,12 @@ def fts_case_variants(spark, sf_dir):
     return search.ranked(corpora.orders(spark, sf_dir), "Миграция", 25).select("position", "chunk_id", F.round("rank", 6).alias("rank"))
 
 
-@query("SELECT doc_id AS chunk_id FROM documents WHERE false")
+@query(f"SELECT lang, len(list_filter({_WORDS}, lambda w: length(w) > 1 AND NOT list_contains([{_STOP}], w))) = 0 AS no_terms, count(*) AS n FROM documents GROUP BY 1, 2")
 def fts_no_terms(spark, sf_dir):
-    """A query of stop words alone finds nothing."""
-    return search.ranked(corpora.documents(spark, sf_dir), "the of what как", 10).select("chunk_id")
+    """How many texts, as queries, ask for nothing: their first two words are stop words or single letters."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.col("doc_id").alias("query_id"), F.substring_index("text", " ", 2).alias("query"))
+    terms = inverted.terms_of(d).select("query_id", (F.size("anyof") == 0).alias("no_terms"))
+    return d.join(terms, "query_id").groupBy("lang", "no_terms").agg(F.count("*").alias("n"))
 
 
 _HITS = f"""{_bm25(_TURNS, ["with", "from"], ", meeting_id, ordinal")},
@@ -163,12 +256,15 @@ def search_hits_compact(spark, sf_dir):
     return ctx.compact(n, 40).select("position", "id", "preview", "truncated", "preview_length")
 
 
-@query(f"SELECT conv_id * 1000 + turn AS chunk_id, {_TURN_ID} AS id, text FROM conversations WHERE conv_id % 10 = 3 AND turn = 1")
+_EVIDENCE = """concat('evidence:', sha256(concat('{"chunk":{"external_id":"', cid, '"},"meeting_external_id":"', mid, '","source_uuid":"u"}')))"""
+
+
+@query(_with(_RECORDER, f"SELECT {_EVIDENCE} AS id, mid AS meeting_external_id, cid AS chunk_external_id, text FROM chunks"))
 def evidence_lookup(spark, sf_dir):
-    """Rows found again by their public ids."""
-    chunks = corpora.conversations(spark, sf_dir).withColumn("id", ctx.evidence_id(F.lit("corpus")))
-    wanted = chunks.where("meeting_id % 10 = 3 and ordinal = 1").select("id")
-    return chunks.join(F.broadcast(wanted), "id").select("chunk_id", "id", "text")  # the ids asked for
+    """Every chunk of a stored index by its public id: the ids' own table, then the clustered chunks by their place."""
+    index = stored(spark, sf_dir)
+    found = index.table("evidence").join(index.table("chunks"), ["meeting_id", "chunk_id"])
+    return found.select(F.col("evidence_id").alias("id"), "meeting_external_id", "chunk_external_id", "text")
 
 
 @query(_with(f"r AS ({_TURNS})", "SELECT DISTINCT r.meeting_id FROM r JOIN conversations c ON c.conv_id * 1000 + c.turn = r.chunk_id WHERE contains(lower(role), 'system') OR list_contains(tokens, 'system')"))
@@ -177,12 +273,12 @@ def person_meetings_by_name(spark, sf_dir):
     return memory.person_meetings(corpora.conversations(spark, sf_dir), "System")
 
 
-@query(_with(_bm25(_DOCS, ["with", "from"]), "SELECT doc_id AS evidence_id, n_terms FROM scored JOIN documents ON doc_id = chunk_id WHERE n_terms > 0 AND doc_id % 2 = 0"))
+@query(_with(_bm25(_DOCS, ["with", "from"]), "SELECT doc_id AS evidence_id, n_terms FROM scored JOIN documents ON doc_id = chunk_id WHERE n_terms > 0"))
 def fts_term_frequencies(spark, sf_dir):
     """How many of the terms a chunk has, counted inside its row."""
     rows = search.with_frequencies(search.tokenized(corpora.documents(spark, sf_dir)), ["with", "from"])
     n = F.size(F.filter("tf", lambda x: x > 0))
-    return rows.where((n > 0) & (F.col("chunk_id") % 2 == 0)).select(F.col("chunk_id").alias("evidence_id"), n.alias("n_terms"))
+    return rows.where(n > 0).select(F.col("chunk_id").alias("evidence_id"), n.alias("n_terms"))
 
 
 # ---- entities and state -----------------------------------------------------------------------------------
@@ -506,8 +602,12 @@ def corpus_fingerprint_full(spark, sf_dir):
     return ev.corpus_fingerprint(chunks, meetings)
 
 
-@query("SELECT * FROM (VALUES ('the pricing decision', '\"pricing\" OR \"decision\"', '\"pricing\" AND \"decision\"'), ('миграция', '\"миграция\" OR \"миграции\" OR \"миграцию\" OR \"миграцией\"', ''), ('of the', '', '')) AS t(query, any_query, strict_query)")
+_NOTED = f"w AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)), t AS (SELECT doc_id, t, min(i) AS i FROM w WHERE length(t) > 1 AND t NOT IN ({_STOP}) GROUP BY 1, 2), q AS (SELECT doc_id, count(*) AS n, string_agg('\"' || t || '\"', ' OR ' ORDER BY i) AS a, string_agg('\"' || t || '\"', ' AND ' ORDER BY i) AS s FROM t GROUP BY 1)"
+
+
+@query(f"WITH {_NOTED} SELECT doc_id, coalesce(a, '') AS any_query, CASE WHEN n BETWEEN 2 AND 4 THEN s ELSE '' END AS strict_query FROM documents LEFT JOIN q USING (doc_id)")
 def query_notation(spark, sf_dir):
-    """What a query asks of a full-text engine."""
-    del sf_dir
-    return spark.createDataFrame([(x, qt.fts_query(x), qt.strict_fts_query(x)) for x in ("the pricing decision", "миграция", "of the")], "query string, any_query string, strict_query string")
+    """What the first two words of every text ask of a full-text engine."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("query_id"), F.substring_index("text", " ", 2).alias("query"))
+    written = lambda c, word: F.array_join(F.transform(c, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), f" {word} ")
+    return inverted.terms_of(d).select(F.col("query_id").alias("doc_id"), written("anyof", "OR").alias("any_query"), written("strict", "AND").alias("strict_query"))

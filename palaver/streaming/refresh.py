@@ -24,12 +24,12 @@ def tables_of(batch: DataFrame) -> dict[str, DataFrame]:
 
 
 def ingest(index: Index, source: str):
-    """A foreachBatch function. Late data is a meeting whose fingerprint changed: it is replaced whole, so a batch that
-    is replayed after a failure changes nothing."""
+    """A foreachBatch function. The state that a batch makes names it, so one that is replayed after a failure is known
+    and left out, and its run is not counted twice. Late data is a meeting whose fingerprint changed: it is replaced
+    whole."""
 
     def run(batch: DataFrame, batch_id: int) -> ScanResult | None:
-        del batch_id
-        return None if batch.isEmpty() else index.refresh(tables_of(batch), source)
+        return None if batch.isEmpty() else index.refresh(tables_of(batch), source, batch=(source, batch_id))
 
     return run
 

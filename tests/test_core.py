@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import querytext as q
 from palaver.functions import text as t
-from palaver.operators import context, entities, evaluation, graph, search, state, vectors
+from palaver.operators import context, entities, evaluation, graph, inverted, search, state, vectors
 from palaver.plans import api
 from palaver.plans.index import Index
 from palaver.sources import chat, recorder, settings, vault
@@ -93,7 +93,7 @@ def test_golden_ranks(memory):
 
 
 def test_stored_index_ranks_like_the_rows(spark, memory, tmp_path):
-    index = search.StoredIndex(spark, str(tmp_path / "fts"), buckets=4).build(memory.chunks())
+    index = inverted.StoredIndex(spark, str(tmp_path / "fts")).build(memory.chunks())
     for text in ("migration risks", "launch", "pricing decision", "dobrynya friday"):
         want = [(r.chunk_id, round(r.rank, 9), r.stage) for r in search.ranked(memory.chunks(), text, 5).orderBy("position").collect()]
         assert [(r.chunk_id, round(r.rank, 9), r.stage) for r in index.ranked(text, 5).orderBy("position").collect()] == want
@@ -379,7 +379,8 @@ def test_vectors(spark, memory):
     assert top[0].chunk_external_id == "transcript-2"
     with pytest.raises(ValueError):
         vectors.semantic_search(chunks, empty, a, 2, p.provider, p.model)
-    hybrid = memory.hybrid(stored, p)
+    assert memory.embed(p) == 6 and memory.embed(p) == 0
+    hybrid = memory.hybrid(p)
     assert hybrid("migration risks", 2).orderBy("position").first().chunk_external_id == "transcript-2"
     assert t.RRF_K == 60
 
