@@ -133,11 +133,19 @@ def solve(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float
     Newton steps, each solved by conjugate gradients: only products with the sparse matrix, no dense one is made.
     """
     n, k = len(rows), scale.size
-    at = np.repeat(np.arange(n), [r.size for r in rows])
-    col = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
-    val = scale[col]
-    forward = lambda w: np.bincount(at, val * w[col], n) + w[-1]
-    back = lambda v: np.r_[np.bincount(col, val * v[at], k), v.sum()]
+    sizes = np.array([r.size for r in rows], np.int64)
+    some, starts = sizes > 0, (np.cumsum(sizes) - sizes)[sizes > 0]
+    col = np.concatenate([*rows, np.empty(0, np.uint32)]).astype(np.uint32)  # all that is kept of the matrix
+
+    def forward(w):
+        out = np.full(n, w[-1])
+        if starts.size:
+            out[some] += np.add.reduceat((scale * w[:-1])[col], starts)
+        return out
+
+    def back(v):
+        return np.r_[scale * np.bincount(col, np.repeat(v, sizes), k), v.sum()]
+
     pull = np.r_[np.full(k, ridge), bias_ridge]
     w = np.zeros(k + 1)
     w[-1] = np.log((y.sum() + 1) / (n - y.sum() + 1))
