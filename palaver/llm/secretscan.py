@@ -485,7 +485,7 @@ def train(docs: DataFrame) -> Field:
 
 
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field: Field) -> list[list[tuple[str, int, int]]]:
-    """Of each text the spans that decoding tags as secrets and that touch no base span."""
+    """Of each text the spans that decoding tags as secrets, but those that lie within a base span."""
     tokens = tokenize(texts)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     tags = field.tags(tokens) if tokens.size else np.empty(0, np.int64)
@@ -496,7 +496,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field:
         t, s, e = int(tokens.text[i]), int(tokens.a[i]), int(tokens.z[j])
         while e > s and texts[t][e - 1] in ".-":
             e -= 1
-        if e > s and not any(s < y and x < e for _, x, y in base[t]):
+        if e > s and not any(x <= s and e <= y for _, x, y in base[t]):
             out[t].append(("crf", s, e))
     return out
 

@@ -10,6 +10,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palaver.llm import langid, secretscan, toxicity
 
@@ -229,6 +230,23 @@ def test_the_field_finds_other_credentials_and_leaves_prose_alone(spark, field):
     assert sum(r.n_crf for r in secretscan.scan(docs, field).collect()) <= 0.02 * docs.count()
 
 
+def test_secrets_that_hold_a_base_match_are_whole(make, field):
+    secret = "ghp_0123456789abcdef01234567XyZ9QwErTyUiPo"
+    rows = [(1, f'some words api token "{secret}" then more'), (2, "password = hunter2hunter2 and more words")]
+    got = {r.doc_id: r for r in secretscan.scan(make(rows), field).collect()}
+    at = rows[0][1].index(secret)
+    assert got[1].spans == f"crf:{at}:{at + len(secret)},hex:{at + 4}:{at + 28}" and got[1].n_hex == 1
+    assert got[2].spans == "assign:0:25" and got[2].n_crf == 0
+
+
+def test_no_more_contexts_than_ngrams_are_stored(spark):
+    counts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and text is not null").select("lang", "text").mapInArrow(langid._count, "lang string, gram long, n long")
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    probs, weights = langid.smoothed(counts, 100)
+    grams, contexts = ({(r.lang, r.o): r["count"] for r in t.groupBy("lang", "o").count().collect()} for t in (probs, weights))
+    assert all(n <= grams[k] for k, n in contexts.items()) and max(grams.values()) < 130
+
+
 def test_precision_and_recall_on_texts_it_was_not_trained_on(field, prose):
     known = secretscan.invented(prose(300, 55), n=800, seed=99)
     got = secretscan.added_spans([t for t, _ in known], [[] for _ in known], field)
