@@ -169,8 +169,9 @@ def smoothed(counts: DataFrame, most: int = MAX_GRAMS) -> tuple[DataFrame, DataF
         left = F.when(F.col("kept"), F.col("p")), F.when(F.col("kept"), F.col("q"))
         w = t.groupBy("lang", "ctx").agg(F.first("lam").alias("lam"), F.sum(left[0]).alias("mass"), F.sum(left[1]).alias("below"), F.count(F.when(~F.col("kept"), 1)).alias("gone"))
         anew = (1 - F.coalesce("mass", F.lit(0.0))) / F.greatest(F.lit(1e-12), 1 - F.coalesce("below", F.lit(0.0)))
-        w = staged(w.select("lang", "ctx", F.when(F.col("gone") == 0, F.col("lam")).otherwise(anew).alias("w")), f"langid-w{order}")
-        weights.append(w.select("lang", F.lit(order).alias("o"), "ctx", "w"))
+        w = staged(w.select("lang", "ctx", F.when(F.col("gone") == 0, F.col("lam")).otherwise(anew).alias("w"), F.col("mass").isNotNull().alias("some")), f"langid-w{order}")
+        # a context of which no n-gram is kept has the weight 1, which is what a missing row means
+        weights.append(w.where("some").select("lang", F.lit(order).alias("o"), "ctx", "w"))
         probs.append(t.where("kept").select("lang", F.lit(order).alias("o"), "gram", "p"))
         lower = t.join(w, ["lang", "ctx"]).select("lang", F.col("gram").alias("low"), F.when(F.col("kept"), F.col("p")).otherwise(F.col("w") * F.col("q")).alias("q"))
         lower = staged(lower, f"langid-q{order}")
