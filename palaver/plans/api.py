@@ -16,6 +16,7 @@ from ..operators import graph, memory, search, state, vectors
 from ..sources import chat, recorder, vault
 from . import dossier
 from .index import Index, ScanResult, utc_now
+from .log import Conflict, Log
 
 V1, V2 = "core.v1", "core.v2"
 SOURCES = "source_uuid string, kind string, path string, label string"
@@ -41,31 +42,38 @@ class Memory:
         self.index = Index(spark, f"{self.path}/index")
         self.strategy = strategy or self.search_frame
 
-    # small tables outside the index, rewritten whole into versioned folders
+    # small tables outside the index, as logs: whoever writes at the same time loses nothing
 
-    def _load(self, name: str, schema: str) -> DataFrame:
-        jvm, fs = self.index._fs()
-        base = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/{name}")
-        versions = sorted(s.getPath().getName() for s in fs.listStatus(base)) if fs.exists(base) else []
-        done = [v for v in versions if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/{name}/{v}/_SUCCESS"))]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/state/{name}/{done[-1]}") if done else self.spark.createDataFrame([], schema)
+    def _log(self, name: str, schema: str, key: tuple[str, ...], keep: str = "last", loose: str | None = None) -> Log:
+        return Log(self.spark, f"{self.path}/state/{name}", schema, key, keep, loose)
 
-    def _save(self, name: str, df: DataFrame) -> None:
-        import time
+    @property
+    def _tasks(self) -> Log:
+        return self._log("tasks", state.SCHEMA, state.KEY, loose="orphaned")
 
-        df.coalesce(1).write.parquet(f"{self.path}/state/{name}/{time.time_ns():020d}")
+    @property
+    def _topics(self) -> Log:
+        return self._log("topics", graph.TOPIC_SCHEMA, ("topic_key",), "first")
+
+    @property
+    def _aliases(self) -> Log:
+        return self._log("aliases", graph.ALIAS_SCHEMA, ("normalized_alias",), "first")
+
+    @property
+    def _sources(self) -> Log:
+        return self._log("sources", SOURCES, ("source_uuid",))
 
     def states(self) -> DataFrame:
-        return self._load("tasks", state.SCHEMA)
+        return self._tasks.read()
 
     def topics(self) -> DataFrame:
-        return self._load("topics", graph.TOPIC_SCHEMA)
+        return self._topics.read()
 
     def aliases(self) -> DataFrame:
-        return self._load("aliases", graph.ALIAS_SCHEMA)
+        return self._aliases.read()
 
     def sources(self) -> DataFrame:
-        return self._load("sources", SOURCES)
+        return self._sources.read()
 
     # ---- writes
 
@@ -75,14 +83,18 @@ class Memory:
         return self.index.refresh(recorder.read(self.spark, path), str(path), force=force, prune=prune, source_uuid=key)
 
     def register_source(self, path: str, label: str | None = None) -> str:
-        have = self.sources()
-        row = have.where(F.col("path") == str(path)).first()
-        if row is None or (label and label != row["label"]):
+        while True:
+            version = self._sources.version()
+            row = self.sources().where(F.col("path") == str(path)).first()
+            if row is not None and not (label and label != row["label"]):
+                return row["source_uuid"]
             key = row["source_uuid"] if row else str(uuid.uuid4())
             new = self.spark.createDataFrame([(key, "recorder_sqlite", str(path), label or (row["label"] if row else None))], SOURCES)
-            self._save("sources", have.where(F.col("path") != str(path)).unionByName(new))
-            return key
-        return row["source_uuid"]
+            try:  # a file has one id, whoever registers it first
+                self._sources.append(new, expected=version)
+                return key
+            except Conflict:
+                continue
 
     def rebind(self, old: str, new: str) -> int:
         """Point a source at a moved copy of its file; returns how many of its meetings the copy has, at least one.
@@ -100,7 +112,8 @@ class Memory:
             raise ValueError("the new file has none of the indexed meetings")
         moved = self.spark.createDataFrame([(row["source_uuid"], row["kind"], str(new), row["label"])], SOURCES)
         self.index.rebind(str(old), str(new))
-        self._save("sources", have.where(~F.col("path").isin(str(old), str(new))).unionByName(moved))
+        other = have.where((F.col("path") == str(new)) & (F.col("source_uuid") != row["source_uuid"]))
+        self._sources.append(moved.unionByName(other), deleted=F.col("source_uuid") != row["source_uuid"])
         return both
 
     def analyze(self, meeting: str | int | None = None) -> dict[str, int]:
@@ -116,7 +129,8 @@ class Memory:
         """Take in (entity_id, status, note) of an older index; how many rows were migrated, and why others were not."""
         states, report = state.migrate_legacy(legacy, self._details(), self.states(), now or utc_now())
         counted = {r["reason"]: r["n"] for r in report.collect()}
-        self._save("tasks", states.select(*self.states().columns))
+        known = self.states()
+        self._tasks.append(states.select(*known.columns).exceptAll(known))
         return counted
 
     def set_task_status(self, task_id: int, status: str, note: str | None = None, now: str | None = None) -> Response:
@@ -124,7 +138,7 @@ class Memory:
         if row is None:
             raise LookupError(f"task not found: {task_id}")
         one = state.change(row.asDict() | {"source_uuid": self._uuid_of(row["meeting_id"])}, status, note, now or utc_now())
-        self._save("tasks", state.upsert(self.states(), self.spark.createDataFrame([one], state.SCHEMA)).select(*self.states().columns))
+        self._tasks.append(self.spark.createDataFrame([one], state.SCHEMA))
         return Response("task_status", {"id": task_id, "status": status, "note": note})
 
     def add_topic_alias(self, title: str, aliases: list[str]) -> Response:
@@ -136,12 +150,12 @@ class Memory:
         key = graph.resolve_topic(topics, have, title)
         if key is None:
             key = graph.topic_key(title)
-            self._save("topics", topics.unionByName(self.spark.createDataFrame([(key, title, now, now)], graph.TOPIC_SCHEMA)))
+            self._topics.append(self.spark.createDataFrame([(key, title, now, now)], graph.TOPIC_SCHEMA))
         wanted = {n: a for a in reversed(aliases) if (n := q.normalize_key(a))}
         taken = {r["normalized_alias"] for r in have.where(F.col("normalized_alias").isin(list(wanted))).select("normalized_alias").collect()}  # as many as are to be added
         added = [(key, a, n) for n, a in reversed(wanted.items()) if n not in taken]
         if added:
-            self._save("aliases", have.unionByName(self.spark.createDataFrame(added, graph.ALIAS_SCHEMA)))
+            self._aliases.append(self.spark.createDataFrame(added, graph.ALIAS_SCHEMA))
         return self.topic_view(key, title) | {"added_aliases": [a for _, a, _ in added]}
 
     # ---- frames

@@ -241,10 +241,13 @@ def fts_block_bounds(spark, sf_dir):
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
-_BATCH = f"""
+def _batch(queries: str) -> str:
+    """CTEs from queries (query_id, query) to top(query_id, chunk_id, rank, stage) over the conversations."""
+    return f"""
   r AS ({_TURNS}),
   corpus AS (SELECT count(*) AS n_rows, avg(len(tokens)) AS avgdl FROM r),
-  raw AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(replace(replace(lower(substr(coalesce(text, ''), 1, 60)), 'ß', 'ss'), 'ς', 'σ'), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)),
+  asked AS ({queries}),
+  raw AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM (SELECT query_id AS doc_id, regexp_extract_all(replace(replace(lower(coalesce(query, '')), 'ß', 'ss'), 'ς', 'σ'), '[\\p{{L}}\\p{{N}}_]+') AS w FROM asked)),
   seen AS (SELECT doc_id, term, min(i) AS first_ FROM raw WHERE length(term) > 1 AND term NOT IN ({_STOP}) GROUP BY 1, 2),
   tok AS (SELECT doc_id, term FROM seen QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first_) <= 16),
   ask AS (SELECT doc_id, term, translate(term, '{ACCENTED}', '{PLAIN}') AS token, count(*) OVER (PARTITION BY doc_id) AS n FROM tok),
@@ -256,7 +259,7 @@ _BATCH = f"""
   top AS (SELECT doc_id AS query_id, chunk_id, rank, CASE WHEN n BETWEEN 2 AND 4 AND hit = n THEN 0 ELSE 1 END AS stage FROM scored)"""
 
 
-@query(_with(_BATCH, "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank, chunk_id) AS position, chunk_id, stage, round(rank, 6) AS rank FROM top QUALIFY position <= 5"))
+@query(_with(_batch("SELECT doc_id AS query_id, substr(text, 1, 60) AS query FROM documents"), "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank, chunk_id) AS position, chunk_id, stage, round(rank, 6) AS rank FROM top QUALIFY position <= 5"))
 def batch_search(spark, sf_dir):
     """The cascade's top of many queries at once: the beginning of every document, looked up in the conversations."""
     asked = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
@@ -494,6 +497,29 @@ def eval_metrics(spark, sf_dir):
     return m.select(*[F.round(c, 6).alias(c) for c in ev.METRICS[:6]], "median_source_openings", "empty_result_rate")
 
 
+@query(
+    _with(
+        _batch("SELECT conv_id * 1000 + turn AS query_id, substr(text, 1, 40) AS query FROM conversations")
+        + """,
+  placed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank, chunk_id) AS pos FROM top QUALIFY pos <= 5),
+  want AS (SELECT conv_id * 1000 + turn AS query_id, conv_id * 1000 + turn AS chunk_id, 2 AS rel FROM conversations UNION ALL SELECT a.conv_id * 1000 + a.turn, b.conv_id * 1000 + b.turn, 1 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+  ideal AS (SELECT query_id, sum((pow(2, rel) - 1) / log2(3.0 - rel + 1)) AS ideal FROM want GROUP BY 1),
+  got AS (SELECT query_id, min(pos) FILTER (rel = 2) AS p, sum(coalesce((pow(2, rel) - 1) / log2(pos + 1), 0)) AS dcg, count(*) AS n FROM placed LEFT JOIN want USING (query_id, chunk_id) GROUP BY 1)""",
+        "SELECT query_id::VARCHAR AS task_id, p IS NOT NULL AS success, coalesce((p <= 1)::INT, 0)::DOUBLE AS hit_at_1, round(coalesce(1.0 / p, 0), 6)::DOUBLE AS reciprocal_rank, round(coalesce(dcg, 0) / ideal, 6) AS ndcg, coalesce(n, 0)::BIGINT AS n_retrieved FROM ideal LEFT JOIN got USING (query_id)",
+    )
+)
+def eval_batch(spark, sf_dir):
+    """Retrieval quality over all turns at once: the beginning of each is to find the turn itself, then the next one."""
+    chunks, index = indexed(spark, sf_dir, "conversations")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    name = lambda turn: F.concat(F.lit("conversation-"), F.col("conv_id").cast("string"), F.lit("/turn-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    own, following = F.struct(name(F.col("turn")).alias("evidence_id"), F.lit(2).alias("relevance")), F.struct(name(F.col("turn") + 1).alias("evidence_id"), F.lit(1).alias("relevance"))
+    tasks = c.withColumn("last", last).select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("task_id"), F.substring("text", 1, 40).alias("query"), F.lit("exact_match").alias("class"), F.lit(False).alias("critical"), F.when(F.col("turn") < F.col("last"), F.array(own, following)).otherwise(F.array(own)).alias("expected"))
+    o = ev.observe_index(tasks, index, chunks)
+    return o.select("task_id", "success", "hit_at_1", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("ndcg", 6).alias("ndcg"), "n_retrieved")
+
+
 @query(
     _with(
         _judged("n_chars DESC, doc_id", "0") + "," + _judged("doc_id", "1"),

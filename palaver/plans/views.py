@@ -18,6 +18,7 @@ from ..streaming.refresh import ingest, run_available
 from . import normalize as norm
 from .dossier import prompt
 from .index import Index
+from .log import Log
 from .queries import _DIST, _DOCS, _ENTITIES, _EVENTS, _PLACED, _QUERY, _TURNS, _bm25, _tokens, _with, folder, indexed, query, table_state
 
 # ---- ingest -----------------------------------------------------------------------------------------------
@@ -343,6 +344,26 @@ def state_upsert(spark, sf_dir):
     return both.groupBy(F.col("text_sha").alias("kind")).agg(F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(~live, 1)).alias("n_orphans"), F.max(F.when(live, F.col("status"))).alias("last_status"))
 
 
+@query("SELECT 'event-' || event_id AS chunk_external_id, CASE WHEN event_id % 3 = 0 THEN 'cancelled' WHEN event_id % 2 = 0 THEN 'done' ELSE 'open' END AS status, CASE WHEN event_id % 3 = 0 THEN 'third' WHEN event_id % 2 = 0 THEN 'second' END AS note, event_id AS legacy_id FROM events WHERE event_type = 'signup' AND event_id % 7 <> 1")
+def state_log(spark, sf_dir):
+    """States of tasks after five changes, folded in between: the newest of each task, without those taken back."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'")
+
+    def change(cond: str, status: str, note: str | None, legacy: bool = False):
+        return e.where(cond).select(
+            F.lit("u").alias("source_uuid"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("meeting_external_id"), F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("chunk_external_id"), F.lit("task").alias("kind"), F.lit("s").alias("text_sha"),
+            F.lit(status).alias("status"), F.lit(note).cast("string").alias("note"), (F.col("event_id") if legacy else F.lit(None)).cast("long").alias("legacy_id"), F.lit(False).alias("orphaned"), F.lit("t").alias("updated_at"),
+        )
+
+    log = Log(spark, f"{folder(spark)}/states", state.SCHEMA, state.KEY, loose="orphaned")
+    log.append(change("true", "open", None, True))
+    log.append(change("event_id % 2 = 0", "done", "second"))
+    log.fold()
+    log.append(change("event_id % 3 = 0", "cancelled", "third"))
+    log.append(change("event_id % 7 = 1", "open", None), deleted=F.lit(True))
+    return log.read().select("chunk_external_id", "status", "note", "legacy_id")
+
+
 @query(_with(_ENTITIES, "SELECT CASE WHEN event_id % 4 = 0 THEN 'missing_task' WHEN event_id % 4 = 1 THEN 'missing_source' WHEN event_id % 4 = 2 THEN 'missing_chunk_id' ELSE 'migrated' END AS reason, count(*) AS n FROM ent WHERE kind = 'action_items' GROUP BY 1"))
 def state_migration(spark, sf_dir):
     """Task states of an older index: how many are carried over, and why others are not."""

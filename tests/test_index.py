@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.operators import cells, graph, inverted, search, vectors
-from palaver.plans import api, index
+from palaver.plans import api, index, log
 
 TABLES = {
     "meetings": "id string, title string, created_at string, updated_at string, folder_path string",
@@ -207,3 +207,29 @@ def test_few_cells_are_read_where_vectors_lie_in_groups(spark, tmp_path):
         assert cells.read(stored, heads, pivots, rows[k][1], want[-1][2]) < 200
     far = [9.0] * 12
     assert listed(cells.search(stored, heads, pivots, far, 3000), "chunk_id") == listed(vectors.nearest(table.where("size(vector) = 12"), far, 3000), "chunk_id")
+
+
+def test_changes_of_two_writers_both_stay(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    schema = "k string, v long, orphaned boolean"
+    table = log.Log(spark, str(tmp_path / "log"), schema, ("k",), loose="orphaned")
+    row = lambda k, v, loose=False: spark.createDataFrame([(k, v, loose)], schema)
+    assert table.read().count() == 0 and table.version() == 0
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda n: log.Log(spark, str(tmp_path / "log"), schema, ("k",), loose="orphaned").append(row(f"k{n}", n)), range(6)))
+    assert sorted(numbers) == list(range(1, 7)) and {(r.k, r.v) for r in table.read().collect()} == {(f"k{n}", n) for n in range(6)}
+    with pytest.raises(log.Conflict):
+        table.append(row("late", 1), expected=5)
+    table.append(row("k0", 9), expected=6)
+    table.append(row("k1", 0), deleted=F.lit(True))
+    table.append(row("k2", 7, True))
+    table.append(row("k2", 8, True))
+    want = {("k0", 9), ("k2", 2), ("k2", 7), ("k2", 8), *((f"k{n}", n) for n in (3, 4, 5))}
+    assert {(r.k, r.v) for r in table.read().collect()} == want
+    table.fold()
+    assert len(table._entries()) == 1 and {(r.k, r.v) for r in table.read().collect()} == want
+    first = log.Log(spark, str(tmp_path / "first"), "k string, v long", ("k",), "first")
+    for v in range(log.FOLD + 2):
+        first.append(spark.createDataFrame([("a", v)], "k string, v long"))
+    assert [r.v for r in first.read().collect()] == [0] and len(first._entries()) <= 2
