@@ -320,3 +320,15 @@ def test_even_keys_deal_one_bucket_a_partition(spark):
     keys = common.even_keys(spark, 13)
     dealt = spark.createDataFrame([(k,) for k in keys], "k int").repartition(13, "k").selectExpr("k", "spark_partition_id() p").collect()
     assert sorted(r.p for r in dealt) == list(range(13)) and {r.k: r.p for r in dealt} == {k: p for p, k in enumerate(keys)}
+
+
+def test_entries_of_shared_keys_are_those_that_two_documents_have(spark):
+    r = random.Random(4)
+    keys = {i: [r.randrange(40) if r.random() < 0.5 else 1_000 + 40 * i + k for k in range(6)] + [7] for i in range(60)}
+    rows = [(i, 100 + i, np.array(k, np.uint64).tobytes()) for i, k in keys.items()]
+    got = neardup.shared(spark.createDataFrame(rows, "id long, n long, keys binary").repartition(3)).collect()
+    owners = {}
+    for i, k in keys.items():
+        for x in k:
+            owners.setdefault(x, set()).add(i)
+    assert sorted((x.key, x.id, x.n) for x in got) == sorted((k, i, 100 + i) for k, own in owners.items() if len(own) > 1 for i in own)
