@@ -233,3 +233,13 @@ def test_changes_of_two_writers_both_stay(spark, tmp_path):
     for v in range(log.FOLD + 2):
         first.append(spark.createDataFrame([("a", v)], "k string, v long"))
     assert [r.v for r in first.read().collect()] == [0] and len(first._entries()) <= 2
+
+
+def test_equal_scores_are_equal_whatever_order_their_terms_come_in(spark):
+    s = inverted.Statistics({"a": 524, "b": 243, "c": 1016}, 5012, 88.59)
+    postings = inverted.Postings([], spark.createDataFrame([(5012, 444_013)], inverted.LENGTHS))
+    for orders in (("abc", "bca"), ("bca", "abc")):  # in these orders the sums of doubles differ
+        rows = [(k, 1, q, 1, 57) for k, order in enumerate(orders) for q in order]
+        x = spark.createDataFrame(rows, "chunk_id long, meeting_id long, q string, tf long, dl int").coalesce(1)
+        got = postings._top(x, s, ["a", "b", "c"], [], 2, "any").collect()
+        assert [r["chunk_id"] for r in got] == [0, 1] and got[0]["rank"] == got[1]["rank"]
