@@ -19,7 +19,7 @@ from . import normalize as norm
 from .dossier import prompt
 from .index import Index
 from .log import Log
-from .queries import _DIST, _DOCS, _ENTITIES, _EVENTS, _PLACED, _QUERY, _TURNS, _bm25, _tokens, _with, folder, indexed, query, table_state
+from .queries import _DIST, _DOCS, _ENTITIES, _EVENTS, _PLACED, _QUERY, _TURNS, _bm25, _tokens, _with, folder, indexed, kept, query, table_state
 
 # ---- ingest -----------------------------------------------------------------------------------------------
 
@@ -309,8 +309,8 @@ def entities_two_languages(spark, sf_dir):
 @query(_with(_RU_ENTITIES, ", who AS (SELECT DISTINCT o_custkey, clerk FROM ot) SELECT DISTINCT o_custkey AS meeting_id, e.o_orderkey AS chunk_id, e.text, 'person:' || lower(w.clerk) AS to_key, 0.7::DOUBLE AS confidence FROM rent e JOIN who w USING (o_custkey) WHERE kind = 'action_items' AND contains(lower(e.text), lower(w.clerk))"))
 def graph_assignees(spark, sf_dir):
     """Tasks that name a person of their meeting are assigned to them."""
-    chunks = corpora.orders(spark, sf_dir)
-    found = ent.extract(chunks)
+    chunks = kept(spark, corpora.orders(spark, sf_dir))
+    found = kept(spark, ent.extract(chunks))
     e = graph.edges(chunks, found, graph.people(chunks)).where("relation = 'assigned_to'")
     return e.join(found.select(F.concat("kind", F.lit(":"), F.col("entity_id").cast("string")).alias("from_key"), "text"), "from_key").select("meeting_id", "chunk_id", "text", "to_key", "confidence")
 
@@ -447,8 +447,8 @@ _EDGE_CTES = f"""{_ENTITIES},
 
 
 def _neighbourhood(spark, sf_dir):
-    chunks = corpora.events(spark, sf_dir)
-    found = ent.extract(chunks).withColumn("entity_id", F.concat_ws("-", "meeting_id", ent.kind_index(), "ordinal"))
+    chunks = kept(spark, corpora.events(spark, sf_dir))
+    found = kept(spark, ent.extract(chunks)).withColumn("entity_id", F.concat_ws("-", "meeting_id", ent.kind_index(), "ordinal"))
     who = graph.people(chunks)
     own = found.where("kind = 'risks'").select(F.concat("kind", F.lit(":"), "entity_id").alias("from_key"), F.lit("belongs_to").alias("relation"), F.lit("topic:x").alias("to_key"), F.lit(0.7).alias("confidence"), "meeting_id", F.col("source_chunk_id").cast("long").alias("chunk_id"), F.lit("topic_query").alias("extraction_method"))
     return graph.subgraph(graph.nodes(chunks, found, who), graph.edges(chunks, found, who), own, "topic:x", "X", 40)
@@ -468,8 +468,8 @@ def graph_subgraph_nodes(spark, sf_dir):
 @query(_with(_ENTITIES, "SELECT 1::BIGINT AS sources, (SELECT count(DISTINCT user_id) FROM ev) AS meetings, (SELECT count(*) FROM ev) AS chunks, count(*) AS structured_entities, count(*) + (SELECT count(DISTINCT user_id) + count(*) + count(DISTINCT event_id % 5) FROM ev) AS knowledge_nodes, 2 * count(*) + (SELECT count(*) + count(DISTINCT concat(user_id, '-', event_id % 5)) FROM ev) AS knowledge_edges FROM ent"))
 def index_counts(spark, sf_dir):
     """Counts of sources, meetings, chunks, entities, and of nodes and edges of the graph."""
-    chunks = corpora.events(spark, sf_dir)
-    return memory.index_counts(spark.range(1), corpora.meetings_of(chunks), chunks, ent.extract(chunks))
+    chunks = kept(spark, corpora.events(spark, sf_dir))
+    return memory.index_counts(spark.range(1), corpora.meetings_of(chunks), chunks, kept(spark, ent.extract(chunks)))
 
 
 # ---- memory views -----------------------------------------------------------------------------------------

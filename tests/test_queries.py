@@ -50,3 +50,14 @@ def test_nothing_else_imports_the_training_data_folder():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"\bllm\b", f.read_text(encoding="utf-8")), f
+
+
+@pytest.mark.parametrize("name", ["graph_subgraph_nodes", "graph_subgraph_edges", "graph_assignees", "index_counts", "graph_nodes", "graph_edges"])
+def test_sentences_are_cut_once_in_queries_that_use_entities_repeatedly(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "row_number" not in plan
+
+
+def test_a_text_is_folded_once_for_all_keywords(spark, sf_dir):
+    plan = entry.queries()["evidence_classes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
