@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_table, blocks, codes, components, forget, join_totals, last_staged, names, partitions, small, staged, staged_rows
@@ -18,13 +18,13 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sketches a document, and least k-mers in each: at similarity 0.8 a sketch agrees with a chance of about 0.8 ** 3,
 #: all 24 disagree with one of about 4e-8.
 SKETCHES, PICKS, SEED = 24, 3, 11
-#: Of a larger group of documents that share a sketch not every two are aligned at once: its documents are dealt anew by
-#: FINE sketches of FINE_PICKS shingles each: all disagree with a chance of 0.0007 at similarity 0.8, and of 0.69 at 0.5.
+#: The documents of larger groups that share a sketch are first linked by FINE sketches of FINE_PICKS shingles each, which
+#: leaves few components to compare; then every two documents of the group in different components are compared.
 SMALL, FINE, FINE_PICKS = 64, 24, 6
-#: Documents of a group that all others are aligned with at once.
-LEADS = 256
-#: Members of a group that are aligned with its leads in one task.
-PORTION = 1000
+#: Documents outside a group's largest component, and inside it, in a block; every block of the first meets every block.
+LEADS, PORTION = 1000, 1000
+#: Places of a document's count of words, which bounds how many words two documents can have in common.
+PLACES = 256
 HOLD = 32 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -244,6 +244,11 @@ def candidates(reps: DataFrame) -> DataFrame:
     return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_task, "a long, b long").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids in pairs, each end made distinct before they meet."""
+    return pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+
+
 def _verify_task(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, None
@@ -265,7 +270,7 @@ def verified(pairs: DataFrame, count: int, seqs: DataFrame, least: float = SIMIL
 
     Only the words of documents in the pairs travel: few pairs go to them, many meet them by a shuffle.
     """
-    ids, n = staged_rows(pairs.selectExpr("explode(array(a, b)) id").distinct(), "near-ids")
+    ids, n = staged_rows(_ends(pairs), "near-ids")
     some = seqs.select("id", "words").join(small(ids, n), "id", "left_semi")
     y = some.select(F.col("id").alias("b"), F.col("words").alias("y")).join(small(pairs, count), "b")
     x = some.select(F.col("id").alias("a"), F.col("words").alias("x"))
@@ -418,21 +423,21 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def closed(held: DataFrame, state: _Links) -> None:
-    """Link until no two documents of a group are both unlinked and untried.
+    """Link until every two documents of a group are linked or known to differ.
 
     Of a group whose documents lie in several components, every two of different components are aligned where it has at
     most SMALL documents. The documents of larger groups, as a passage makes that very many unlike texts share, are
-    dealt anew by finer sketches, in which two agree only if they have most of their shingles in common; those groups
-    are treated in the same way, and what is large even then is finished in `rounds`.
+    linked by finer sketches first, in which two agree only if they have most of their shingles in common. That leaves
+    fewer components and drops no pair: what then lies in different components of a large group meets in `crossed`.
     """
     large = _small(held.select("id", "n", "sketch"), state)
     ids, n = staged_rows(large.select("id").distinct(), "near-large-ids")
     if n:
+        large = staged(large, "near-large")
         fine = staged(held.join(small(ids, n), "id", "left_semi").select("id", "n", "words").mapInArrow(_fine_task, "id long, n long, keys binary"), "near-fine")
         state.try_(candidates(fine))
-        large = _small(fine, state)
-        if not large.isEmpty():
-            rounds(staged(large, "near-large"), held, state)
+        _small(fine, state)
+        crossed(large, held, state)
 
 
 def _small(part: DataFrame, state: _Links) -> DataFrame:
@@ -444,69 +449,88 @@ def _small(part: DataFrame, state: _Links) -> DataFrame:
     return mixed.where(F.col("size") > SMALL).select("key", "id", "n")
 
 
-def _lead_task(least: float):
-    """Rows (key, salt, member, id, n, root, words, open), a portion's leads before its members, to links (a, b) of
-    members with their group's leads.
+def _counts(w: np.ndarray) -> np.ndarray:
+    """How many words fall on each of PLACES: the sum of the lesser counts of two documents bounds their common words."""
+    return np.bincount(w % np.uint32(PLACES), minlength=PLACES).astype(np.int32)
+
+
+def _cross_task(least: float):
+    """Rows (key, i, j, block, id, n, root, words, open), sorted by cell (key, i, j), to links (a, b) between the blocks i
+    and j of a group, or within one.
 
     Two documents that meet in several groups are aligned only in the least of them, as their lists of groups tell.
+    Lengths and counts of words leave out only pairs that the alignment would not link.
     """
+    read = lambda z: np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint32)
+
+    def cell(key: int, within: bool, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        n, root = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+        if (root == root[0]).all():
+            return
+        counts, opened = np.stack([_counts(read(r[4])) for r in rows]), [frozenset(r[5]) for r in rows]
+        cut = next((k for k, r in enumerate(rows) if r[0] != rows[0][0]), len(rows))  # the second block begins
+        for x in range(cut):
+            ys = np.arange(x + 1 if within else cut, len(rows))
+            ys = ys[(root[ys] != root[x]) & (np.minimum(n[ys], n[x]) >= np.maximum(n[ys], n[x]) * least - 1e-6)]
+            if not ys.size:
+                continue
+            need = np.ceil(least * (n[ys] + n[x]) / (1 + least) - 1e-9)
+            ys = ys[np.minimum(counts[ys], counts[x]).sum(axis=1) >= need]
+            seq = None
+            for y in ys.tolist():
+                if root[x] != root[y] and min(opened[x] & opened[y]) == key:
+                    seq = read(rows[x][4]) if seq is None else seq
+                    if aligned(seq, read(rows[y][4]), least):
+                        yield min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])
+                        root[root == root[y]] = root[x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        read = lambda z: np.frombuffer(unpack.decompress(z), np.uint32)
-        last, leads = None, []
+        now, rows = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            found = list(cell(now[0], now[1] == now[2], rows))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for b in batches:
-            out = []
-            for key, salt, member, i, n, root, words, open_ in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                if (key, salt) != last:
-                    last, leads = (key, salt), []
-                if not member:
-                    leads.append((i, n, root, set(open_), read(words)))
-                    continue
-                own, seq = set(open_), None
-                for x, xn, xroot, xopen, xseq in leads:
-                    if xroot != root and min(n, xn) >= max(n, xn) * least - 1e-6 and min(own & xopen) == key:
-                        seq = read(words) if seq is None else seq
-                        if aligned(seq, xseq, least):
-                            out.append((min(i, x), max(i, x)))
-            a, c = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+            for *at, block, i, n, root, words, open_ in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
+                if at != now:
+                    if rows:
+                        yield from links()
+                    now, rows = at, []
+                rows.append((block, i, n, root, words, open_))
+        if rows:
+            yield from links()
 
     return run
 
 
-def rounds(entries: DataFrame, held: DataFrame, state: _Links) -> None:
-    """Align what is left of groups whose documents lie in several components; only links leave the tasks.
+def crossed(entries: DataFrame, held: DataFrame, state: _Links) -> None:
+    """Compare every two documents of a group that lie in different components; only links leave the tasks.
 
-    The least documents outside a group's largest component become leads, at most LEADS at once, and a lead is aligned
-    with all documents of the group in other components, until every document outside has led. A group is cut into
-    portions of about PORTION members, each dealt with a copy of its leads: a group of any size is split over tasks,
-    no row carries another's words, and its pairs are never rows.
+    The documents outside a group's largest component are cut into blocks of about LEADS, the others into blocks of
+    about PORTION, and every block of the first kind meets every block in a cell of its own. Nothing is left out: two
+    documents of the largest component are linked already. The comparisons grow with the number of documents times
+    those outside; a task holds two blocks at a time, and pairs are never rows.
     """
-    docs = entries.groupBy("id").agg(F.collect_list("key").alias("open")).join(held.select("id", "words"), "id")  # as many keys as a document has
-    docs = staged(docs, "near-docs")
-    led, most = [], 16
-    while True:
-        now = state.rooted(entries)
-        main = now.groupBy("key", "root").agg(F.count("*").alias("docs")).groupBy("key").agg(F.max(F.struct("docs", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.ceil(F.sum("docs") / PORTION).cast("int").alias("salts"))
-        main, n = staged_rows(main.where("roots > 1").select("key", "main", "salts"), "near-main")
-        now = now.join(small(main, n), "key")
-        side = now.where("root <> main")
-        for t, n in led:
-            side = side.join(small(t, n), ["key", "id"], "left_anti")
-        leads = side.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("place") <= most)
-        leads, found = staged_rows(leads.select("key", "id", "n", "root", "salts"), "near-leads")
-        if not found:
-            return
-        # groups of which all outside have led are done, whatever is left of them
-        now = now.join(small(leads.select("key").distinct(), found), "key", "left_semi")
-        own = ("key", "salt", "member", "id", "n", "root", "words", "open")
-        first = leads.join(docs, "id").withColumns({"member": F.lit(False), "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1))}).select(*own)
-        rest = now.join(docs, "id").withColumns({"member": F.lit(True), "salt": F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")}).select(*own)
-        rows = first.unionByName(rest).repartition("key", "salt").sortWithinPartitions("key", "salt", "member")
-        state.take(rows.mapInArrow(_lead_task(state.least), "a long, b long").distinct())
-        led.append((leads.select("key", "id"), found))
-        most = min(4 * most, LEADS)
+    now = state.rooted(entries)
+    main = now.groupBy("key", "root").agg(F.count("*").alias("docs")).groupBy("key").agg(F.max(F.struct("docs", "root")).alias("m"), F.sum("docs").alias("all"), F.count("*").alias("roots"))
+    blocks_of = lambda docs, each: F.ceil(docs / F.lit(each)).cast("int")
+    main = main.where("roots > 1").select("key", F.col("m.root").alias("main"), blocks_of(F.col("all") - F.col("m.docs"), LEADS).alias("outer"), blocks_of(F.col("m.docs"), PORTION).alias("inner"))
+    main, n = staged_rows(main, "near-main")
+    if not n:
+        return
+    now = now.join(small(main, n), "key")
+    # as many keys as a document has
+    docs = now.groupBy("id").agg(F.collect_list("key").alias("open")).join(held.select("id", "words"), "id")
+    deal = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    outside = F.col("root") != F.col("main")
+    rows = now.join(docs, "id").withColumn("block", F.when(outside, deal("outer")).otherwise(F.col("outer") + deal("inner")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(outside, F.col("inner")).otherwise(F.lit(0)))))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "root", "words", "open")
+    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
+    state.take(cells.mapInArrow(_cross_task(state.least), "a long, b long").distinct())
 
 
 _LOW = -(1 << 63)  # stands for a null id and comes before all others
@@ -524,7 +548,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, least: float) -> Da
     copies, n = staged_rows(copies, "near-copies")
     reps = table.where("n > 0").join(small(copies, n), "row", "left_anti").select(F.col("row").alias("id"), "words", "sketch", "n")
     pairs = staged(candidates(reps), "near-pairs")
-    ids, n = staged_rows(pairs.selectExpr("explode(array(a, b)) id").distinct(), "near-ids")
+    ids, n = staged_rows(_ends(pairs), "near-ids")
     held = staged(reps.join(small(ids, n), "id", "left_semi"), "near-held")
     # first each document with the least it is paired with, then what pairs are left between different components
     state = _Links(held, least)
@@ -548,8 +572,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     much is such a pair too. Texts equal in their words are one class from the start and only one of them is compared.
     Candidates are documents that share an Order-MinHash sketch of five-word shingles. First every document is aligned
     with the first it has a candidate pair with, then what candidate pairs are left between different components, then
-    all documents of a sketch that are still in different components: every two of them where they are at most SMALL,
-    else, in rounds, those that share a finer sketch as well, which similar ones do but for 0.0007 of the pairs. Texts that share no five words in a row are never candidates: only
+    all documents of a sketch that are still in different components: every two of them, in groups of any size. Texts that share no five words in a row are never candidates: only
     texts of a few dozen words can be so and still be similar.
 
     One row of each class is kept: of its least id, and if rows share that id, one of them. Texts of less than five words

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -332,3 +333,22 @@ def test_entries_of_shared_keys_are_those_that_two_documents_have(spark):
         for x in k:
             owners.setdefault(x, set()).add(i)
     assert sorted((x.key, x.id, x.n) for x in got) == sorted((k, i, 100 + i) for k, own in owners.items() if len(own) > 1 for i in own)
+
+
+def test_large_groups_are_whole_where_the_finer_sketches_find_nothing(make, prose, monkeypatch):
+    """The finer sketches only save work: without any link from them no pair of a large group is lost."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "LEADS", 16)
+
+    def no_two_alike(batches):
+        for b in batches:
+            own = [int(i).to_bytes(8, "little", signed=True) for i in b.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(own, pa.binary())], ["id", "n", "keys"])
+
+    monkeypatch.setattr(neardup, "_fine_task", no_two_alike)
+    r, passage, rows = random.Random(4), prose(90, 5), []
+    for k in range(30):
+        own = prose(25 + k % 7, 4000 + k)
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + edited(own, 1, r)))]
+    got = {x.doc_id: x.class_id for x in neardup.near_classes(make(rows)).collect()}
+    assert got == brute_classes(rows)
