@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ SKETCHES, PICKS, SEED = 24, 3, 11
 #: The documents of larger groups that share a sketch are first linked by FINE sketches of FINE_PICKS shingles each, which
 #: leaves few components to compare; then every two documents of the group in different components are compared.
 SMALL, FINE, FINE_PICKS = 64, 24, 6
+#: Members in one packed row of a group.
+PIECE = 1000
 #: Documents outside a group's largest component, and inside it, in a block; every block of the first meets every block.
 LEADS, PORTION = 1000, 1000
 #: Places of a document's count of words, which bounds how many words two documents can have in common.
@@ -29,7 +32,8 @@ HOLD = 32 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.array([int.from_bytes(hashlib.sha256(f"{SEED}:{k}".encode()).digest()[:8], "big") for k in range(SKETCHES + FINE)], np.uint64)[:, None]
-MEMBER = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i8"), ("more", "<i8")])
+MEMBER = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i8"), ("root", "<i8"), ("more", "<i8")])
+PIECES = "key long, size long, lo long, hi long, top long, tops long, blob binary"
 ENTRY, PAIR = np.dtype([("key", "<u8"), ("id", "<i8")]), np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
@@ -283,9 +287,9 @@ def _tasks(df: DataFrame, rows: int, each: int = 5000) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, rows // each)
 
 
-def _deal_task(n: int):
-    """Rows with id, n and their keys to blobs of entries by key. Of what shares a key in this task all but one entry
-    are sent past the meeting (bucket below 0), so a key that very many documents have comes there once a task."""
+def _deal_task(n: int, piece: int):
+    """Rows with id, n, root and their keys to blobs of members by key. Of a key that more than `piece` documents have in
+    this task all but one member are sent past the meeting (bucket below 0), so no task gets all of a very common key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -294,8 +298,10 @@ def _deal_task(n: int):
             rows = np.concatenate(held)
             rows = rows[np.argsort(rows["key"], kind="stable")]
             new = np.r_[True, rows["key"][1:] != rows["key"][:-1]]
-            first, rest = rows[new], rows[~new]
-            first["more"] = np.diff(np.r_[np.nonzero(new)[0], rows.size]) > 1
+            sizes = np.diff(np.r_[np.nonzero(new)[0], rows.size])
+            rows["more"][new] = sizes > piece
+            past = np.repeat(sizes > piece, sizes) & ~new
+            first, rest = rows[~past], rows[past]
             bucket = (_mix(first["key"]) % np.uint64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             first, cuts = first[order], np.searchsorted(bucket[order], np.arange(n + 1))
@@ -303,10 +309,12 @@ def _deal_task(n: int):
             yield _blob_rows(out + [(-1 - i // 50_000 % n, rest[i : i + 50_000].tobytes()) for i in range(0, rest.size, 50_000)])
 
         for b in batches:
-            for i, m, k in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), _keyed(b), strict=True):
+            ids = b.column("id").to_pylist()
+            roots = b.column("root").to_pylist() if "root" in b.schema.names else ids
+            for i, m, root, k in zip(ids, b.column("n").to_pylist(), roots, _keyed(b), strict=True):
                 k = np.unique(k)
                 out = np.zeros(k.size, MEMBER)
-                out["key"], out["id"], out["n"] = k, i, m
+                out["key"], out["id"], out["n"], out["root"] = k, i, m, root
                 held.append(out)
                 size += out.nbytes
             if size > HOLD:
@@ -318,40 +326,100 @@ def _deal_task(n: int):
     return run
 
 
-def _meet_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs of entries by bucket to rows (key, id, n) of the keys that several documents have."""
+def _meet_task(piece: int):
+    """Blobs of members by bucket to PIECES of the keys whose documents lie in several components, or may do so: each
+    with its least and greatest root, and the root that most of its members have."""
+
+    def out(rows: np.ndarray, every: bool = False) -> Iterator[pa.RecordBatch]:
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        at = np.nonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])[0]
+        lo, hi = np.minimum.reduceat(rows["root"], at), np.maximum.reduceat(rows["root"], at)
+        keep = (lo < hi) | (np.maximum.reduceat(rows["more"], at) > 0) | every
+        found = []
+        for i, j in zip(at[keep].tolist(), np.r_[at[1:], rows.size][keep].tolist(), strict=True):
+            for k in range(i, j, piece):
+                part = rows[k : min(k + piece, j)]
+                roots, counts = np.unique(part["root"], return_counts=True)
+                most = counts.argmax()
+                found.append((int(part["key"][:1].view(np.int64)[0]), part.size, int(roots[0]), int(roots[-1]), int(roots[most]), int(counts[most]), part.tobytes()))
+        for i in range(0, len(found), 10_000):
+            *cols, blobs = zip(*found[i : i + 10_000], strict=True)
+            names_ = ["key", "size", "lo", "hi", "top", "tops", "blob"]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(blobs, pa.binary())], names_)
 
-    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, rows.size, 100_000):
-            r = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(r["key"].copy().view(np.int64)), pa.array(r["id"].copy()), pa.array(r["n"].copy())], ["key", "id", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if k < 0:
+                    yield from out(np.frombuffer(blob, MEMBER), True)
+                    continue
+                if k != now and parts:
+                    yield from out(np.concatenate(parts))
+                    parts = []
+                now = k
+                parts.append(np.frombuffer(blob, MEMBER))
+        if parts:
+            yield from out(np.concatenate(parts))
 
-    def several(parts: list[np.ndarray]) -> np.ndarray:
-        rows = np.concatenate(parts)
-        _, of, counts = np.unique(rows["key"], return_inverse=True, return_counts=True)
-        known = np.bincount(of, rows["more"], counts.size) > 0
-        return rows[(counts > 1)[of] | known[of]]
+    return run
 
-    now, parts = None, []
+
+def groups(part: DataFrame) -> DataFrame:
+    """Pieces (key, members, docs, main, blob) of the keys whose documents lie in several components: the key's number of
+    members, the component that has most of them and how many it has. Without roots every document is its own.
+
+    Members stay packed, so what is joined is a row a piece, not one a document and key.
+    """
+    n = partitions(part.sparkSession)
+    dealt = part.mapInArrow(_deal_task(n, PIECE), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    pieces = staged(dealt.mapInArrow(_meet_task(PIECE), PIECES), "near-pieces")
+    tops = pieces.groupBy("key", "top").agg(F.sum("tops").alias("docs"), F.sum("size").alias("members"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    whole = tops.groupBy("key").agg(F.max(F.struct("docs", "top")).alias("m"), F.sum("members").alias("members"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    whole, n = staged_rows(whole.select("key", "members", "m.docs", F.col("m.top").alias("main")), "near-keys")
+    return pieces.select("key", "blob").join(small(whole, n), "key")
+
+
+def _member_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces to a row a member: (key, id, n, root) and the other columns of the piece."""
     for b in batches:
-        for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            if k < 0:
-                yield from out(np.frombuffer(blob, MEMBER))
-                continue
-            if k != now and parts:
-                yield from out(several(parts))
-                parts = []
-            now = k
-            parts.append(np.frombuffer(blob, MEMBER))
-    if parts:
-        yield from out(several(parts))
+        parts = [np.frombuffer(x, MEMBER) for x in b.column("blob").to_pylist()]
+        rows, of = np.concatenate(parts), pa.array(np.repeat(np.arange(len(parts)), [p.size for p in parts]))
+        own = [pa.array(rows["key"].copy().view(np.int64)), *(pa.array(rows[c].copy()) for c in ("id", "n", "root"))]
+        yield pa.RecordBatch.from_arrays([*own, *(b.column(c).take(of) for c in ("members", "docs", "main"))], ["key", "id", "n", "root", "members", "docs", "main"])
+
+
+def members(pieces: DataFrame) -> DataFrame:
+    return pieces.select("blob", "members", "docs", "main").mapInArrow(_member_task, "key long, id long, n long, root long, members long, docs long, main long")
 
 
 def shared(part: DataFrame) -> DataFrame:
     """Entries (key, id, n) of the keys that two documents or more of `part` have; those of one alone link nothing."""
-    n = partitions(part.sparkSession)
-    dealt = part.mapInArrow(_deal_task(n), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_meet_task, "key long, id long, n long")
+    return members(groups(part)).select("key", "id", "n")
+
+
+def _id_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.frombuffer(x, MEMBER)["id"] for x in b.column(0).to_pylist()])))], ["id"])
+
+
+def _every_task(least: float):
+    """Groups of one piece to all their pairs (a, b) of different components whose lengths allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.empty(0, PAIR)]
+            for x in b.column(0).to_pylist():
+                m = np.frombuffer(x, MEMBER)
+                i, j = np.triu_indices(m.size, 1)
+                ok = (m["root"][i] != m["root"][j]) & (np.minimum(m["n"][i], m["n"][j]) >= np.maximum(m["n"][i], m["n"][j]) * least - 1e-6)
+                out = np.empty(int(ok.sum()), PAIR)
+                out["a"], out["b"] = np.minimum(m["id"][i], m["id"][j])[ok], np.maximum(m["id"][i], m["id"][j])[ok]
+                found.append(out)
+            found = np.unique(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(found["a"].copy()), pa.array(found["b"].copy())], ["a", "b"])
+
+    return run
 
 
 def _fine_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,13 +452,6 @@ class _Links:
     def rooted(self, entries: DataFrame) -> DataFrame:
         return self._roots(entries, ("id", "root"))
 
-    def mixed(self, entries: DataFrame) -> DataFrame:
-        """The entries of keys whose documents lie in several components, with the key's number of them, size."""
-        now = self.rooted(entries)
-        some = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-        some, n = staged_rows(some, "near-keys")
-        return staged(now.join(small(some, n), "key"), "near-mixed")
-
     def take(self, found: DataFrame) -> None:
         """Take links in: components of the components that they join."""
         found, any_new = staged_rows(self._roots(found, ("a", "ra"), ("b", "rb")).select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "near-found")
@@ -414,39 +475,31 @@ class _Links:
             self.take(verified(new, count, self.seqs, self.least))
 
 
-def _fits(least: float) -> F.Column:
-    return F.least("n", "xn") >= F.greatest("n", "xn") * F.lit(least) - 1e-6
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-
-
 def closed(held: DataFrame, state: _Links) -> None:
     """Link until every two documents of a group are linked or known to differ.
 
     Of a group whose documents lie in several components, every two of different components are aligned where it has at
     most SMALL documents. The documents of larger groups, as a passage makes that very many unlike texts share, are
     linked by finer sketches first, in which two agree only if they have most of their shingles in common. That leaves
-    fewer components and drops no pair: what then lies in different components of a large group meets in `crossed`.
+    fewer components and drops no pair: what then lies in different components of a large group, by either kind of
+    sketch, meets in `crossed`.
     """
     large = _small(held.select("id", "n", "sketch"), state)
-    ids, n = staged_rows(large.select("id").distinct(), "near-large-ids")
+    ids, n = staged_rows(large.select("blob").mapInArrow(_id_task, "id long").distinct(), "near-large-ids")
     if n:
-        large = staged(large, "near-large")
-        fine = staged(held.join(small(ids, n), "id", "left_semi").select("id", "n", "words").mapInArrow(_fine_task, "id long, n long, keys binary"), "near-fine")
+        some = held.join(small(ids, n), "id", "left_semi")
+        coarse = staged(some.select("id", "n", "sketch"), "near-coarse")
+        fine = staged(some.select("id", "n", "words").mapInArrow(_fine_task, "id long, n long, keys binary"), "near-fine")
         state.try_(candidates(fine))
         _small(fine, state)
-        crossed(large, held, state)
+        crossed([groups(state.rooted(part)).where(F.col("members") > SMALL) for part in (coarse, fine)], held, state)
 
 
 def _small(part: DataFrame, state: _Links) -> DataFrame:
-    """Align every two documents of small groups that are in different components; the entries of larger groups."""
-    mixed = state.mixed(shared(part))
-    small = mixed.where(F.col("size") <= SMALL)
-    other = small.select("key", F.col("id").alias("x"), F.col("n").alias("xn"))
-    state.try_(_ordered(small.join(other, "key").where((F.col("id") < F.col("x")) & _fits(state.least))))
-    return mixed.where(F.col("size") > SMALL).select("key", "id", "n")
+    """Align every two documents of small groups that are in different components; the pieces of larger groups."""
+    mixed = staged(groups(state.rooted(part)), "near-mixed")
+    state.try_(mixed.where(F.col("members") <= SMALL).select("blob").mapInArrow(_every_task(state.least), "a long, b long").distinct())
+    return mixed.where(F.col("members") > SMALL)
 
 
 def _counts(w: np.ndarray) -> np.ndarray:
@@ -506,7 +559,7 @@ def _cross_task(least: float):
     return run
 
 
-def crossed(entries: DataFrame, held: DataFrame, state: _Links) -> None:
+def crossed(pieces: list[DataFrame], held: DataFrame, state: _Links) -> None:
     """Compare every two documents of a group that lie in different components; only links leave the tasks.
 
     The documents outside a group's largest component are cut into blocks of about LEADS, the others into blocks of
@@ -514,23 +567,19 @@ def crossed(entries: DataFrame, held: DataFrame, state: _Links) -> None:
     documents of the largest component are linked already. The comparisons grow with the number of documents times
     those outside; a task holds two blocks at a time, and pairs are never rows.
     """
-    now = state.rooted(entries)
-    main = now.groupBy("key", "root").agg(F.count("*").alias("docs")).groupBy("key").agg(F.max(F.struct("docs", "root")).alias("m"), F.sum("docs").alias("all"), F.count("*").alias("roots"))
     blocks_of = lambda docs, each: F.ceil(docs / F.lit(each)).cast("int")
-    main = main.where("roots > 1").select("key", F.col("m.root").alias("main"), blocks_of(F.col("all") - F.col("m.docs"), LEADS).alias("outer"), blocks_of(F.col("m.docs"), PORTION).alias("inner"))
-    main, n = staged_rows(main, "near-main")
-    if not n:
-        return
-    now = now.join(small(main, n), "key")
-    # as many keys as a document has
-    docs = now.groupBy("id").agg(F.collect_list("key").alias("open")).join(held.select("id", "words"), "id")
+    now = reduce(DataFrame.unionByName, [members(p) for p in pieces])
+    now = now.withColumns({"outer": blocks_of(F.col("members") - F.col("docs"), LEADS), "inner": blocks_of(F.col("docs"), PORTION)})
     deal = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     outside = F.col("root") != F.col("main")
-    rows = now.join(docs, "id").withColumn("block", F.when(outside, deal("outer")).otherwise(F.col("outer") + deal("inner")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(outside, F.col("inner")).otherwise(F.lit(0)))))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "root", "words", "open")
-    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
-    state.take(cells.mapInArrow(_cross_task(state.least), "a long, b long").distinct())
+    now = now.withColumn("block", F.when(outside, deal("outer")).otherwise(F.col("outer") + deal("inner")))
+    now = now.withColumn("others", F.col("outer") + F.when(outside, F.col("inner")).otherwise(0))
+    # as many keys as a document has
+    docs = now.groupBy("id", "n", "root").agg(F.collect_list(F.struct("key", "block", "others")).alias("at")).join(held.select("id", "words"), "id")
+    cells = lambda x: F.transform(F.sequence(F.lit(0), x["others"] - 1), lambda o: F.struct(x["key"].alias("key"), F.least(x["block"], o).alias("i"), F.greatest(x["block"], o).alias("j"), x["block"].alias("block")))
+    rows = docs.withColumn("open", F.transform("at", lambda x: x["key"])).withColumn("cell", F.explode(F.flatten(F.transform("at", cells))))
+    rows = rows.select("cell.*", "id", "n", "root", "words", "open").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
+    state.take(rows.mapInArrow(_cross_task(state.least), "a long, b long").distinct())
 
 
 _LOW = -(1 << 63)  # stands for a null id and comes before all others

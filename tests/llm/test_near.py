@@ -358,3 +358,37 @@ def test_large_groups_are_whole_where_the_finer_sketches_find_nothing(spark, pro
     neardup.closed(held, state)
     root = {x.node: x.root for x in state.label.collect()} if state.label is not None else {}
     assert {k: root.get(k, k) for k in words} == brute_classes(rows)
+
+
+def test_large_groups_of_finer_sketches_are_compared_whole(spark, prose, monkeypatch):
+    """A pair that only a finer sketch brings together is compared in a large group as it is in a small one."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "LEADS", 16)
+    monkeypatch.setattr(neardup, "PIECE", 7)
+
+    def all_alike(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array([bytes(8)] * b.num_rows, pa.binary())], ["id", "n", "keys"])
+
+    monkeypatch.setattr(neardup, "_fine_task", all_alike)
+    r, passage, rows = random.Random(4), prose(90, 5), []
+    for k in range(20):
+        own = prose(25 + k % 7, 4000 + k)
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + edited(own, 1, r)))]
+    words = {k: neardup.word_hashes(t) for k, t in rows}
+    # texts and their near copies lie in different groups of the coarse sketch
+    held = spark.createDataFrame([(k, bytearray(zstandard.compress(w.tobytes())), bytearray([k % 2] * 8), 115) for k, w in words.items()], "id long, words binary, sketch binary, n long")
+    state = neardup._Links(held, neardup.SIMILARITY)
+    neardup.closed(held, state)
+    root = {x.node: x.root for x in state.label.collect()} if state.label is not None else {}
+    assert {k: root.get(k, k) for k in words} == brute_classes(rows)
+
+
+def test_members_of_groups_stay_packed_where_they_are_joined(spark, prose, monkeypatch):
+    """What is joined by key is a row a piece of a group: the rows do not grow with documents times keys."""
+    rows = [(i, 100, np.arange(40, dtype=np.uint64).tobytes()) for i in range(50)]
+    pieces = neardup.groups(spark.createDataFrame(rows, "id long, n long, keys binary").repartition(3))
+    assert pieces.count() == 40 and neardup.members(pieces).count() == 2000
+    monkeypatch.setattr(neardup, "PIECE", 4)
+    pieces = neardup.groups(spark.createDataFrame(rows, "id long, n long, keys binary").repartition(3))
+    assert {(r.members, r.docs) for r in pieces.select("members", "docs").collect()} == {(50, 1)} and neardup.members(pieces).count() == 2000
