@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,17 +17,29 @@ DIMENSIONS, TOKEN_WEIGHT, BIGRAM_WEIGHT = 128, 1.0, 1.25
 SCHEMA = "chunk_id long, provider string, model string, dims int, chunk_fingerprint string, vector array<float>"
 
 
+@lru_cache(maxsize=1 << 18)
+def _feature(name: str) -> tuple[int, int]:
+    """Number and sign of a feature: most words and pairs of a corpus come again."""
+    d = hashlib.blake2b(name.encode(), digest_size=8).digest()
+    return int.from_bytes(d[:4], "big"), 1 if d[4] % 2 else -1
+
+
 def hash_vector(tokens: list[str], dims: int = DIMENSIONS) -> list[float]:
     """Signed feature hashing of tokens and pairs of neighbours, at length one; the first axis if nothing is left."""
     v = [0.0] * dims
     features = [(f"tok:{t}", TOKEN_WEIGHT) for t in tokens] + [(f"big:{a}:{b}", BIGRAM_WEIGHT) for a, b in zip(tokens, tokens[1:], strict=False)]
     for name, weight in features:
-        d = hashlib.blake2b(name.encode(), digest_size=8).digest()
-        v[int.from_bytes(d[:4], "big") % dims] += weight if d[4] % 2 else -weight
+        at, sign = _feature(name)
+        v[at % dims] += sign * weight
     size = sum(x * x for x in v) ** 0.5
     return [x / size for x in v] if size else [1.0] + [0.0] * (dims - 1)
 
 
+def spread(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, text) dealt by chunk: a file is read in as many tasks as it has row groups, which may be one."""
+    return chunks.select("chunk_id", "text").repartition("chunk_id")
+
+
 def hash_embed(chunks: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
     """(chunk_id, vector): words are cut by Spark; only the blake2b hashing runs in Arrow batches."""
 
@@ -35,12 +48,15 @@ def hash_embed(chunks: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
             vectors = [hash_vector(t, dims) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], ["chunk_id", "vector"])
 
-    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), words(F.coalesce("text", F.lit(""))).alias("w")).mapInArrow(run, "chunk_id long, vector array<float>")
+    return spread(chunks).select(F.col("chunk_id").cast("long").alias("chunk_id"), words(F.coalesce("text", F.lit(""))).alias("w")).mapInArrow(run, "chunk_id long, vector array<float>")
 
 
 def sha_features(chunks: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
-    """(chunk_id, bucket, weight): the same scheme over SHA-256 in built-in functions only, as sparse rows."""
-    t = chunks.select("chunk_id", words("text").alias("w"))
+    """(chunk_id, bucket, weight): the same scheme over SHA-256 in built-in functions only, as sparse rows.
+
+    The texts are shuffled, by chunk, instead of their features, so a chunk's features are summed where they are made.
+    """
+    t = spread(chunks).select("chunk_id", words("text").alias("w"))
     token = F.transform("w", lambda x: F.struct(F.concat(F.lit("tok:"), x).alias("name"), F.lit(TOKEN_WEIGHT).alias("weight")))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.concat(F.lit("big:"), F.element_at("w", i), F.lit(":"), F.element_at("w", i + 1)).alias("name"), F.lit(BIGRAM_WEIGHT).alias("weight"))))
     rows = t.select("chunk_id", F.explode(F.concat(token, F.coalesce(pairs, F.array().cast("array<struct<name:string,weight:double>>")))).alias("f"))

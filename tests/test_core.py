@@ -484,3 +484,11 @@ def test_settings(tmp_path):
     settings.save(p, {"a": {"b": 1, "c": 2}})
     assert settings.update(p, {"a": {"b": 3, "c": None}, "d": "x"}) == settings.load(p) == {"a": {"b": 3}, "d": "x"}
     assert settings.resolve_language(None, "ru-RU", "en_US") == "ru" and settings.resolve_language("fr", None, None) == "en"
+
+
+@pytest.mark.parametrize("hashed", ["sha_features", "hash_embed"])
+def test_texts_of_one_file_are_hashed_in_several_tasks(spark, hashed):
+    rows = spark.createDataFrame([(i, f"word{i} and more words") for i in range(40)], "chunk_id long, text string").coalesce(1)
+    plan = getattr(vectors, hashed)(rows)._jdf.queryExecution().executedPlan().toString()
+    # one shuffle, of texts: none of features follows
+    assert plan.count("Exchange hashpartitioning(chunk_id") == plan.count("Exchange ") == 1
