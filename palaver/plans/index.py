@@ -292,7 +292,7 @@ class Index:
         self._write_entities(segment, ent.extract(stored) if entities is None else entities)
         self._write_graph(segment, *graph.of_segment(stored, self._read(segment, "entities", ENTITIES)))
         buckets = inverted.write_parts(inverted.term_rows(stored), at, n)
-        inverted.lengths(stored).write.parquet(f"{at}/lengths")
+        inverted.written_lengths(self.spark, at, n).write.parquet(f"{at}/lengths")
         if replaced is not None:
             gone = inverted.term_rows(replaced).groupBy("term").agg((-F.count("*")).alias("n"))
             inverted.write_heads(inverted.taken_off(gone, buckets), at, "append")
@@ -428,7 +428,7 @@ class Index:
             self._write_entities(segment, ent.extract(stored))
             self._write_graph(segment, *graph.of_segment(stored, self._read(segment, "entities", ENTITIES)))
             buckets = inverted.write_parts(_union(self._live("postings", segments)).select("term", "chunk_id", "meeting_id", "tf", "dl", "pos"), at, n)
-            inverted.lengths(stored).write.parquet(f"{at}/lengths")
+            inverted.written_lengths(self.spark, at, n).write.parquet(f"{at}/lengths")
             self._publish(state, [segment], about={segment: {"rows": n, "buckets": buckets}})
             return {r["kind"]: r["n"] for r in ent.counts(self.table("entities")).collect()}
         own = F.col("meeting_id") == meeting_id

@@ -492,3 +492,10 @@ def test_texts_of_one_file_are_hashed_in_several_tasks(spark, hashed):
     plan = getattr(vectors, hashed)(rows)._jdf.queryExecution().executedPlan().toString()
     # one shuffle, of texts: none of features follows
     assert plan.count("Exchange hashpartitioning(chunk_id") == plan.count("Exchange ") == 1
+
+
+def test_tokens_of_postings_are_cut_once(spark):
+    rows = spark.createDataFrame([(1, 1, "b a b"), (2, 2, None), (3, 3, " . ")], "chunk_id long, meeting_id long, text string")
+    got = inverted.term_rows(rows, ("text",))
+    assert sorted((r.term, r.chunk_id, r.tf, r.dl, tuple(r.pos)) for r in got.collect()) == [("a", 1, 1, 3, (1,)), ("b", 1, 2, 3, (0, 2))]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
