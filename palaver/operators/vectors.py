@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,27 +16,20 @@ DIMENSIONS, TOKEN_WEIGHT, BIGRAM_WEIGHT = 128, 1.0, 1.25
 SCHEMA = "chunk_id long, provider string, model string, dims int, chunk_fingerprint string, vector array<float>"
 
 
-@lru_cache(maxsize=1 << 18)
-def _feature(name: str) -> tuple[int, int]:
-    """Number and sign of a feature: most words and pairs of a corpus come again."""
-    d = hashlib.blake2b(name.encode(), digest_size=8).digest()
-    return int.from_bytes(d[:4], "big"), 1 if d[4] % 2 else -1
-
-
 def hash_vector(tokens: list[str], dims: int = DIMENSIONS) -> list[float]:
     """Signed feature hashing of tokens and pairs of neighbours, at length one; the first axis if nothing is left."""
     v = [0.0] * dims
     features = [(f"tok:{t}", TOKEN_WEIGHT) for t in tokens] + [(f"big:{a}:{b}", BIGRAM_WEIGHT) for a, b in zip(tokens, tokens[1:], strict=False)]
     for name, weight in features:
-        at, sign = _feature(name)
-        v[at % dims] += sign * weight
+        d = hashlib.blake2b(name.encode(), digest_size=8).digest()
+        v[int.from_bytes(d[:4], "big") % dims] += weight if d[4] % 2 else -weight
     size = sum(x * x for x in v) ** 0.5
     return [x / size for x in v] if size else [1.0] + [0.0] * (dims - 1)
 
 
 def spread(chunks: DataFrame) -> DataFrame:
     """(chunk_id, text) dealt by chunk: a file is read in as many tasks as it has row groups, which may be one."""
-    return chunks.select("chunk_id", "text").repartition("chunk_id")
+    return chunks.select("chunk_id", "text").repartition(4 * chunks.sparkSession.sparkContext.defaultParallelism, "chunk_id")
 
 
 def hash_embed(chunks: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
