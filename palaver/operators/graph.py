@@ -139,17 +139,19 @@ def topic_edges(linked: DataFrame, key: str) -> DataFrame:
     )
 
 
-def subgraph(all_nodes: DataFrame, all_edges: DataFrame, own: DataFrame, key: str, title: str, limit: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges within two steps of a topic: its links, and what touches the linked entities."""
+def subgraph(all_nodes: DataFrame, all_edges: DataFrame, own: DataFrame, key: str, title: str, limit: int | None = 50) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges within two steps of a topic: its links, and what touches the linked entities; without a limit, all."""
     order = ("relation", "from_key", "to_key", "extraction_method")
-    own = own.orderBy(*order).limit(limit)
-    keys = own.select(F.col("from_key").alias("k"))
-    ends = [all_edges.join(F.broadcast(keys), F.col(c) == F.col("k"), "left_semi").orderBy(*order).limit(limit) for c in ("from_key", "to_key")]
-    touching = ends[0].unionByName(ends[1]).distinct().orderBy(*order).limit(limit)
-    found = own.unionByName(touching).distinct().orderBy(*order).limit(limit)
+    first = (lambda rows: rows) if limit is None else (lambda rows: rows.orderBy(*order).limit(limit))
+    small = (lambda rows: rows) if limit is None else F.broadcast
+    own = first(own)
+    keys = small(own.select(F.col("from_key").alias("k")))
+    ends = [first(all_edges.join(keys, F.col(c) == F.col("k"), "left_semi")) for c in ("from_key", "to_key")]
+    touching = first(ends[0].unionByName(ends[1]).distinct())
+    found = first(own.unionByName(touching).distinct())
     ends = found.select(F.explode(F.array("from_key", "to_key")).alias("stable_key")).distinct()
     topic = all_nodes.sparkSession.createDataFrame([("Topic", key, title)], "type string, stable_key string, title string")
-    some = all_nodes.select("type", "stable_key", "title").join(F.broadcast(ends), "stable_key", "left_semi").select("type", "stable_key", "title").unionByName(topic)
+    some = all_nodes.select("type", "stable_key", "title").join(small(ends), "stable_key", "left_semi").select("type", "stable_key", "title").unionByName(topic)
     return some.orderBy("type", "title", "stable_key"), found
 
 

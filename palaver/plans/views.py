@@ -446,12 +446,16 @@ _EDGE_CTES = f"""{_ENTITIES},
   found AS (SELECT DISTINCT * FROM (SELECT * FROM own UNION ALL SELECT * FROM touch) ORDER BY relation, f, t, m LIMIT 40)"""
 
 
-def _neighbourhood(spark, sf_dir):
+#: The same without a limit.
+_ALL_EDGE_CTES = _EDGE_CTES.replace(" ORDER BY relation, f, t, m LIMIT 40", "")
+
+
+def _neighbourhood(spark, sf_dir, limit=40):
     chunks = kept(spark, corpora.events(spark, sf_dir))
     found = kept(spark, ent.extract(chunks)).withColumn("entity_id", F.concat_ws("-", "meeting_id", ent.kind_index(), "ordinal"))
     who = graph.people(chunks)
     own = found.where("kind = 'risks'").select(F.concat("kind", F.lit(":"), "entity_id").alias("from_key"), F.lit("belongs_to").alias("relation"), F.lit("topic:x").alias("to_key"), F.lit(0.7).alias("confidence"), "meeting_id", F.col("source_chunk_id").cast("long").alias("chunk_id"), F.lit("topic_query").alias("extraction_method"))
-    return graph.subgraph(graph.nodes(chunks, found, who), graph.edges(chunks, found, who), own, "topic:x", "X", 40)
+    return graph.subgraph(graph.nodes(chunks, found, who), graph.edges(chunks, found, who), own, "topic:x", "X", limit)
 
 
 @query(_with(_EDGE_CTES, "SELECT f AS from_key, relation, t AS to_key, m AS extraction_method FROM found"))
@@ -460,9 +464,10 @@ def graph_subgraph_edges(spark, sf_dir):
     return _neighbourhood(spark, sf_dir)[1].select("from_key", "relation", "to_key", "extraction_method")
 
 
-@query(_with(_EDGE_CTES, ", ends AS (SELECT f AS k FROM found UNION SELECT t FROM found) SELECT k AS stable_key, CASE WHEN k LIKE 'topic:%' THEN 'Topic' WHEN k LIKE 'meeting:%' THEN 'Meeting' WHEN k LIKE 'chunk:%' THEN 'Chunk' WHEN k LIKE 'risks:%' THEN 'Risk' ELSE 'other' END AS type FROM ends"))
+@query(_with(_ALL_EDGE_CTES, ", ends AS (SELECT f AS k FROM found UNION SELECT t FROM found) SELECT k AS stable_key, CASE WHEN k LIKE 'topic:%' THEN 'Topic' WHEN k LIKE 'meeting:%' THEN 'Meeting' WHEN k LIKE 'chunk:%' THEN 'Chunk' WHEN k LIKE 'risks:%' THEN 'Risk' ELSE 'other' END AS type FROM ends"))
 def graph_subgraph_nodes(spark, sf_dir):
-    return _neighbourhood(spark, sf_dir)[0].select("stable_key", "type")
+    """All nodes within two steps of a topic."""
+    return _neighbourhood(spark, sf_dir, None)[0].select("stable_key", "type")
 
 
 @query(_with(_ENTITIES, "SELECT 1::BIGINT AS sources, (SELECT count(DISTINCT user_id) FROM ev) AS meetings, (SELECT count(*) FROM ev) AS chunks, count(*) AS structured_entities, count(*) + (SELECT count(DISTINCT user_id) + count(*) + count(DISTINCT event_id % 5) FROM ev) AS knowledge_nodes, 2 * count(*) + (SELECT count(*) + count(DISTINCT concat(user_id, '-', event_id % 5)) FROM ev) AS knowledge_edges FROM ent"))
